@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from tessera.llm import quality_rules, secrets
+from tessera.llm import jaccard_join, mixing, neighbours, packing, quality_model, quality_rules, secrets, url_filter
 
-MODULES = [quality_rules, secrets]
+MODULES = [mixing, secrets, packing, quality_model, url_filter, jaccard_join, neighbours, quality_rules]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in getattr(m, "ORACLES", {}).items()}
