@@ -3,8 +3,8 @@
 The largest inner product becomes the least distance: each vector x gets one component more, sqrt(M^2 - |x|^2), with M
 the largest norm, and queries are scaled to length M. `PROJECTIONS` random lines are the hash functions; each block of
 vectors holds its projections in one sorted array a line. A query opens a window around its own projection in every
-array and widens all windows step by step (virtual rehashing: the wider window is the union of finer ones, so only the
-new ends are counted). A vector that lies in at least `THRESHOLD` of the windows is verified by its true inner product;
+array and widens all windows step by step (virtual rehashing: the wider window is the union of finer ones over the same
+arrays). A vector that lies in at least `THRESHOLD` of the windows is verified by its true inner product;
 a query stops in a block when `k` plus a share `VERIFIED` of the block is verified.
 
 Vectors are dealt into blocks of about `BLOCK` rows and queries into chunks of `CHUNK`; each (block, chunk) is a task of
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import staged, table
 
-PROJECTIONS, THRESHOLD, GROWTH, VERIFIED = 60, 38, 1.12, 0.12
+PROJECTIONS, THRESHOLD, GROWTH, VERIFIED = 96, 58, 1.12, 0.22
 BLOCK, CHUNK, SEED = 8192, 4096, 11
 
 
@@ -49,38 +49,32 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     extra = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", x, x), 0))
     px = x @ a[:, :dims].T + extra[:, None] * a[:, dims]
     pq = (q * (largest / np.linalg.norm(q, axis=1))[:, None]) @ a[:, :dims].T
-    order = np.argsort(px, axis=0, kind="stable").T.astype(np.int32).copy()
-    ranked = np.sort(px, axis=0).T.copy()
+    order = np.argsort(px, axis=0, kind="stable").T
+    ranked = np.take_along_axis(px.T, order, 1)
+    place = np.empty((m, n), np.uint16 if n < 1 << 16 else np.uint32)  # of each vector in each sorted array
+    np.put_along_axis(place, order, np.arange(n, dtype=place.dtype)[None, :], 1)
     enough = min(n, k + 1 + int(VERIFIED * n))
-    low, high = np.empty((len(q), m), np.int64), np.empty((len(q), m), np.int64)
-    counts = np.zeros((len(q), n), np.uint8)
+    widest = float(np.ptp(px)) + 2 * float(np.abs(pq).max(initial=0)) + 1
+    half = np.full(len(q), 0.55 * float(px.std() or 1.0))
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
     active = np.arange(len(q))
-    half, widest = 0.55 * float(px.std() or 1.0), float(np.ptp(px)) + float(np.abs(pq).max(initial=0)) * 2 + 1
-    first = True
     while len(active):
-        for j in range(m):
-            lo, hi = np.searchsorted(ranked[j], pq[active, j] - half), np.searchsorted(ranked[j], pq[active, j] + half, "right")
-            line = order[j]
-            if first:
-                for i, s, e in zip(active.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    counts[i][line[s:e]] += 1
-            else:  # only what the wider windows add at both ends
-                for i, s, s0, e0, e in zip(active.tolist(), lo.tolist(), low[active, j].tolist(), high[active, j].tolist(), hi.tolist(), strict=True):
-                    c = counts[i]
-                    c[line[s:s0]] += 1
-                    c[line[e0:e]] += 1
-            low[active, j], high[active, j] = lo, hi
-        first = False
-        if half > widest:
-            break
-        active = active[(counts[active] >= THRESHOLD).sum(1) < enough]
-        half *= GROWTH
+        low = np.stack([np.searchsorted(ranked[j], pq[active, j] - half[active]) for j in range(m)], 1).astype(place.dtype)
+        high = np.stack([np.searchsorted(ranked[j], pq[active, j] + half[active], "right") for j in range(m)], 1).astype(place.dtype)
+        left = []
+        for i, lo, hi in zip(active.tolist(), low, high, strict=True):
+            inside = (place - lo[:, None]) < (hi - lo)[:, None]  # unsigned: places before the window wrap round
+            found[i] = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16) >= THRESHOLD)
+            if len(found[i]) < enough and half[i] <= widest:
+                left.append(i)
+        active = np.array(left, np.int64)
+        half[active] *= GROWTH
     out = []
     for i, (v, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
-        found = np.flatnonzero((counts[i] >= THRESHOLD) & (ids != own))
-        s = x[found] @ v
-        best = np.lexsort((ids[found], -s))[:k]
-        out += [(own, int(ids[found[b]]), float(s[b])) for b in best]
+        near = found[i][ids[found[i]] != own]
+        s = x[near] @ v
+        best = np.lexsort((ids[near], -s))[:k]
+        out += [(own, int(ids[near[b]]), float(s[b])) for b in best]
     return out
 
 

@@ -17,16 +17,13 @@ from tessera.llm.common import table
 
 # The rules of the query, as (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-# Host words of the labelled table; each gives URLs by `labelled`.
-BLOCK_WORDS = (
-    "spam-farm cheap-pills casino-win online-casino win-cash free-money poker-bonus bet-now loan-fast quick-loans replica-watch "
-    "adult-cams hot-singles miracle-diet pills-shop spam-links click-farm link-farm crypto-giveaway jackpot-slots"
-)
-ALLOW_WORDS = (
-    "daily-news city-library open-docs garden-blog cooking history-archive math-school university science-weekly local-paper "
-    "bird-watch travel-notes health-advice music-review book-club code-forum weather film-guide art-museum village-hall"
-)
-BUCKETS, SIZES, ROUNDS, RATE, DECAY = 2048, (3, 4), 30, 4.0, 1e-4
+# Host words of the labelled table; `labelled` makes hosts of pairs of them.
+BLOCK_WORDS = "casino poker bets jackpot slots loans payday pills pharmacy diet spam clicks ads tracker banner adult cams singles giveaway win cheap free farm replica"
+ALLOW_WORDS = "news city library docs garden cooking history math school science paper bird travel health music book code weather film art museum village review blog"
+#: Allowed hosts without meaning, so that an unknown name alone speaks for nothing: pairs of these syllables, by rule.
+SYLLABLES = "tha ren ion ver lo mi sto ka ble er in the on ou ti an"
+BLOCK_AT = 0.6
+BUCKETS, SIZES, ROUNDS, RATE, MOMENTUM, DECAY = 4096, (3, 4), 60, 8.0, 0.93, 1e-5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,9 +53,11 @@ def grams(host: Column, path: Column) -> Column:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The small labelled table: url, label (1: block)."""
-    rows = []
-    for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
-        for i, w in enumerate(words.split()):
+    rows, parts = [], SYLLABLES.split()
+    names = [a + b for i, a in enumerate(parts) for j, b in enumerate(parts) if (i + 3 * j) % 4 == 0]
+    pairs = lambda words: [f"{a}-{words[(i + j) % len(words)]}" for j in (1, 5, 11) for i, a in enumerate(words)]
+    for label, words in ((1, pairs(BLOCK_WORDS.split())), (0, pairs(ALLOW_WORDS.split()) + names)):
+        for i, w in enumerate(words):
             top = ("com", "org", "net", "info")[i % 4]
             rows += [(f"https://{w}.example.{top}/", label), (f"http://www.{w}.example.{top}/en/{i}", label), (f"https://m.{w}.{top}/{('fr', 'de', 'es')[i % 3]}/{7 * i + 3}.html", label)]
     made = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in rows])
@@ -88,7 +87,7 @@ def fitted(table_: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> list[
         slope = [DECAY * x for x in w[:-1]] + [0.0]
         for r in sums:
             slope[r["k"]] += r["g"]
-        speed = [0.8 * s - rate * g for s, g in zip(speed, slope, strict=True)]
+        speed = [MOMENTUM * s - rate * g for s, g in zip(speed, slope, strict=True)]
         w = [a + b for a, b in zip(w, speed, strict=True)]
     rows.unpersist()
     return [round(x, 6) for x in w]
@@ -101,7 +100,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, train: DataFrame | None = None)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("score", 1 / (1 + F.exp(-margin(grams(F.col("host"), F.col("path")), w))))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow")).alias("verdict"), "score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
