@@ -1 +1,6 @@
+"""All queries of the library and their SQL."""
 
+from tessera.plans import relational, vector
+
+QUERIES = {**vector.QUERIES, **relational.QUERIES}
+ORACLES = {**vector.ORACLES, **relational.ORACLES}
