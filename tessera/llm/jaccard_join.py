@@ -9,14 +9,16 @@ shingle in common form a region.
     over all documents, and only those of two documents or more go back to their documents. A document whose rarest
     shingles are all its own is alone and goes no further.
  2. Equal sets are one class with one member that is compared (copies never meet as pairs).
- 3. Each region picks a pivot, the set with the smallest share of shingles of its own. Distances of all members to the
-    pivot are exact. Members within the radius are linked to it and so to each other. A member x beyond the radius may
-    still link to a member y within it, but only if |d(x, p) - d(y, p)| <= radius: such boundary members y are kept with
-    those outside. What is kept is joined again in the same way, with more pivots in each round, each kept row going with
-    its nearest pivot's window, until regions are empty.
+ 3. Regions of the same members are one region. Each picks a pivot, the set with the smallest share of shingles of its own,
+    and the distances of its members to the pivot are exact. Members within the radius are linked to it and so to each
+    other. A member x beyond the radius may still link to a member y within it, but only if |d(x, p) - d(y, p)| <= radius:
+    such boundary members are kept with those outside, the others leave.
+ 4. What is left of regions with the same first member is joined once more: in blocks of at most BLOCK sets, each pair of
+    blocks a task of its own, by counting the shingles that sets share. Only links that connect something new come back.
 
-So every link between different sets is either taken or implied by links taken: components are exact. Work is linear in
-region sizes for groups of copies, since these lie around few pivots.
+So every link between different sets is either taken or implied by links taken: components are exact. Step 3 is linear in
+region sizes and settles groups of copies, which lie around few pivots; step 4 grows with the square of the number of
+distinct sets that share rare shingles, are no near copies of a pivot and may by size still be near copies of each other.
 
 Defined cases: a null, empty or blank text has an empty set, which links with nothing; with fewer than five words the
 whole sequence is one shingle; repeated rows are one class; an empty table gives an empty result; other columns of the
@@ -30,14 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import bytes_of, connected_components, slices, staged, table
 
 WIDTH, PERCENT, RADIUS = 5, 75, 0.25
-TOKENS_A_BUCKET, TOKENS_A_CHUNK = 1_500_000, 600_000
+TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_500_000, 600_000, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd: it has an inverse modulo 2^64
 
@@ -173,7 +174,8 @@ def _repeated(key: tuple, t: pa.Table) -> pa.Table:
                 rows.append((key[0].as_py(), chunk[i], False, part[keep].tobytes(), np.minimum(mine[keep], 255).astype(np.uint8).tobytes(), doc.tobytes()))
             at += n
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 DOCS = "doc_id long, n long, cls long, rare int, alone long, shared binary"
@@ -198,19 +200,22 @@ def _assembled(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "n": n, "cls": cls, "rare": pa.array(np.where(held, rare, 0), pa.int32()), "alone": alone, "shared": pa.array(shared, pa.binary())})
 
 
+POSTINGS = "token long, cls long, n long, room long"
+
+
 def _postings(nodes: DataFrame) -> DataFrame:
+    """A row for each of a set's rarest shingles; `room` is the number of its shingles that any other document holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, n, alone, rare, shared = (batch.column(i).to_pylist() for i in range(5))
             parts = [np.frombuffer(s, np.int64)[:r] for s, r in zip(shared, rare, strict=True)]
             m = [len(p) for p in parts]
             if sum(m):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(cls, np.int64), m)), pa.array(np.repeat(np.array(n, np.int64), m)), pa.array(np.repeat(np.array(alone, np.float64) / np.array(n), m))],
-                    names=["token", "cls", "n", "own"],
-                )
+                each = [np.repeat(np.array(x, np.int64), m) for x in (cls, n, np.array(n) - np.array(alone))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), *map(pa.array, each)], names=["token", "cls", "n", "room"])
 
-    return nodes.select("cls", "n", "alone", "rare", "shared").mapInArrow(run, "token long, cls long, n long, own double")
+    return nodes.select("cls", "n", "alone", "rare", "shared").mapInArrow(run, POSTINGS)
 
 
 def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,40 +237,83 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("cls", "pivot", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "cls long, pivot long, d double, link boolean")
 
 
+def _may_link(n_a: str, room_a: str, n_b: str, room_b: str) -> Column:
+    """Whether sets of these sizes can link when they share no more than the smaller room."""
+    return PERCENT * (F.col(n_a) + F.col(n_b)) <= (100 + PERCENT) * F.least(room_a, room_b)
+
+
+def _leaf(key: tuple, t: pa.Table) -> pa.Table:
+    """Links of a pair of blocks of one region between sets of different labels, as many as connect something new."""
+    p, q = key[1].as_py(), key[2].as_py()
+    t = t.sort_by("cls")
+    cls, n, lab, block = (t.column(c).to_numpy() for c in ("cls", "n", "lab", "block"))
+    held = [np.frombuffer(x, np.int64) for x in t.column("shared").to_pylist()]
+    a, b = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    found = []
+    if len(a) and len(b):
+        row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        token = np.unique(np.concatenate(held), return_inverse=True)[1]
+        wide = int(token.max()) + 1
+        in_a, in_b = (np.bincount(token[np.isin(row, x)], minlength=wide) for x in (a, b))
+        useful = (in_a > 0) & (in_b > 0) & ((p != q) | (in_a > 1))
+        number = np.where(useful, np.cumsum(useful) - 1, -1)[token]
+        row, number = row[number >= 0], number[number >= 0]
+        order = np.argsort(number, kind="stable")
+        row, number = row[order], number[order]
+        inter = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, int(useful.sum()), 4096):
+            s, e = np.searchsorted(number, [start, start + 4096])
+            part = np.zeros((len(held), 4096), np.float32)
+            part[row[s:e], number[s:e] - start] = 1
+            inter += part[a] @ part[b].T
+        total = n[a][:, None] + n[b][None, :]
+        near = (100 * inter >= PERCENT * (total - inter)) & (lab[a][:, None] != lab[b][None, :])
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = find(int(lab[a[i]])), find(int(lab[b[j]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                found.append((int(cls[a[i]]), int(cls[b[j]])))
+    columns = list(zip(*found, strict=True)) or [(), ()]
+    return pa.table({"cls": pa.array(columns[0], pa.int64()), "pivot": pa.array(columns[1], pa.int64())})
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """(cls, pivot) links that connect whatever is connected."""
-    found, k = [], 1
     rest = staged(_postings(nodes))
-    while True:
-        if k == 1:
-            pivots = rest.groupBy("token").agg(F.min(F.struct("own", "cls", "n")).alias("p"), F.count("*").alias("size")).filter("size > 1")
-        else:
-            first = Window.partitionBy("token").orderBy("own", "cls")
-            pivots = rest.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("token", F.struct("own", "cls", "n").alias("p"))
-        pivots = pivots.select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n_p"))
-        members = rest.join(pivots, "token").filter(F.col("cls") != F.col("pivot"))
-        near = PERCENT * F.greatest("n", "n_p") <= 100 * F.least("n", "n_p")  # beyond, the sizes alone set them apart
-        pairs = members.filter(near).select("cls", "pivot").distinct()
-        d = staged(_distances(pairs, nodes))
-        found.append(d.filter("link").select("cls", "pivot"))
-        seen = members.join(d, ["cls", "pivot"], "left").withColumns({"d": F.coalesce("d", F.lit(1.0)), "link": F.coalesce("link", F.lit(False))})
-        best = seen.groupBy("token", "cls").agg(F.min(F.struct("d", "pivot", "n", "own")).alias("b"), F.max("link").alias("inside"))
-        best = best.select("token", "cls", "b.*", "inside")
-        if k > 1:
-            best = best.join(pivots.select("token", F.col("pivot").alias("cls")), ["token", "cls"], "left_anti")  # pivots have met all
-        out = best.filter("not inside")
-        edge = seen.join(out.select("token", "cls"), ["token", "cls"]).groupBy("token", "pivot").agg(F.min("d").alias("least"))
-        window = best.filter("inside").join(edge, ["token", "pivot"]).filter(F.col("d") >= F.col("least") - RADIUS - 1e-9)
-        rest = staged(out.select("token", "cls", "n", "own").union(window.select("token", "cls", "n", "own")))
-        many = rest.groupBy("token").count().filter("count > 1")
-        rest = rest.join(many.select("token"), "token", "left_semi")
-        if rest.isEmpty():
-            break
-        k *= 2
-    links = found[0]
-    for x in found[1:]:
-        links = links.union(x)
-    return links.distinct()
+    regions = rest.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("members"), F.min(F.struct((-F.col("room") / F.col("n")).alias("o"), "cls", "n", "room")).alias("p"))
+    regions = regions.filter("size > 1").groupBy("size", "members").agg(F.min(F.struct("token", "p")).alias("r"))
+    regions = staged(regions.select("r.token", F.col("r.p.cls").alias("pivot"), F.col("r.p.n").alias("n_p"), F.col("r.p.room").alias("room_p")))
+    members = rest.join(regions, "token").filter(F.col("cls") != F.col("pivot"))
+    pairs = members.filter(_may_link("n", "room", "n_p", "room_p")).select("cls", "pivot").distinct()
+    d = staged(_distances(pairs, nodes))
+    links = d.filter("link").select("cls", "pivot")
+
+    # A set's label: the least pivot that it links to, and that one's in turn; sets of one label are connected already.
+    one = links.groupBy("cls").agg(F.min("pivot").alias("to"))
+    two = one.select(F.col("cls").alias("to"), F.col("to").alias("then"))
+    label = one.join(two, "to", "left").select("cls", F.coalesce("then", "to").alias("lab"))
+
+    least = 1 - F.least("room", "room_p") / (F.col("n") + F.col("n_p") - F.least("room", "room_p"))  # where not measured
+    seen = members.join(d, ["cls", "pivot"], "left").withColumns({"d": F.coalesce("d", least), "link": F.coalesce("link", F.lit(False))})
+    seen = seen.join(label, "cls", "left").select("token", "cls", "n", "room", "d", "link", F.coalesce("lab", "cls").alias("lab"))
+    reach = (100 + PERCENT) * F.col("room") / PERCENT - F.col("n")  # the largest partner
+    bounds = seen.groupBy("token").agg(F.min(F.when(~F.col("link"), F.col("d"))).alias("out"), F.min("n").alias("least_n"), F.max(reach).alias("most_n"), F.min("lab").alias("lab_a"), F.max("lab").alias("lab_b"), F.min("cls").alias("region"))
+    kept = seen.join(bounds.filter("out is not null and lab_a <> lab_b"), "token")
+    kept = kept.filter((~F.col("link") | (F.col("d") >= F.col("out") - RADIUS - 1e-9)) & (reach >= F.col("least_n")) & (F.col("n") <= F.col("most_n")))
+    rows = staged(kept.select("region", "cls", "lab").distinct())
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("lab").alias("a"), F.max("lab").alias("b")).filter("a <> b")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.join(sizes.select("region", blocks.alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("region", "cls", "lab", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    far = dealt.join(nodes.select("cls", "n", "shared"), "cls").groupBy("region", "p", "q").applyInArrow(_leaf, "cls long, pivot long")
+    return links.union(staged(far)).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -286,10 +334,10 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's, one each, with the columns of docs unchanged."""
+    """The rows of docs whose id is their component's, one for each text, with the columns of docs unchanged."""
     gone = components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti")
-    return first.dropDuplicates(["doc_id"])
+    first = docs.join(gone, "doc_id", "left_anti").select(*docs.columns).withColumn("__key", F.xxhash64("text"))
+    return first.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
