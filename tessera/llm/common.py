@@ -42,13 +42,12 @@ def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], ma
 
     make gets the UTF-8 texts of a slice of a few MB and returns one list of values per field, in order.
     """
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
     names = [*keep, text_col]
     base = df.select(*[F.col(f"`{c}`") for c in names])
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    added = ", ".join(f"{n} {t}" for n, t in fields)
-    schema = _parse_datatype_string(f"{kept}, {added}" if kept else added)
+    added = _parse_datatype_string(", ".join(f"{n} {t}" for n, t in fields))
+    schema = StructType([*[df.schema[c] for c in keep], *added.fields])
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
