@@ -153,8 +153,8 @@ def write_nested_json(scores_: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").json(path)
 
 
-def read_nested_json(spark: SparkSession, path: str, values: str) -> DataFrame:
-    df = spark.read.schema(f"dataset string, methods map<string, struct<{values}>>").json(path)
+def read_nested_json(spark: SparkSession, path: str, values: str, dataset: str = "string") -> DataFrame:
+    df = spark.read.schema(f"dataset {dataset}, methods map<string, struct<{values}>>").json(path)
     return df.select("dataset", F.explode("methods").alias("method", "s")).select("dataset", "method", "s.*")
 
 
