@@ -37,7 +37,7 @@ from tessera.llm.common import bytes_of, slices, staged, table
 
 LENGTH, WINDOW, GRAM = 400, 96, 16
 CORE = LENGTH + 2 - 3 * WINDOW - GRAM
-MAX_ROUNDS = 31
+MAX_ROUNDS = 7
 SHARD_BYTES, BYTES_A_TABLE_BUCKET, BYTES_A_BUCKET = 2_000_000, 16_000_000, 48_000_000
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -399,25 +399,17 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
                 yield from _table(sent).to_batches()
 
     def longer(phrases: int):
-        def run(a: pa.Table, told: pa.Table) -> pa.Table:
-            if not a.num_rows or not told.num_rows:
-                return _table([])
-            row, rows = a.to_pylist()[0], told.to_pylist()
-            b = Tree(row).extended(_loads(rows, phrases, BLOCK))
-            return _table(_dealt(row["shard"], phrases + 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), b, buckets))
-
-        return run
-
-    def sorted_out(phrases: int):
-        """Complete blocks get their number of phrases as kind, the others 0 less it."""
+        """Complete blocks, in bucket -1, and the others longer by one phrase."""
 
         def run(a: pa.Table, told: pa.Table) -> pa.Table:
             if not a.num_rows or not told.num_rows:
                 return _table([])
             row, rows = a.to_pylist()[0], told.to_pylist()
-            b = _loads(rows, phrases, BLOCK)
-            done = (Tree(row).bytes_long(b, phrases) >= CORE) | (phrases >= MAX_ROUNDS)
-            return _table([(0, row["shard"], k, b"", b"", x.tobytes()) for k, x in ((phrases, b[done]), (-phrases, b[~done])) if len(x)])
+            tree, b = Tree(row), _loads(rows, phrases, BLOCK)
+            done = (tree.bytes_long(b, phrases) >= CORE) | (phrases >= MAX_ROUNDS)
+            out = [(-1, row["shard"], phrases, b"", b"", b[done].tobytes())] if done.any() else []
+            b = tree.extended(b[~done])
+            return _table(out + _dealt(row["shard"], phrases + 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), b, buckets))
 
         return run
 
@@ -430,12 +422,12 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
     complete, phrases = [], 1
     live = merged(slim.mapInArrow(first, SENT))
     while True:
-        state = staged(meet(slim, live, sorted_out(phrases)))
-        complete.append(state.filter("kind > 0"))
-        rest = state.filter("kind < 0").withColumn("kind", -F.col("kind"))
+        state = staged(meet(slim, live, longer(phrases)))
+        complete.append(state.filter("bucket < 0"))
+        rest = state.filter("bucket >= 0")
         if rest.isEmpty():
             break
-        live = merged(meet(slim, rest, longer(phrases)))
+        live = merged(rest)
         phrases += 1
     told = complete[0]
     for x in complete[1:]:
