@@ -5,7 +5,7 @@ the largest norm, and queries are scaled to length M. `PROJECTIONS` random lines
 vectors holds its projections in one sorted array a line. A query opens a window around its own projection in every
 array and widens all windows step by step (virtual rehashing: the wider window is the union of finer ones over the same
 arrays). A vector that lies in at least `THRESHOLD` of the windows is verified by its true inner product;
-a query stops in a block when `k` plus a share `VERIFIED` of the block is verified.
+a query stops in a block when `k` plus `VERIFIED` times the root of the block's size are verified.
 
 Vectors are dealt into blocks of about `BLOCK` rows and queries into chunks of `CHUNK`; each (block, chunk) is a task of
 its own, so neither side is gathered whole. Every block gives its best k for each query; k times the number of blocks
@@ -19,6 +19,8 @@ are returned; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import staged, table
 
-PROJECTIONS, THRESHOLD, GROWTH, VERIFIED = 96, 58, 1.12, 0.22
+PROJECTIONS, THRESHOLD, GROWTH, VERIFIED, PROBES = 96, 58, 1.12, 10, 32
 BLOCK, CHUNK, SEED = 8192, 4096, 11
 
 
@@ -53,11 +55,25 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     ranked = np.take_along_axis(px.T, order, 1)
     place = np.empty((m, n), np.uint16 if n < 1 << 16 else np.uint32)  # of each vector in each sorted array
     np.put_along_axis(place, order, np.arange(n, dtype=place.dtype)[None, :], 1)
-    enough = min(n, k + 1 + int(VERIFIED * n))
+    enough = min(n, k + 1 + int(VERIFIED * math.sqrt(n)))
     widest = float(np.ptp(px)) + 2 * float(np.abs(pq).max(initial=0)) + 1
     half = np.full(len(q), 0.55 * float(px.std() or 1.0))
     found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-    active = np.arange(len(q))
+    _count(np.arange(min(PROBES, len(q))), found, half, pq, ranked, place, enough, widest)
+    half[PROBES:] = np.median(half[:PROBES]) / GROWTH if len(q) else 0  # the others start near where the first ones ended
+    _count(np.arange(PROBES, len(q)), found, half, pq, ranked, place, enough, widest)
+    out = []
+    for i, (v, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
+        near = found[i][ids[found[i]] != own]
+        s = x[near] @ v
+        best = np.lexsort((ids[near], -s))[:k]
+        out += [(own, int(ids[near[b]]), float(s[b])) for b in best]
+    return out
+
+
+def _count(active, found, half, pq, ranked, place, enough, widest) -> None:
+    """Widen the windows of the active queries until each has enough vectors that collide often; `half` ends at their widths."""
+    m = len(ranked)
     while len(active):
         low = np.stack([np.searchsorted(ranked[j], pq[active, j] - half[active]) for j in range(m)], 1).astype(place.dtype)
         high = np.stack([np.searchsorted(ranked[j], pq[active, j] + half[active], "right") for j in range(m)], 1).astype(place.dtype)
@@ -69,13 +85,6 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
                 left.append(i)
         active = np.array(left, np.int64)
         half[active] *= GROWTH
-    out = []
-    for i, (v, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
-        near = found[i][ids[found[i]] != own]
-        s = x[near] @ v
-        best = np.lexsort((ids[near], -s))[:k]
-        out += [(own, int(ids[near[b]]), float(s[b])) for b in best]
-    return out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
