@@ -228,9 +228,8 @@ def _(spark, d):
 
 @query("a21_argmax_columns", "select l_orderkey, l_linenumber, case when l_discount >= l_tax then 'l_discount' else 'l_tax' end as name from lineitem")
 def _(spark, d):
-    x = V.table(spark, d, "lineitem").unpivot(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_discount", "l_tax"], "name", "v")
-    best = F.max(F.struct("v", F.when(F.col("name") == "l_discount", 1).otherwise(0).alias("t"), "name"))["name"]
-    return x.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(best.alias("name")).select("l_orderkey", "l_linenumber", "name")
+    each = [F.struct(F.col(c).alias("v"), F.lit(-i).alias("t"), F.lit(c).alias("name")) for i, c in enumerate(("l_discount", "l_tax"))]
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest(*each)["name"].alias("name"))
 
 
 @query("a22_missing_share", "select lang, round(avg(case when quality is null then 1.0 else 0.0 end), 6) as share from documents left join (select distinct doc_id, quality from labels) using (doc_id) group by lang")

@@ -55,13 +55,13 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
-    """dataset (nation), method (segment), label_mean, batch_mean: positive scores."""
+    """dataset (nation), method (segment), label_mean, batch_mean: positive scores (1e-9 keeps exact halves from rounding either way)."""
     o, c, li = (table(spark, folder, n) for n in ("orders", "customer", "lineitem"))
     per = c.join(o, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("dataset"), F.col("c_mktsegment").alias("method")).agg(F.avg("o_totalprice").alias("p"))
     disc = li.select("l_orderkey", "l_discount").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     disc = disc.groupBy(F.col("c_nationkey").alias("dataset"), F.col("c_mktsegment").alias("method")).agg((F.avg("l_discount") + 0.01).alias("batch_mean"))
     most = per.agg(F.max("p").alias("most"))
-    return per.crossJoin(most).join(disc, ["dataset", "method"]).select("dataset", "method", F.round(F.col("p") / F.col("most"), 6).alias("label_mean"), F.round("batch_mean", 6).alias("batch_mean"))
+    return per.crossJoin(most).join(disc, ["dataset", "method"]).select("dataset", "method", F.round(F.col("p") / F.col("most") + 1e-9, 6).alias("label_mean"), F.round(F.col("batch_mean") + 1e-9, 6).alias("batch_mean"))
 
 
 # The same tables as DuckDB views, for the oracles.
@@ -71,7 +71,7 @@ VIEWS = {
     "expr_dense": "select o_custkey as cell_id, p_brand as gene_id, (o_custkey % 4)::int as batch, c_mktsegment as label, sum(l_quantity) as value from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey group by all",
     "slices": "select dense_rank() over (order by date_trunc('day', ts))::int as slice_idx, event_id as cell_id, user_id, event_type as label, value from events",
     "pairs": "select a, b from (select event_type as a, lead(event_type) over (partition by user_id order by ts, event_id) as b from events) where b is not null",
-    "scores_v": """select dataset, method, round(p / max(p) over (), 6) as label_mean, round(d, 6) as batch_mean from
+    "scores_v": """select dataset, method, round(p / max(p) over () + 1e-9, 6) as label_mean, round(d + 1e-9, 6) as batch_mean from
         (select c_nationkey as dataset, c_mktsegment as method, avg(o_totalprice) as p from customer join orders on c_custkey = o_custkey group by all) join
         (select c_nationkey as dataset, c_mktsegment as method, avg(l_discount) + 0.01 as d from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all) using (dataset, method)""",
 }
