@@ -345,3 +345,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
+
+_BLANKS = r"[^\x20\x09-\x0D]+"
+ORACLES = {
+    "op8_jaccard_join": f"""with recursive
+    words as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANKS}') as w from documents),
+    sets as materialized (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < {WIDTH} then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) end as s from words),
+    grams as materialized (select doc_id, len(s) as n, unnest(s) as g from sets),
+    links as materialized (select a.doc_id as a, b.doc_id as b from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+        group by a.doc_id, b.doc_id having 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+    ab as materialized (select a, b from links union select b, a from links),
+    reach as (select a as node, a as c from ab union select ab.b, reach.c from reach join ab on reach.node = ab.a),
+    least as materialized (select node, min(c) as c from reach group by node)
+    select doc_id, len(s)::bigint as n_shingles, coalesce(c, doc_id) as component_id from sets left join least on node = doc_id"""
+}

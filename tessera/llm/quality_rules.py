@@ -152,7 +152,7 @@ def judged(stats: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFra
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, both distances, base_failed and kept of every document."""
     stats = staged(measured(docs, ["doc_id", "lang"]))
-    return judged(stats, references(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged(stats, references(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -171,3 +171,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
+
+
+def _sql() -> str:
+    """The same counts, references and distances as one DuckDB statement."""
+    word, lower = r"[^\x20\x09-\x0D]+", "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    n_of = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+    classes = [n_of("a-z"), n_of("A-Z"), n_of("0-9"), n_of(r"\x20\x09-\x0D"), n_of(r""".,;:''"!?()-"""), n_of(r"""\x00-\x08\x0E-\x1F\x7F#$%&*+/<=>@\[\\\]\^_`{|}~"""), n_of(r"^\x00-\x7F").replace("[^^", "[")]
+    listed = ", ".join(f"('{w}')" for w in WORDS)
+
+    def distance(kind: str) -> str:
+        part = "case when {x} > 0 then {x} * log2({x} / ((p + q) / 2)) else 0 end"
+        return f"""{kind}_distance as materialized (select doc_id, sqrt(greatest(0, sum({part.format(x="p")} + {part.format(x="q")}) / 2)) as d from
+            (select o.doc_id, coalesce(h.c, 0) / o.n as p, r.c / r.total as q from {kind}_own o join {kind}_ref r on r.ref is not distinct from o.ref left join {kind}_hist h on h.doc_id = o.doc_id and h.k = r.k) group by doc_id)"""
+
+    def parts(kind: str) -> str:
+        return f"""{kind}_by as (select lang, k, sum(c) as c from {kind}_hist join docs using (doc_id) group by lang, k),
+        {kind}_ref as materialized (select ref, k, c, sum(c) over (partition by ref) as total from (select lang as ref, k, c from {kind}_by where lang in (select lang from large) union all select null, k, sum(c) from {kind}_by group by k) where c > 0),
+        {kind}_own as (select doc_id, case when lang in (select lang from large) then lang end as ref, sum(c) as n from {kind}_hist join docs using (doc_id) group by all having sum(c) > 0), {distance(kind)}"""
+
+    return f"""with docs as materialized (select doc_id, lang, coalesce(text, '') as t from documents),
+    words as materialized (select doc_id, regexp_extract_all(t, '{word}') as w, regexp_extract_all({lower}, '{word}') as l from docs),
+    char_hist as materialized (select doc_id, unnest(range(7)) as k, unnest([{", ".join(classes)}]) as c from docs),
+    common as (select * from (values {listed}) v(word)),
+    word_hist as materialized (select doc_id, coalesce(word, '') as k, count(*) as c from (select doc_id, unnest(l) as x from words) left join common on x = word group by all),
+    large as (select lang from char_hist join docs using (doc_id) where lang is not null group by lang having sum(c) >= {MIN_REFERENCE_CHARS}),
+    {parts("char")}, {parts("word")},
+    runs as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from words where len(w) >= 8)),
+    again as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from runs) where n > 1),
+    covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from again) group by doc_id),
+    lines as (select doc_id, count(*) - count(distinct x) as n from (select doc_id, unnest(string_split(t, chr(10))) as x from docs) where regexp_matches(x, '{word}') group by doc_id),
+    counts as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, {n_of("#*$%&|<>")}::bigint as n_symbols, coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
+        (select sum(c) from char_hist h where h.doc_id = docs.doc_id) as n_chars from docs join words using (doc_id) left join lines using (doc_id) left join covered using (doc_id)),
+    judged as (select c.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, case when n_chars >= {MIN_CHARS_JUDGED} then cd.d end as cd, case when n_words >= {MIN_WORDS_JUDGED} then wd.d end as wd
+        from counts c left join char_distance cd using (doc_id) left join word_distance wd using (doc_id))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(cd, 0) <= {MAX_CHAR_DISTANCE} and coalesce(wd, 0) <= {MAX_WORD_DISTANCE} as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from judged"""
+
+
+ORACLES = {"op10_quality_rules": _sql()}
