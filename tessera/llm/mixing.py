@@ -87,9 +87,18 @@ def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return out.withColumn("prob", F.when(F.col("full"), 1.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * scale)))
 
 
+def measured(docs: DataFrame, row: Column) -> DataFrame:
+    """`row`, n_tokens, topic, source and lang of every document."""
+    return docs.select(row.alias("row"), tokens(F.col("text")).alias("n_tokens"), topic(F.col("text")).alias("topic"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")])
+
+
 def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """`row` (the input row), source, lang, topic, n_tokens, weight (raked weight a token), prob and selected."""
-    base = docs.select(F.struct("*").alias("row"), tokens(F.col("text")).alias("n_tokens"), topic(F.col("text")).alias("topic"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")])
+    return weighed(measured(docs, F.struct("*")), powers, budget, seed)
+
+
+def weighed(base: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+    """Measured rows with weight, prob and selected."""
     cells = staged(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
     chances = staged(probabilities(raked(cells, powers), budget).select(*DIMENSIONS, F.round(F.col("w") / F.col("n"), 6).alias("weight"), F.round("prob", 6).alias("prob")))
     few = chances.count() <= 50_000  # some 100 bytes a cell: 5 MB; beyond, cells join by shuffle
@@ -104,8 +113,8 @@ def sampled(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float =
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "prob", "selected")
+    base = staged(measured(table(spark, sf_dir, "documents"), F.struct("doc_id")))  # texts are read once
+    return weighed(base).select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "prob", "selected")
 
 
 def _sql() -> str:
