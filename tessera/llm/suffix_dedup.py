@@ -38,7 +38,7 @@ from tessera.llm.common import bytes_of, slices, staged, table
 LENGTH, WINDOW, GRAM = 400, 96, 16
 CORE = LENGTH + 2 - 3 * WINDOW - GRAM
 MAX_ROUNDS = 7
-SHARD_BYTES, BYTES_A_TABLE_BUCKET, BYTES_A_BUCKET = 2_000_000, 16_000_000, 48_000_000
+SHARD_BYTES, BYTES_A_TABLE_BUCKET, BYTES_A_BUCKET = 1_200_000, 16_000_000, 48_000_000
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
