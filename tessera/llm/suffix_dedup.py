@@ -38,6 +38,7 @@ from tessera.llm.common import bytes_of, slices, staged, table
 LENGTH, WINDOW, GRAM = 400, 96, 16
 CORE = LENGTH + 2 - 3 * WINDOW - GRAM
 MAX_ROUNDS = 7
+PIECE = 1 << 20
 SHARD_BYTES, BYTES_A_TABLE_BUCKET, BYTES_A_BUCKET = 1_200_000, 16_000_000, 48_000_000
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,17 +78,17 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     rolling = Rolling(b)
     m = n - GRAM + 1
     h = _mixed((rolling.sums[GRAM:] - rolling.sums[:m]) * rolling._down[:m])
-    key = (h & ~np.uint64((1 << 24) - 1)) if m < 1 << 24 else (h & ~np.uint64((1 << 34) - 1))
-    low = (1 << 24) - 1 if m < 1 << 24 else (1 << 34) - 1
-    key |= np.uint64(low) - np.arange(m, dtype=np.uint64)  # of equal hashes the last place
-    del h
-    width = 1
-    while width * 2 <= WINDOW:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < WINDOW:
-        key = np.minimum(key[: len(key) - (WINDOW - width)], key[WINDOW - width :])
-    chosen = (np.uint64(low) - (key & np.uint64(low))).astype(np.int64)  # by window start
+    low, chosen = np.uint64((1 << 24) - 1), np.empty(m - WINDOW + 1, np.int64)  # by window start
+    for s in range(0, len(chosen), PIECE):
+        part = h[s : s + PIECE + WINDOW - 1]
+        key = (part & ~low) | (low - np.arange(len(part), dtype=np.uint64))  # of equal hashes the last place
+        width = 1
+        while width * 2 <= WINDOW:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if width < WINDOW:
+            key = np.minimum(key[: len(key) - (WINDOW - width)], key[WINDOW - width :])
+        chosen[s : s + PIECE] = s + (low - (key & low)).astype(np.int64)
     start = np.arange(len(chosen))
     doc = np.searchsorted(ends, start, "right")
     valid = start + span <= ends[doc]

@@ -265,6 +265,7 @@ def plain_removal(texts, length=400):
 def test_suffix_dedup(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix_dedup, "BYTES_A_BUCKET", 20_000)
+    monkeypatch.setattr(suffix_dedup, "PIECE", shard // 11)
     rng = random.Random(1)
     base = [words(rng, rng.randint(60, 300)) for _ in range(12)]
     texts = [*[x if x is None or len(x) < 9000 else "xy" * 700 for x in EDGE], "x" * 399, "x" * 400, "é" * 300, "é" * 300]
