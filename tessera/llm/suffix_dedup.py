@@ -206,6 +206,22 @@ def _blocks(h: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
     return out
 
 
+WIRE = np.dtype([("low", "<u4"), ("width", "<u4")])
+
+
+def _sent(blocks: np.ndarray) -> np.ndarray:
+    """Intervals of blocks as they travel, beside their hashes."""
+    out = np.empty(len(blocks), WIRE)
+    out["low"], out["width"] = blocks["low"], blocks["width"]
+    return out
+
+
+def _received(rows: list[dict], kind: int) -> np.ndarray:
+    load = _loads(rows, kind, WIRE)
+    h = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r["hash"], np.uint64) for r in rows if r["kind"] == kind]])
+    return _blocks(h, load["low"], load["width"])
+
+
 def _within(width: np.ndarray) -> np.ndarray:
     """0..w-1 for each width w, one after the other."""
     return np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
@@ -300,7 +316,7 @@ def _classes(row: dict, told: list[dict]):
     tree, b, ends = Tree(row), np.frombuffer(row["text"], np.uint8), np.frombuffer(row["ends"], np.int64)
     anchor, block = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for kind in sorted({r["kind"] for r in told if r["kind"] > 0}):
-        blocks = _loads(told, kind, BLOCK)
+        blocks = _received(told, kind)
         at = np.repeat(blocks["low"], blocks["width"]) + _within(blocks["width"])
         anchor.append(tree.rows[at] - kind + 1)
         block.append(np.repeat(blocks["hash"], blocks["width"]))
@@ -396,7 +412,7 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Tree(row).start()
-                sent = _dealt(row["shard"], 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), b, buckets)
+                sent = _dealt(row["shard"], 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), _sent(b), buckets)
                 yield from _table(sent).to_batches()
 
     def longer(phrases: int):
@@ -406,11 +422,11 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
             if not a.num_rows or not told.num_rows:
                 return _table([])
             row, rows = a.to_pylist()[0], told.to_pylist()
-            tree, b = Tree(row), _loads(rows, phrases, BLOCK)
+            tree, b = Tree(row), _received(rows, phrases)
             done = (tree.bytes_long(b, phrases) >= CORE) | (phrases >= MAX_ROUNDS)
-            out = [(-1, row["shard"], phrases, b"", b"", b[done].tobytes())] if done.any() else []
+            out = [(-1, row["shard"], phrases, b["hash"][done].tobytes(), b"", _sent(b[done]).tobytes())] if done.any() else []
             b = tree.extended(b[~done])
-            return _table(out + _dealt(row["shard"], phrases + 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), b, buckets))
+            return _table(out + _dealt(row["shard"], phrases + 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), _sent(b), buckets))
 
         return run
 
