@@ -83,23 +83,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: float | None = No
             return best.select("source", "node", "d")
 
 
-def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int = M.MAX_BATCH) -> DataFrame:
-    """i, j, d: the minimum spanning tree of each batch (exact, up to max_batch cells a batch)."""
+def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None) -> DataFrame:
+    """i, j, d: the minimum spanning tree of each batch (exact; one row of distances is held at a time).
+
+    A caller who wants an error for batches beyond some size gives max_batch.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        if t.num_rows > max_batch:
-            raise ValueError(f"a batch of {t.num_rows} cells is beyond the spanning tree ({max_batch}); subsample first")
+        if max_batch is not None and t.num_rows > max_batch:
+            raise ValueError(f"a batch of {t.num_rows} cells is beyond the size asked for ({max_batch}); subsample first")
         t = t.sort_by("cell_id")
         x, ids = np.stack(t.column("vec").to_numpy()), t.column("cell_id").to_numpy()
-        d = K.distances(x, x, metric)
-        inside, near, frm, out = np.zeros(len(x), bool), d[0].copy(), np.zeros(len(x), np.int64), []
+        inside, near, frm, out = np.zeros(len(x), bool), K.distances(x[:1], x, metric)[0], np.zeros(len(x), np.int64), []
         inside[0] = True
         for _ in range(len(x) - 1):
             k = int(np.argmin(np.where(inside, np.inf, near)))
             out.append((int(ids[frm[k]]), int(ids[k]), float(near[k])))
             inside[k] = True
-            closer = d[k] < near
-            near[closer], frm[closer] = d[k][closer], k
+            d = K.distances(x[k : k + 1], x, metric)[0]
+            closer = d < near
+            near[closer], frm[closer] = d[closer], k
         i, j, w = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(w, pa.float64())})
 

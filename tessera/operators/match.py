@@ -1,11 +1,14 @@
 """One-to-one matches between batches.
 
-Optimal assignment is not local: a pair of batches is solved in one task, which is exact up to MAX_BATCH rows a batch and
-an error beyond. Pairs of batches are separate tasks.
+Optimal assignment is not local: a pair of batches is solved in one task, exactly and for any number of rows. Up to HELD
+distances are kept as a matrix; beyond, each is worked out anew when it is asked for, so that memory grows with the rows
+and not with their square. Pairs of batches are separate tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,15 +17,14 @@ from pyspark.sql.window import Window
 
 from tessera.operators.knn import distances
 
-MAX_BATCH = 4000
+HELD = 16_000_000
 
 
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row of least total cost (-1: none), by shortest augmenting paths with potentials."""
-    flipped = cost.shape[0] > cost.shape[1]
-    c = np.where(np.isfinite(cost), cost, 1e12)
-    c = c.T if flipped else c
-    n, m = c.shape
+def least_pairs(n: int, m: int, row_of: Callable[[int], np.ndarray]) -> list[tuple[int, int, float]]:
+    """(row, column, cost) of least total cost for n <= m, by shortest augmenting paths with potentials.
+
+    row_of(i) gives the m costs of row i; pairs whose cost is not finite are left out.
+    """
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     owner = np.zeros(m + 1, np.int64)  # row of each column, from 1
     for row in range(1, n + 1):
@@ -31,7 +33,8 @@ def assignment(cost: np.ndarray) -> np.ndarray:
         while True:
             used[at] = True
             free = ~used[1:]
-            step = c[owner[at] - 1] - u[owner[at]] - v[1:]
+            c = row_of(int(owner[at]) - 1)
+            step = np.where(np.isfinite(c), c, 1e12) - u[owner[at]] - v[1:]
             better = free & (step < least[1:])
             least[1:][better] = step[better]
             back[1:][better] = at
@@ -46,15 +49,43 @@ def assignment(cost: np.ndarray) -> np.ndarray:
         while at:
             owner[at] = owner[back[at]]
             at = back[at]
+    taken = [(int(owner[col]) - 1, col - 1) for col in range(1, m + 1) if owner[col]]
+    return [(i, j, d) for i, j in taken if np.isfinite(d := float(row_of(i)[j]))]
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """Column of each row of least total cost (-1: none)."""
+    flipped = cost.shape[0] > cost.shape[1]
+    c = cost.T if flipped else cost
     out = np.full(cost.shape[0], -1, np.int64)
-    for col in range(1, m + 1):
-        if owner[col]:
-            i, j = (col - 1, owner[col] - 1) if flipped else (owner[col] - 1, col - 1)
-            if np.isfinite(cost[i, j]):
-                out[i] = j
+    for i, j, _ in least_pairs(*c.shape, lambda i: c[i]):
+        out[j if flipped else i] = i if flipped else j
     return out
 
 
+def nearest_pairs(x: np.ndarray, y: np.ndarray, rounds: int, metric: str) -> list[tuple[int, int, float, int]]:
+    """(row of x, row of y, distance, round); pairs of a round are closed for later ones."""
+    flipped = len(x) > len(y)
+    a, b = (y, x) if flipped else (x, y)
+    whole = distances(a, b, metric) if len(a) * len(b) <= HELD else None
+    closed: dict[int, list[int]] = {}
+
+    def row_of(i: int) -> np.ndarray:
+        d = distances(a[i : i + 1], b, metric)[0] if whole is None else whole[i]
+        if i in closed:
+            d = d.copy()
+            d[closed[i]] = np.inf
+        return d
+
+    found = []
+    for r in range(rounds):
+        pairs = least_pairs(len(a), len(b), row_of)
+        for i, j, _ in pairs:
+            closed.setdefault(i, []).append(j)
+        found += [(j, i, d, r) if flipped else (i, j, d, r) for i, j, d in pairs]
+    return found
+
+
 def stairs(cells: DataFrame, steps: tuple[int, ...] | None = None) -> DataFrame:
     """a, b: pairs of batches a < b, all or those whose positions differ by one of `steps`."""
     b = cells.select("batch").distinct().withColumn("at", F.row_number().over(Window.orderBy("batch")))  # one row a batch
@@ -63,8 +94,11 @@ def stairs(cells: DataFrame, steps: tuple[int, ...] | None = None) -> DataFrame:
     return (out.filter((F.col("q") - F.col("p")).isin(*steps)) if steps else out).select("a", "b")
 
 
-def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int = MAX_BATCH) -> DataFrame:
-    """a, b, i, j, d, round: the optimal matches of each pair of batches; matched pairs are closed for later rounds."""
+def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int | None = None) -> DataFrame:
+    """a, b, i, j, d, round: the optimal matches of each pair of batches; matched pairs are closed for later rounds.
+
+    A caller who wants an error for batches beyond some size gives max_batch.
+    """
     kind = cells.schema["batch"].dataType.simpleString()
     left = cells.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), F.col("batch").alias("a")).join(F.broadcast(pairs.select(F.col("a").alias("a"), F.col("b").alias("b"))), "a")
     right = cells.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), F.col("batch").alias("b")).join(F.broadcast(pairs.select(F.col("a").alias("a"), F.col("b").alias("b"))), "b")
@@ -72,17 +106,13 @@ def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         found = []
         if x.num_rows and y.num_rows:
-            if max(x.num_rows, y.num_rows) > max_batch:
-                raise ValueError(f"a batch of {max(x.num_rows, y.num_rows)} cells is beyond exact assignment ({max_batch}); subsample first")
+            if max_batch is not None and max(x.num_rows, y.num_rows) > max_batch:
+                raise ValueError(f"a batch of {max(x.num_rows, y.num_rows)} cells is beyond the size asked for ({max_batch}); subsample first")
             x, y = x.sort_by("id"), y.sort_by("id")
-            cost = distances(np.stack(x.column("v").to_numpy()), np.stack(y.column("v").to_numpy()), metric)
             a, b = x.column("a")[0].as_py(), x.column("b")[0].as_py()
             ids, jds = x.column("id").to_pylist(), y.column("id").to_pylist()
-            for r in range(rounds):
-                for i, j in enumerate(assignment(cost).tolist()):
-                    if j >= 0:
-                        found.append((a, b, ids[i], jds[j], float(cost[i, j]), r))
-                        cost[i, j] = np.inf
+            vx, vy = (np.stack(t.column("v").to_numpy()) for t in (x, y))
+            found = [(a, b, ids[i], jds[j], d, r) for i, j, d, r in nearest_pairs(vx, vy, rounds, metric)]
         columns = list(zip(*found, strict=True)) or [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, [arrow, arrow, pa.int64(), pa.int64(), pa.float64(), pa.int32()], strict=True)], names=["a", "b", "i", "j", "d", "round"])
 
@@ -113,7 +143,7 @@ def scaled(matches: DataFrame, scale: DataFrame, keep: float, scaling: float) ->
     return out.withColumn("weight", weight).drop("__r", "__n", "__cut", "__unit", "r_i", "r_j")
 
 
-def aligned(cells: DataFrame, metric: str = "euclidean", max_batch: int = MAX_BATCH) -> DataFrame:
+def aligned(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None) -> DataFrame:
     """cell_id, batch, position: cells of each batch in the order of their matches from the batch before."""
     order = [r["batch"] for r in cells.select("batch").distinct().orderBy("batch").collect()]  # a row a batch
     first = cells.filter(F.col("batch") == order[0]).withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("cell_id")))
