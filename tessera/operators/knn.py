@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
+COMPARED = 100_000
 
 
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -33,23 +34,40 @@ def exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(1))
 
 
+def reach(kth: np.ndarray, x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """The largest rounded distance that may belong to a true one within the k-th, from the rounded k-th of each row."""
+    unit = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+    if metric == "cosine":
+        return kth + 2 * unit
+    largest = (y * y).sum(1)
+    scale = (x * x).sum(1) + largest[np.isfinite(largest)].max(initial=0)
+    return np.sqrt(kth * kth + 2 * unit * scale)
+
+
 def best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, jds: np.ndarray, k: int, metric: str, self_too: bool):
-    """(i, j, d) of the k nearest in y for each row of x, ties to the smaller j. A margin guards against rounding."""
+    """(i, j, d) of the k nearest in y for each row of x, ties to the smaller j.
+
+    All columns that rounding may have moved across the k-th distance are compared by exact distances, however many.
+    """
     d = distances(x, y, metric)
     if not self_too:
         d[ids[:, None] == jds[None]] = np.inf
-    m = min(k + 16, d.shape[1])
-    near = np.argpartition(d, m - 1, axis=1)[:, :m]
-    rows = np.repeat(np.arange(len(x)), m)
-    cols = near.ravel()
-    keep = np.isfinite(d[rows, cols])
-    rows, cols = rows[keep], cols[keep]
-    e = exact(x[rows], y[cols], metric)
-    order = np.lexsort((jds[cols], e, rows))
-    rows, cols, e = rows[order], cols[order], e[order]
-    first = np.searchsorted(rows, rows)
-    own = np.arange(len(rows)) - first < k
-    return ids[rows[own]], jds[cols[own]], e[own]
+    d[np.isnan(d)] = np.inf
+    m = min(k, d.shape[1])
+    limit = reach(np.partition(d, m - 1, axis=1)[:, m - 1], x, y, metric)
+    out = []
+    start, within = 0, np.cumsum((d <= limit[:, None]).sum(1))
+    while start < len(x):  # some rows at a time, so that what is compared stays small
+        stop = max(start + 1, int(np.searchsorted(within, (within[start - 1] if start else 0) + COMPARED, "right")))
+        rows, cols = np.nonzero((d[start:stop] <= limit[start:stop, None]) & np.isfinite(d[start:stop]))
+        rows += start
+        e = exact(x[rows], y[cols], metric)
+        order = np.lexsort((jds[cols], e, rows))
+        rows, cols, e = rows[order], cols[order], e[order]
+        own = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((ids[rows[own]], jds[cols[own]], e[own]))
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean", by: tuple[str, ...] = (), self_too: bool = False) -> DataFrame:

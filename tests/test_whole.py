@@ -4,6 +4,7 @@ import numpy as np
 from test_units import points
 
 from tessera.operators import graph as G
+from tessera.operators import knn as K
 from tessera.operators import match as M
 
 
@@ -27,3 +28,17 @@ def test_matches_without_a_matrix(monkeypatch):
             got = M.nearest_pairs(x, y, 2, "euclidean")
         assert [p[:2] + p[3:] for p in got] == [p[:2] + p[3:] for p in want]
         assert np.allclose([p[2] for p in got], [p[2] for p in want])
+
+
+def test_neighbours_among_many_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 8)) + 30
+    same = rng.choice(1500, 400, replace=False)
+    x[same] = x[same[0]]
+    for metric in ("euclidean", "cosine"):
+        c = points(spark, [(i, 0, 0, v.tolist()) for i, v in enumerate(x)])
+        got = K.knn(c.filter(f"cell_id = {same[0]} or cell_id < 3"), c, 5, metric).toPandas().sort_values(["i", "rank"])
+        for i, g in got.groupby("i"):
+            d = K.exact(x[i][None], x, metric)
+            d[i] = np.inf
+            assert g.j.tolist() == np.argsort(d, kind="stable")[:5].tolist()
