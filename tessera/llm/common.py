@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,16 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def packed_ids(ids: Sequence[int | None]) -> bytes:
+    """Ids as 64-bit numbers, and after them a byte each: 1 where there is an id, 0 where it is null."""
+    return np.array([x or 0 for x in ids], np.int64).tobytes() + bytes(x is not None for x in ids)
+
+
+def unpacked_ids(packed: bytes) -> pa.Array:
+    n = len(packed) // 9
+    return pa.array(np.frombuffer(packed, np.int64, n), mask=np.frombuffer(packed, np.uint8, n, 8 * n) == 0)
+
+
 def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], make, keep: Sequence[str]) -> DataFrame:
     """One output row per input row: the `keep` columns and what make(list of bytes) returns.
 

@@ -21,7 +21,7 @@ region sizes and settles groups of copies, which lie around few pivots; step 4 g
 distinct sets that share rare shingles, are no near copies of a pivot and may by size still be near copies of each other.
 
 Defined cases: a null, empty or blank text has an empty set, which links with nothing; with fewer than five words the
-whole sequence is one shingle; repeated rows are one class; an empty table gives an empty result; other columns of the
+whole sequence is one shingle; a row of null id links with nothing and has a null component; repeated rows are one class; an empty table gives an empty result; other columns of the
 input are ignored (`representatives` returns them unchanged). Shingles are compared by 64-bit hashes.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, connected_components, slices, staged, table
+from tessera.llm.common import bytes_of, connected_components, packed_ids, slices, staged, table, unpacked_ids
 
 WIDTH, PERCENT, RADIUS = 5, 75, 0.25
 TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_500_000, 600_000, 512
@@ -128,7 +128,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(at, kind="stable")
             counts = np.bincount(at * len(held) + doc, minlength=buckets * len(held)).reshape(buckets, -1).astype(np.uint32)
             tokens, cut, chunk = tokens[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))]), part << 24 | seq
-            rows = [(chunk % buckets, chunk, True, np.array(ids, np.int64).tobytes(), b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in held), n.tobytes())]
+            rows = [(chunk % buckets, chunk, True, packed_ids(ids), b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in held), n.tobytes())]
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 t = tokens[cut[k] : cut[k + 1]]
                 rows.append((k, chunk, False, t.astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint8).tobytes(), counts[k].tobytes()))
@@ -186,7 +186,7 @@ def _assembled(t: pa.Table) -> pa.Table:
     docs, bucket = t.column("docs").to_pylist(), t.column("bucket").to_pylist()
     a, b, c = (t.column(x).to_pylist() for x in "abc")
     i = docs.index(True)
-    ids, cls, n = np.frombuffer(a[i], np.int64), np.frombuffer(b[i], np.int64), np.frombuffer(c[i], np.uint32).astype(np.int64)
+    ids, cls, n = unpacked_ids(a[i]), np.frombuffer(b[i], np.int64), np.frombuffer(c[i], np.uint32).astype(np.int64)
     own = [k for k, d in enumerate(docs) if not d]
     token = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(a[k], np.uint64) | np.uint64(bucket[k] << 40) for k in own]]).astype(np.int64)
     df = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(b[k], np.uint8) for k in own]])
@@ -322,22 +322,22 @@ def components(docs: DataFrame) -> DataFrame:
     buckets = int(max(1, -(-size // TOKENS_A_BUCKET)))
     back = _dealt(docs, buckets).groupBy("bucket").applyInArrow(_repeated, PARTS)
     rows = staged(back.groupBy("chunk").applyInArrow(_assembled, DOCS))
-    reps = staged(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    nodes = staged(rows.filter("shared is not null").dropDuplicates(["cls"]))
+    reps = staged(rows.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")))
+    nodes = staged(rows.filter("shared is not null and doc_id is not null").dropDuplicates(["cls"]))
     links = _links(nodes)
     name = lambda c: reps.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"))
     edges = links.join(name("cls"), "cls").join(name("pivot"), "pivot").select("rep_cls", "rep_pivot")
     group = connected_components(edges, "rep_cls", "rep_pivot")
     classes = reps.join(group, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     full = rows.select("doc_id", "n", "cls").join(classes, "cls", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's, one for each text, with the columns of docs unchanged."""
+    """The rows of docs whose id is their component's, one for each text, and every row of null id; columns unchanged."""
     gone = components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti").select(*docs.columns).withColumn("__key", F.xxhash64("text"))
-    return first.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    first = docs.join(gone, "doc_id", "left_anti").select(*docs.columns).withColumns({"__key": F.xxhash64("text"), "__row": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    return first.dropDuplicates(["doc_id", "__key", "__row"]).drop("__key", "__row")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ Vectors are dealt into blocks of about `BLOCK` rows and queries into chunks of `
 its own, so neither side is gathered whole. Every block gives its best k for each query; k times the number of blocks
 meet for the final ranks.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries or
+Defined cases: rows of null id, and vectors that are null, empty, zero or hold null or non-finite components, take no part, as queries or
 candidates; vectors of another length than the query's are no candidates; ties go to the smaller id; rows with equal ids
 are separate candidates unless their id is the query's own, and a query id is asked once; with k or fewer candidates all
 are returned; an empty table gives an empty result; other columns are ignored.
@@ -90,8 +90,8 @@ def _count(active, found, half, pq, ranked, place, enough, widest) -> None:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for every query row."""
     to = F.col(vec_col).cast("array<double>")
-    rows = staged(vectors.select(F.col(id_col).cast("long").alias("id"), to.alias("v")).filter(usable(F.col("v"))))
-    asked = staged(queries.select(F.col(id_col).cast("long").alias("id"), to.alias("v")).filter(usable(F.col("v"))).dropDuplicates(["id"]))
+    valid = lambda df: df.select(F.col(id_col).cast("long").alias("id"), to.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows, asked = staged(valid(vectors)), staged(valid(queries).dropDuplicates(["id"]))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     sizes = rows.agg(F.count("*").alias("n"), F.max(norm).alias("most")).first()
     blocks, chunks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-asked.count() // CHUNK))

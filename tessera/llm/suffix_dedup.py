@@ -16,7 +16,7 @@ first `WINDOW` places, and the cuts of the next `CORE` bytes and more are the sa
 Shards lie in a table bucketed by shard, so every step meets its shard without moving it; between steps only packed hashes
 move, dealt by hash into buckets of bounded size.
 
-Defined cases: a null text is empty; a document shorter than `LENGTH` has nothing removed; repeated rows are separate
+Defined cases: a null text is empty; a row of null id is a document like any other, with a null id in the result; a document shorter than `LENGTH` has nothing removed; repeated rows are separate
 documents and so remove each other's strings; an empty table gives an empty result; other columns are ignored. Strings are
 compared by 64-bit hashes. Strings with a short period have many short phrases; after `MAX_ROUNDS` phrases a block counts as
 complete, which only gives the exact check more to do.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, slices, staged, table
+from tessera.llm.common import bytes_of, packed_ids, slices, staged, table, unpacked_ids
 
 LENGTH, WINDOW, GRAM = 400, 96, 16
 CORE = LENGTH + 2 - 3 * WINDOW - GRAM
@@ -129,7 +129,7 @@ def _shard(shard: int, ids: list, texts: list[bytes]) -> tuple:
         same = np.flatnonzero(doc[1:] == doc[:-1])
         sym[same] = Rolling(b).hashes(place[same], place[same + 1]) | np.uint64(1)
     packed = (place.astype(np.uint32), (place - first).astype(np.uint8), sym, sorted_rows(sym).astype(np.uint32) if len(sym) else np.empty(0, np.uint32))
-    return (shard, joined, np.array(ids, np.int64).tobytes(), ends.astype(np.int64).tobytes(), *(x.tobytes() for x in packed))
+    return (shard, joined, packed_ids(ids), ends.astype(np.int64).tobytes(), *(x.tobytes() for x in packed))
 
 
 def _sharded(docs: DataFrame) -> DataFrame:
@@ -383,8 +383,7 @@ def _covered(row: dict, told: list[dict]) -> np.ndarray:
 def _cut(row: dict, told: list[dict]) -> Iterator[tuple[int | None, bytes, np.ndarray]]:
     """(doc_id, bytes, mask of covered bytes) of each document of the shard."""
     mask, text, at = _covered(row, told), row["text"], 0
-    ids = np.frombuffer(row["ids"], np.int64)
-    for doc, end in zip(ids.tolist(), np.frombuffer(row["ends"], np.int64).tolist(), strict=True):
+    for doc, end in zip(unpacked_ids(row["ids"]).to_pylist(), np.frombuffer(row["ends"], np.int64).tolist(), strict=True):
         yield doc, text[at:end], mask[at:end]
         at = end
 
@@ -395,7 +394,8 @@ def _step_result(row: dict, told: list[dict]) -> pa.Table:
         removed = int(mask.sum())
         kept = np.frombuffer(b, np.uint8)[~mask].tobytes() if removed else b
         out.append((doc, len(b), removed, int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return pa.table(dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], map(list, zip(*out, strict=True)), strict=True)))
+    types = [*[pa.int64()] * 4, pa.string()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_removed(docs: DataFrame) -> DataFrame:
