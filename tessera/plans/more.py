@@ -352,9 +352,10 @@ def _(spark, d):
 
 @query("g11_assignment_kernel")
 def _(spark, d):
-    c = V.cells(spark, d).filter("batch < 2")
+    """A kernel of shortest paths of any length from the query set, over the graph of all batches."""
+    c = V.cells(spark, d)
     e = G.linear_assignment_integrate(c, 5)
-    paths = G.shortest_paths(e, c.filter("cell_id % 40 = 0").select("cell_id"), 3.0)
+    paths = G.shortest_paths(e, c.filter("cell_id % 50 = 0").select("cell_id"))
     return G.gaussian(paths.select(F.col("source").alias("i"), F.col("node").alias("j"), "d"))
 
 
@@ -387,10 +388,10 @@ def _(spark, d):
 
 @query("lt2_diffuse_on_paths")
 def _(spark, d):
-    """Labels spread over a kernel of shortest paths on the neighbour graph (bounded length)."""
-    c = V.cells(spark, d).filter("batch < 2")
+    """Labels spread over a kernel of shortest paths on the neighbour graph (all pairs, of any length)."""
+    c = V.cells(spark, d)
     e = K.symmetric(K.knn(c, c, 4)).select("i", "j", F.col("d").alias("weight"))
-    paths = G.shortest_paths(e, c.select("cell_id"), 2.2)
+    paths = G.shortest_paths(e, c.select("cell_id"))
     w = G.gaussian(paths.filter("source <> node").select(F.col("source").alias("i"), F.col("node").alias("j"), "d"))
     return G.spread_labels(w, c.select("cell_id", F.when(F.col("batch") == 0, F.col("label")).alias("label")), rounds=10)
 

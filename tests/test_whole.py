@@ -9,6 +9,8 @@ from tessera.llm import jaccard_join, neighbours, packing, quality_model, qualit
 from tessera.operators import graph as G
 from tessera.operators import knn as K
 from tessera.operators import match as M
+from tessera.plans import QUERIES
+from tessera.sources import tables as V
 
 
 def test_large_batches_have_matches_and_trees(spark):
@@ -72,3 +74,13 @@ def test_pipeline_takes_null_ids(spark):
         docs = stage(spark, docs, SF)
         left = docs.filter("doc_id is null").count()
         assert left > 0 and (left <= n or name == "best-fit packing")
+
+
+def test_paths_reach_all_batches(spark):
+    kernel = QUERIES["g11_assignment_kernel"](spark, SF).toPandas()
+    assert set(kernel.i) == set(range(0, 500, 50)) and len(kernel) == 10 * 500
+    c = V.cells(spark, SF)
+    groups = G.components(K.knn(c, c, 4).select("i", "j"))
+    known = groups.join(c.filter("batch = 0"), groups.node == c.cell_id).select("component").distinct()
+    want = {r["node"] for r in groups.join(known, "component").collect()}
+    assert {r["cell_id"] for r in QUERIES["lt2_diffuse_on_paths"](spark, SF).collect()} == want
