@@ -9,6 +9,7 @@ from tessera.llm import jaccard_join, neighbours, packing, quality_model, qualit
 from tessera.operators import graph as G
 from tessera.operators import knn as K
 from tessera.operators import match as M
+from tessera.operators import models as L
 from tessera.plans import QUERIES
 from tessera.sources import tables as V
 
@@ -84,3 +85,21 @@ def test_paths_reach_all_batches(spark):
     known = groups.join(c.filter("batch = 0"), groups.node == c.cell_id).select("component").distinct()
     want = {r["node"] for r in groups.join(known, "component").collect()}
     assert {r["cell_id"] for r in QUERIES["lt2_diffuse_on_paths"](spark, SF).collect()} == want
+
+
+def test_all_labels_scored(spark, monkeypatch):
+    import pyspark.ml.classification as C
+
+    class Perfect:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, _):
+            return self
+
+        def transform(self, y):
+            return y.withColumn("prediction", y.y)
+
+    monkeypatch.setattr(C, "LinearSVC", Perfect)
+    c = points(spark, [(i, 0, i, [0.0]) for i in range(103)])
+    assert {r["label"] for r in L.linear_accuracy(c).collect()} == set(range(103))
