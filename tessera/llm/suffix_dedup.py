@@ -7,19 +7,22 @@ first `WINDOW` places, and the cuts of the next `CORE` bytes and more are the sa
  1. A shard holds the phrases of some MB of whole documents. Its suffixes (read backwards, so that they grow to the right)
     are sorted once, which gives its transform: for each row the phrase that comes next and the row it leads to.
  2. Shards are merged by refining the interleave: a block is a string of phrases with one interval of rows in each shard.
-    Every round extends all blocks by one phrase through the transforms, sums the widths of equal blocks over the shards and
+    The blocks in order, with their widths in each shard, are the interleave of the merged transform, run by run. Every round
+    follows the transforms until all blocks are `STEP` bytes longer, sums the widths of equal blocks over the shards and
     drops those of width one; the length of the block is the common prefix so far. No suffix is sorted again, and a string
-    that a third of all documents hold is one interval a shard. Blocks of `CORE` bytes are complete.
+    that a third of all documents hold is one interval a shard. Blocks of `CORE` bytes are complete, after at most
+    CORE / STEP rounds however short the phrases are.
  3. The rows of complete blocks are places where strings of `LENGTH` bytes may repeat. An exact check follows: anchors whose
     whole surroundings repeat are settled at once; for the others each window of `LENGTH` bytes is compared by its hash.
 
 Shards lie in a table bucketed by shard, so every step meets its shard without moving it; between steps only packed hashes
-move, dealt by hash into buckets of bounded size.
+move, dealt by hash into buckets of bounded size. One string can stand in every shard; where there are more than
+`SHARDS_A_GROUP` shards, equal strings are therefore counted within groups of shards first and then over the groups.
 
 Defined cases: a null text is empty; a row of null id is a document like any other, with a null id in the result; a document shorter than `LENGTH` has nothing removed; repeated rows are separate
 documents and so remove each other's strings; an empty table gives an empty result; other columns are ignored. Strings are
-compared by 64-bit hashes. Strings with a short period have many short phrases; after `MAX_ROUNDS` phrases a block counts as
-complete, which only gives the exact check more to do.
+compared by 64-bit hashes. A document is never split: its bytes, and those of the shard that it ends, meet in one task and
+must stay below 2 GB, the limit of a cell. `text` is what is left, without bytes that no longer form a character.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from tessera.llm.common import bytes_of, packed_ids, slices, staged, table, unpa
 
 LENGTH, WINDOW, GRAM = 400, 96, 16
 CORE = LENGTH + 2 - 3 * WINDOW - GRAM
-MAX_ROUNDS = 7
+STEP = 25
+SHARDS_A_GROUP = 4096
 PIECE = 1 << 20
 SHARD_BYTES, BYTES_A_TABLE_BUCKET, BYTES_A_BUCKET = 1_200_000, 16_000_000, 48_000_000
 BASE, MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
@@ -97,22 +101,22 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return chosen[first], start[first], doc[first]
 
 
-def sorted_rows(sym: np.ndarray, depth: int = MAX_ROUNDS + 1) -> np.ndarray:
-    """Phrase numbers in the order of their strings read backwards, to `depth` phrases; 0 ends a document."""
+def sorted_rows(sym: np.ndarray) -> np.ndarray:
+    """Phrase numbers in the order of their strings read backwards, to the start of the document; 0 ends a document."""
     n = len(sym)
     rank = np.unique(sym, return_inverse=True)[1].astype(np.int64)
     ended = sym == 0
     last_end = np.maximum.accumulate(np.where(ended, np.arange(n), -1))  # the string may not pass an end to its left
     reach = np.arange(n) - np.where(ended, np.arange(n) - 0, last_end)
     h = 1
-    while h < depth:
+    while True:
         before = np.full(n, -1, np.int64)
         before[h:] = rank[:-h]
         before[reach <= h] = -1
         new = np.unique(rank * (n + 2) + before + 1, return_inverse=True)[1].astype(np.int64)
-        done = new[-1:].size and int(new.max()) == int(rank.max())
+        same = int(new.max()) == int(rank.max())
         rank, h = new, 2 * h
-        if done:
+        if same or h >= n:
             break
     return np.argsort(rank, kind="stable")
 
@@ -184,13 +188,33 @@ class Tree:
         s = self.sym[after]
         has = s != 0
         which, s, to = which[has], s[has], self.at[after[has]]
-        order = np.lexsort((to, s, which))
-        which, s, to = which[order], s[order], to[order]
+        if not len(s):
+            return _blocks(s, to, to)
+        begin = np.flatnonzero(np.diff(which, prepend=-1))  # rows of a block stand together
+        varied = np.repeat(np.maximum.reduceat(s, begin) != np.minimum.reduceat(s, begin), np.diff(np.append(begin, len(s))))
+        if varied.any():  # only blocks with several continuations are sorted
+            at = np.flatnonzero(varied)
+            order = at[np.lexsort((s[at], which[at]))]
+            which[at], s[at], to[at] = which[order], s[order], to[order]
         new = np.ones(len(s), bool)
         new[1:] = (which[1:] != which[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
         width = np.diff(np.append(first, len(s)))
-        return _blocks(_mixed(blocks["hash"][which[first]] * MIX + s[first]), to[first], width)
+        return _blocks(_mixed(blocks["hash"][which[first]] * MIX + s[first]), np.minimum.reduceat(to, first), width)
+
+    def reached(self, blocks: dict[int, np.ndarray], least: int) -> dict[int, np.ndarray]:
+        """The blocks, by number of phrases, longer by as many phrases as give each `least` bytes."""
+        out: dict[int, np.ndarray] = {}
+        waiting = {p: b for p, b in blocks.items() if len(b)}
+        while waiting:
+            p = min(waiting)
+            b = waiting.pop(p)
+            long = self.bytes_long(b, p) >= least
+            if long.any():
+                out[p] = b[long]
+            if len(more := self.extended(b[~long])):
+                waiting[p + 1] = np.concatenate([waiting[p + 1], more]) if p + 1 in waiting else more
+        return out
 
     def bytes_long(self, blocks: np.ndarray, phrases: int) -> np.ndarray:
         last = self.rows[blocks["low"]]
@@ -248,24 +272,84 @@ def _dealt(shard: int, kind: int, h: np.ndarray, part: np.ndarray, load: np.ndar
     return [(k, shard, kind, h[cut[k] : cut[k + 1]].tobytes(), part[cut[k] : cut[k + 1]].tobytes(), load[cut[k] : cut[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(cut)).tolist()]
 
 
-def _merged(t: pa.Table) -> pa.Table:
-    """Blocks of one bucket whose widths over all shards sum to two or more; each goes back to its shard."""
-    rows = t.to_pylist()
-    h = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in rows])
-    width = np.concatenate([np.frombuffer(r["part"], np.uint8) for r in rows]).astype(np.int64)
-    keep = _totals(h, width) >= 2
-    return _table(_returned(rows, h, keep))
+def _classed(h: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry the number of its class of equal (string, surroundings), and the first entry of every class."""
+    order = np.lexsort((np.arange(len(h)), span, h))
+    hs, ss = h[order], span[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])
+    cls = np.empty(len(h), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    return cls, order[new]
 
 
-def _totals(h: np.ndarray, width: np.ndarray) -> np.ndarray:
-    order = np.argsort(h)
-    ranked = h[order]
-    group = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])) - 1
-    out = np.empty(len(h), np.int64)
-    out[order] = np.bincount(group, width[order])[group].astype(np.int64)
+def _status(h: np.ndarray, span: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Of each entry: 1 where its class repeats, and 2 for one entry of a class whose string has several classes."""
+    if not len(h):
+        return np.empty(0, np.uint8)
+    cls, first = _classed(h, span)
+    total = np.bincount(cls, copies)
+    block = np.unique(h[first], return_inverse=True)[1]
+    several = np.bincount(block)[block] > 1
+    out = (total >= 2)[cls] * np.uint8(1)
+    out[first] |= several * np.uint8(2)
     return out
 
 
+class Kind:
+    """How the entries of a step are read: their surroundings (0 where a step has none) and number of copies."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def entries(self, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r["hash"], np.uint64) for r in rows]])
+        part = lambda t: np.concatenate([np.empty(0, t), *[np.frombuffer(r["part"], t) for r in rows]])
+        if self.name == "classes":
+            load = np.concatenate([np.empty((0, 2), np.uint32), *[np.frombuffer(r["load"], np.uint32).reshape(-1, 2) for r in rows]])
+            return h, part(np.uint64), load[:, 1].astype(np.int64)
+        return h, np.zeros(len(h), np.uint64), part(np.uint8).astype(np.int64) if self.name == "blocks" else np.ones(len(h), np.int64)
+
+    def counted(self, t: pa.Table) -> pa.Table:
+        """One group of shards: its classes with their copies (2 at most)."""
+        rows = t.to_pylist()
+        h, span, copies = self.entries(rows)
+        cls, first = _classed(h, span)
+        total = np.minimum(np.bincount(cls, copies), 2).astype(np.uint8)
+        return _table([(rows[0]["bucket"], rows[0]["salt"], 0, h[first].tobytes(), span[first].tobytes(), total.tobytes())])
+
+    @staticmethod
+    def summed(t: pa.Table) -> pa.Table:
+        """All groups of a bucket: the classes that repeat or must be compared, back to their groups."""
+        rows = t.to_pylist()
+        h = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in rows])
+        span = np.concatenate([np.frombuffer(r["part"], np.uint64) for r in rows])
+        status = _status(h, span, np.concatenate([np.frombuffer(r["load"], np.uint8) for r in rows]))
+        out, at = [], 0
+        for r in rows:
+            n = len(r["load"])
+            mine = status[at : at + n] > 0
+            if mine.any():
+                out.append((r["bucket"], r["shard"], 0, h[at : at + n][mine].tobytes(), span[at : at + n][mine].tobytes(), status[at : at + n][mine].tobytes()))
+            at += n
+        return _table(out)
+
+    def answered(self, t: pa.Table, told: list[dict] | None = None) -> pa.Table:
+        """The entries of one group of shards that repeat or must be compared, each back to its shard."""
+        rows = t.to_pylist()
+        h, span, copies = self.entries(rows)
+        if told is None:
+            status = _status(h, span, copies)
+        else:
+            known = [np.concatenate([np.empty(0, d), *[np.frombuffer(r[c], d) for r in told]]) for c, d in (("hash", np.uint64), ("part", np.uint64), ("load", np.uint8))]
+            cls, first = _classed(np.concatenate([known[0], h]), np.concatenate([known[1], span]))
+            n, of = len(known[0]), np.zeros(len(first), np.uint8)
+            of[cls[:n]] = known[2]
+            status, mine = of[cls[n:]] & np.uint8(1), _classed(h, span)[1]
+            status[mine] |= of[cls[n:]][mine] & np.uint8(2)
+        return _table(_returned(rows, h, status > 0, status if self.name == "classes" else None))
+
+
 def _returned(rows: list[dict], h: np.ndarray, keep: np.ndarray, part: np.ndarray | None = None) -> list[tuple]:
     out, at = [], 0
     for r in rows:
@@ -278,35 +362,6 @@ def _returned(rows: list[dict], h: np.ndarray, keep: np.ndarray, part: np.ndarra
     return out
 
 
-def _judged(t: pa.Table) -> pa.Table:
-    """Of the (block, surroundings) classes of one bucket: 1 where a class repeats, 2 where its windows must be compared.
-
-    They must be where a block has several classes: every class that is alone, and one shard's copy of each that repeats.
-    """
-    rows = t.to_pylist()
-    h = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in rows])
-    span = np.concatenate([np.frombuffer(r["part"], np.uint64) for r in rows])
-    load = np.concatenate([np.frombuffer(r["load"], np.uint32).reshape(-1, 2) for r in rows])
-    order = np.lexsort((np.arange(len(h)), span, h))
-    hs, ss = h[order], span[order]
-    new_block = np.concatenate([[True], hs[1:] != hs[:-1]])
-    new_class = new_block | np.concatenate([[True], ss[1:] != ss[:-1]])
-    block, cls = np.cumsum(new_block) - 1, np.cumsum(new_class) - 1
-    copies = np.bincount(cls, load[order, 1])[cls]
-    several = np.bincount(block[new_class])[block] > 1
-    status = np.zeros(len(h), np.uint8)
-    status[order] = (copies >= 2) * 1 + (several & new_class) * 2
-    return _table(_returned(rows, h, status > 0, status))
-
-
-def _again(t: pa.Table) -> pa.Table:
-    """The windows of one bucket that occur twice or more."""
-    rows = t.to_pylist()
-    h = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in rows])
-    keep = _totals(h, np.ones(len(h), np.int64)) >= 2
-    return _table(_returned(rows, h, keep))
-
-
 def _loads(rows: list[dict], kind: int, dtype) -> np.ndarray:
     return np.concatenate([np.empty(0, dtype), *[np.frombuffer(r["load"], dtype) for r in rows if r["kind"] == kind]])
 
@@ -360,7 +415,7 @@ def _step_windows(row: dict, told: list[dict], buckets: int) -> list[tuple]:
     return _dealt(row["shard"], -2, rolling.hashes(at, at + LENGTH), np.zeros(len(at), np.uint8), at.astype(np.uint32), buckets)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_chars long"
 
 
 def _covered(row: dict, told: list[dict]) -> np.ndarray:
@@ -393,59 +448,79 @@ def _step_result(row: dict, told: list[dict]) -> pa.Table:
     for doc, b, mask in _cut(row, told):
         removed = int(mask.sum())
         kept = np.frombuffer(b, np.uint8)[~mask].tobytes() if removed else b
-        out.append((doc, len(b), removed, int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    types = [*[pa.int64()] * 4, pa.string()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        text = kept.decode("utf-8", "ignore")
+        out.append((doc, len(b), removed, int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), text, len(text)))
+    types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def repeated_removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+def repeated_removed(docs: DataFrame, shards_a_group: int = SHARDS_A_GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left) and n_chars (its length) of every document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = int(max(1, -(-size // BYTES_A_BUCKET)))
     name = f"tessera_shards_{uuid.uuid4().hex}"
-    _sharded(docs).write.option("compression", "zstd").bucketBy(int(max(1, -(-size // BYTES_A_TABLE_BUCKET))), "shard").saveAsTable(name)
-    shards = spark.table(name)
+    try:
+        _sharded(docs).write.option("compression", "zstd").bucketBy(int(max(1, -(-size // BYTES_A_TABLE_BUCKET))), "shard").saveAsTable(name)
+        return _removed(spark.table(name), int(max(1, -(-size // BYTES_A_BUCKET))), shards_a_group)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def _removed(shards: DataFrame, buckets: int, shards_a_group: int) -> DataFrame:
     slim = shards.select("shard", "place", "sym", "rows")
+    groups = max(1, -(-slim.count() // shards_a_group))
+
+    def sent(tree: Tree, shard: int, blocks: dict[int, np.ndarray]) -> list[tuple]:
+        out = []
+        for p, b in blocks.items():
+            out += _dealt(shard, p, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), _sent(b), buckets)
+        return out
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Tree(row).start()
-                sent = _dealt(row["shard"], 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), _sent(b), buckets)
-                yield from _table(sent).to_batches()
+                tree = Tree(row)
+                yield from _table(sent(tree, row["shard"], tree.reached({1: tree.start()}, STEP))).to_batches()
 
-    def longer(phrases: int):
-        """Complete blocks, in bucket -1, and the others longer by one phrase."""
+    def longer(least: int):
+        """Complete blocks, in bucket -1, and the others, of `least` bytes now."""
 
         def run(a: pa.Table, told: pa.Table) -> pa.Table:
             if not a.num_rows or not told.num_rows:
                 return _table([])
             row, rows = a.to_pylist()[0], told.to_pylist()
-            tree, b = Tree(row), _received(rows, phrases)
-            done = (tree.bytes_long(b, phrases) >= CORE) | (phrases >= MAX_ROUNDS)
-            out = [(-1, row["shard"], phrases, b["hash"][done].tobytes(), b"", _sent(b[done]).tobytes())] if done.any() else []
-            b = tree.extended(b[~done])
-            return _table(out + _dealt(row["shard"], phrases + 1, b["hash"], np.minimum(b["width"], 2).astype(np.uint8), _sent(b), buckets))
+            tree, out, rest = Tree(row), [], {}
+            for p in sorted({r["kind"] for r in rows}):
+                b = _received(rows, p)
+                done = tree.bytes_long(b, p) >= CORE
+                if done.any():
+                    out.append((-1, row["shard"], p, b["hash"][done].tobytes(), b"", _sent(b[done]).tobytes()))
+                rest[p] = b[~done]
+            return _table(out + sent(tree, row["shard"], tree.reached(rest, least)))
 
         return run
 
     def meet(left: DataFrame, told: DataFrame, run, schema: str = SENT) -> DataFrame:
         return left.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, schema)
 
-    def merged(sent: DataFrame, how=_merged) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(how, SENT)
+    def merged(entries: DataFrame, kind: Kind) -> DataFrame:
+        if groups == 1:
+            return entries.groupBy("bucket").applyInArrow(lambda t: kind.answered(t), SENT)
+        salted = staged(entries.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(groups))))
+        known = salted.groupBy("bucket", "salt").applyInArrow(lambda t: kind.counted(t), SENT).groupBy("bucket").applyInArrow(Kind.summed, SENT).withColumnRenamed("shard", "salt")
+        keys = ("bucket", "salt")
+        return salted.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(lambda t, k: kind.answered(t, k.to_pylist()) if t.num_rows and k.num_rows else _table([]), SENT)
 
-    complete, phrases = [], 1
-    live = merged(slim.mapInArrow(first, SENT))
+    blocks, classes, windows = Kind("blocks"), Kind("classes"), Kind("windows")
+    least, complete, live = STEP, [], merged(slim.mapInArrow(first, SENT), blocks)
     while True:
-        state = staged(meet(slim, live, longer(phrases)))
+        least += STEP
+        state = staged(meet(slim, live, longer(min(least, CORE))))
         complete.append(state.filter("bucket < 0"))
         rest = state.filter("bucket >= 0")
         if rest.isEmpty():
             break
-        live = merged(rest)
-        phrases += 1
+        live = merged(rest, blocks)
     told = complete[0]
     for x in complete[1:]:
         told = told.union(x)
@@ -456,11 +531,9 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
 
         return run
 
-    told = told.union(staged(merged(meet(shards, told, with_text(_step_check)), _judged)))
-    told = told.union(staged(merged(meet(shards, told, with_text(_step_windows)), _again)))
-    out = staged(meet(shards, told, lambda a, t: _step_result(a.to_pylist()[0], t.to_pylist()), RESULT))
-    spark.sql(f"drop table {name}")
-    return out
+    told = told.union(staged(merged(meet(shards, told, with_text(_step_check)), classes)))
+    told = told.union(staged(merged(meet(shards, told, with_text(_step_windows)), windows)))
+    return staged(meet(shards, told, lambda a, t: _step_result(a.to_pylist()[0], t.to_pylist()), RESULT))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,7 +273,25 @@ def test_suffix_dedup(spark, monkeypatch, shard):
         x, k = rng.choice(base), rng.random()
         a = rng.randint(0, len(x))
         texts.append(x if k < 0.3 else x[:a] + words(rng, 1) + x[a:] if k < 0.6 else words(rng, 60) + x[a : a + rng.randint(380, 430)] + words(rng, 40) if k < 0.85 else "ab" * rng.randint(100, 500) + x[:300])
-    assert rows(suffix_dedup.repeated_removed(frame(spark, texts))) == plain_removal(texts)
+    assert rows(suffix_dedup.repeated_removed(frame(spark, texts)).drop("text", "n_chars")) == plain_removal(texts)
+
+
+def test_suffix_dedup_groups_of_shards(spark, monkeypatch):
+    """A passage in every shard, counted within groups of shards first; short periods; characters cut in two."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BYTES_A_BUCKET", 9000)
+    rng = random.Random(11)
+    passage = words(rng, 130)
+    texts = [words(rng, rng.randint(5, 60)) + " " + passage + " " + words(rng, rng.randint(5, 60)) for _ in range(40)]
+    texts += ["a" * 1500, "ab" * 900, "é" * 700 + words(rng, 20), passage[:450], words(rng, 300), None, ""]
+    docs = frame(spark, texts)
+    got = rows(suffix_dedup.repeated_removed(docs, 3).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == plain_removal(texts)
+    left = {r["doc_id"]: r for r in suffix_dedup.repeated_removed(docs).collect()}
+    for i, t in enumerate(texts):
+        assert left[i]["n_chars"] == len(left[i]["text"]) and (left[i]["n_removed"] > 0 or left[i]["text"] == (t or ""))
+    assert all(passage[:400] not in r["text"] for r in left.values())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_shards")]
 
 
 def test_suffix_dedup_empty(spark):
