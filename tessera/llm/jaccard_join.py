@@ -22,7 +22,8 @@ distinct sets that share rare shingles, are no near copies of a pivot and may by
 
 Defined cases: a null, empty or blank text has an empty set, which links with nothing; with fewer than five words the
 whole sequence is one shingle; a row of null id links with nothing and has a null component; repeated rows are one class; an empty table gives an empty result; other columns of the
-input are ignored (`representatives` returns them unchanged). Shingles are compared by 64-bit hashes.
+input are ignored (`representatives` returns them unchanged). Shingles are compared by 64-bit hashes, of which 56 bits travel;
+the bucket tells the other 8, some of them only below 256 buckets (2 GB of text).
 """
 
 from __future__ import annotations
@@ -109,6 +110,18 @@ def linked(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= PERCENT * (a + b - shared)
 
 
+LOW_BITS = np.uint64((1 << 56) - 1)
+
+
+def _steps(doc: np.ndarray) -> bytes:
+    """Ascending document numbers below 65,536 as their steps: all low bytes, then all high bytes."""
+    return np.diff(doc.astype(np.int64), prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _numbers(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8).reshape(2, -1).T.copy().view("<u2").ravel(), dtype=np.int64)
+
+
 PARTS = "bucket int, chunk long, docs boolean, a binary, b binary, c binary"
 
 
@@ -126,12 +139,12 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
             tokens, doc = np.concatenate(held), np.repeat(np.arange(len(held)), n)
             at = (((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            counts = np.bincount(at * len(held) + doc, minlength=buckets * len(held)).reshape(buckets, -1).astype(np.uint32)
+            doc = doc[order]
             tokens, cut, chunk = tokens[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))]), part << 24 | seq
             rows = [(chunk % buckets, chunk, True, packed_ids(ids), b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in held), n.tobytes())]
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 t = tokens[cut[k] : cut[k + 1]]
-                rows.append((k, chunk, False, t.astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint8).tobytes(), counts[k].tobytes()))
+                rows.append((k, chunk, False, t.astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), _steps(doc[cut[k] : cut[k + 1]])))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -156,8 +169,10 @@ def _repeated(key: tuple, t: pa.Table) -> pa.Table:
     own = [i for i, d in enumerate(docs) if not d]
     rows = [(key[0].as_py(), chunk[i], True, a[i], b[i], c[i]) for i, d in enumerate(docs) if d]
     if own:
-        low = np.concatenate([np.frombuffer(a[i], np.uint32) for i in own]).astype(np.uint64)
-        full = low | np.concatenate([np.frombuffer(b[i], np.uint8) for i in own]).astype(np.uint64) << np.uint64(32)
+        full = np.zeros((sum(len(a[i]) // 4 for i in own), 8), np.uint8)
+        full[:, :4] = np.concatenate([np.frombuffer(a[i], np.uint8).reshape(-1, 4) for i in own])
+        full[:, 4:7] = np.concatenate([np.frombuffer(b[i], np.uint8).reshape(-1, 3) for i in own])
+        full = full.view("<u8").ravel()
         order = np.argsort(full)
         ranked = full[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -166,12 +181,11 @@ def _repeated(key: tuple, t: pa.Table) -> pa.Table:
         df[order] = np.bincount(group)[group]
         at = 0
         for i in own:
-            n, counts = len(b[i]), np.frombuffer(c[i], np.uint32)
+            n = len(a[i]) // 4
             mine, part = df[at : at + n], full[at : at + n]
             keep = mine >= 2
             if keep.any():
-                doc = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[keep]
-                rows.append((key[0].as_py(), chunk[i], False, part[keep].tobytes(), np.minimum(mine[keep], 255).astype(np.uint8).tobytes(), doc.tobytes()))
+                rows.append((key[0].as_py(), chunk[i], False, part[keep].tobytes(), np.minimum(mine[keep], 255).astype(np.uint8).tobytes(), _steps(_numbers(c[i])[keep])))
             at += n
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
@@ -181,16 +195,16 @@ def _repeated(key: tuple, t: pa.Table) -> pa.Table:
 DOCS = "doc_id long, n long, cls long, rare int, alone long, shared binary"
 
 
-def _assembled(t: pa.Table) -> pa.Table:
+def _assembled(t: pa.Table, buckets: int) -> pa.Table:
     """Of one chunk: each document with its repeated shingles, rarest first, where its rarest ones hold any of them."""
     docs, bucket = t.column("docs").to_pylist(), t.column("bucket").to_pylist()
     a, b, c = (t.column(x).to_pylist() for x in "abc")
     i = docs.index(True)
     ids, cls, n = unpacked_ids(a[i]), np.frombuffer(b[i], np.int64), np.frombuffer(c[i], np.uint32).astype(np.int64)
     own = [k for k, d in enumerate(docs) if not d]
-    token = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(a[k], np.uint64) | np.uint64(bucket[k] << 40) for k in own]]).astype(np.int64)
+    token = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(a[k], np.uint64) & LOW_BITS | np.uint64((bucket[k] << 8) // buckets << 56) for k in own]]).view(np.int64)
     df = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(b[k], np.uint8) for k in own]])
-    doc = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(c[k], np.uint32) for k in own]])
+    doc = np.concatenate([np.empty(0, np.int64), *[_numbers(c[k]) for k in own]])
     order = np.lexsort((token, df, doc))
     token, cut = token[order], np.searchsorted(doc[order], np.arange(len(ids) + 1))
     alone = n - np.diff(cut)
@@ -321,7 +335,7 @@ def components(docs: DataFrame) -> DataFrame:
     size = docs.agg((F.sum(F.length("text")) / 5).alias("n")).first()["n"] or 0
     buckets = int(max(1, -(-size // TOKENS_A_BUCKET)))
     back = _dealt(docs, buckets).groupBy("bucket").applyInArrow(_repeated, PARTS)
-    rows = staged(back.groupBy("chunk").applyInArrow(_assembled, DOCS))
+    rows = staged(back.groupBy("chunk").applyInArrow(lambda t: _assembled(t, buckets), DOCS))
     reps = staged(rows.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")))
     nodes = staged(rows.filter("shared is not null and doc_id is not null").dropDuplicates(["cls"]))
     links = _links(nodes)
@@ -333,11 +347,24 @@ def components(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+IDS_TO_SEND = 2_000_000  # 16 MB
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's, one for each text, and every row of null id; columns unchanged."""
-    gone = components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti").select(*docs.columns).withColumns({"__key": F.xxhash64("text"), "__row": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    return first.dropDuplicates(["doc_id", "__key", "__row"]).drop("__key", "__row")
+    """The rows of docs whose id is their component's, one for each id and text, and every row of null id; columns unchanged.
+
+    Texts stay where they are: only ids meet, and where there are at most `IDS_TO_SEND` of them they go to the rows. Rows of
+    an id that occurs again are the exception; those with equal texts are one document, whatever their other columns hold.
+    """
+    gone = staged(components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct())
+    again = staged(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= IDS_TO_SEND else ids
+    left = docs.join(sent(gone), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    again = sent(again)
+    one = left.join(again, "doc_id", "left_semi").withColumn("__key", F.sha2("text", 256)).dropDuplicates(["doc_id", "__key"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

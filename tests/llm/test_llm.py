@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, main_text, mixing, neighbours, packing, quality_model, quality_rules, secrets, suffix_dedup, url_filter
 
@@ -241,6 +242,23 @@ def test_representatives(spark):
     out = jaccard_join.representatives(docs)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2, 5]
     assert jaccard_join.components(docs.limit(0)).collect() == []
+    twice = docs.union(docs.filter("doc_id > 2").withColumn("source", F.lit("other")))
+    assert sorted(r["doc_id"] for r in jaccard_join.representatives(twice).collect()) == [0, 1, 2, 5]
+
+
+def test_shingle_numbers():
+    doc = np.array([0, 0, 3, 3, 700, 65_000])
+    assert jaccard_join._numbers(jaccard_join._steps(doc)).tolist() == doc.tolist()
+
+
+def test_jaccard_common_shingles(spark, monkeypatch):
+    """A line that all documents hold, in buckets and chunks of few shingles."""
+    monkeypatch.setattr(jaccard_join, "TOKENS_A_BUCKET", 10)
+    monkeypatch.setattr(jaccard_join, "TOKENS_A_CHUNK", 100)
+    rng = random.Random(3)
+    line = words(rng, 12)
+    texts = [line + " " + words(rng, rng.randint(1, 40)) for _ in range(60)] + [line] * 5
+    assert rows(jaccard_join.components(frame(spark, texts))) == sorted(plain_components(texts), key=str)
 
 
 # ---- repeated strings ----
