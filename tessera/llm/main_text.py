@@ -9,12 +9,15 @@ The trees are fitted to `TRAIN_PAGES` generated pages whose parts are known (a b
 menus, headers, footers, sidebars, notices, adverts, forms and comments under many names.
 
 Defined cases: a null or empty page, and one without text, gives an empty text; tags that are never closed end with
-their parent; a `<` that starts no tag is text; equal rows give equal results; an empty table gives an empty result;
-other columns are ignored.
+their parent, and scripts, styles and text areas with the page; a `<` that starts no tag is text; a tag whose quotes do not
+pair ends at the next `>`; text outside of all elements belongs to an implied body; equal rows give equal results; an empty
+table gives an empty result; other columns are ignored. A page is read once from front to back, in time in proportion to its
+length.
 """
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import re
@@ -26,14 +29,15 @@ from tessera.llm.common import map_text, table
 
 # Fixed values of HTML: void elements, raw-text elements, block-level elements, and what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math object".split())
+RAW = frozenset("script style template noscript textarea title iframe svg".split())
+ENDLESS = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody "
     "tfoot tr td th caption figure figcaption blockquote pre address details summary dialog menu hgroup search select option button label legend center".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}}
 INSIDE_P = frozenset("label button option select summary legend".split())
-SCOPE = frozenset("html body article main section div td th table ul ol dl nav header footer aside form blockquote figure details dialog".split())
+LISTS = ("ul", "ol", "dl", "table", "select")
 TAG_GROUPS = [{"article", "main"}, {"section"}, {"div", "center"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "menu", "dl"}, {"li", "dt", "dd"}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "select", "button", "label", "search"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"blockquote", "pre", "figure", "figcaption"}, {"body", "html"}, {"dialog"}]
 # Attribute tokens that speak for and against the article.
 GOOD = frozenset("article content post entry story text body main prose page blog news detail".split())
@@ -48,12 +52,29 @@ BAD_GROUPS = [
     frozenset("comment comments disqus reply replies respond discussion feedback reviews thread".split()),
     frozenset("share social follow tags tag meta byline author hidden print".split()),
 ]
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+QUOTE = re.compile("[\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 WORD = re.compile(r"[a-z]+")
 TRAIN_PAGES, TREES, DEPTH, SHRINK, BINS = 300, 40, 4, 0.25, 32
 
 
+def _tag_end(source: str, at: int, last: int) -> int:
+    """The place of the `>` that ends a tag: the first outside of quotes, or the first one where quotes do not pair.
+
+    `last` is the place of the page's last `>`, and at least one stands at or after `at`.
+    """
+    end = first = source.find(">", at)
+    quote = QUOTE.search(source, at, end)
+    while quote:
+        shut = source.find(quote[0], quote.end())
+        if shut < 0 or shut > last:
+            return first
+        end = source.find(">", shut)
+        quote = QUOTE.search(source, shut + 1, end)
+    return end
+
+
 class Page:
     """The block-level tree of a page: per node its tag, parent, depth and attribute tokens; and the blocks of text."""
 
@@ -64,15 +85,18 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block-level node
-        text, in_link, link_chars, inline = [], 0, 0, 0
-        at, n = 0, len(source)
+        where: dict[str, list[int]] = collections.defaultdict(list)  # places of open elements in the stack, by tag
+        text, in_link, link_chars, inline, implied = [], 0, 0, 0, 0
+        at, n, last, unclosed = 0, len(source), source.rfind(">"), set()
 
         def flush() -> None:
-            nonlocal text, link_chars, inline
+            nonlocal text, link_chars, inline, implied
             if text:
                 joined = " ".join(html.unescape("".join(text)).split())
                 if joined:
-                    self.blocks.append((stack[-1][1], joined, link_chars, inline))
+                    if not (node := stack[-1][1]):
+                        node = implied = implied or self._add("body", 0, "")
+                    self.blocks.append((node, joined, link_chars, inline))
             text, link_chars, inline = [], 0, 0
 
         def close(upto: int) -> None:
@@ -81,65 +105,71 @@ class Page:
                 flush()
             for t, _ in stack[upto:]:
                 in_link -= t == "a"
+                where[t].pop()
             del stack[upto:]
 
         while at < n:
-            m = PIECE.search(source, at)
-            start = m.start() if m else n
+            m = OPEN.search(source, at)
+            start = m.start() if m and m.start() < last else n
             if start > at:
                 part = source[at:start]
                 text.append(part)
                 if in_link:
                     link_chars += len(part)
-            if not m:
+            if start == n:
                 break
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
+                end = source.find("-->", m.end())
+                at = end + 3 if end >= 0 else n
+                continue
+            end = _tag_end(source, m.end(), last)
+            attributes, at = source[m.end() : end], end + 1
+            if not m[3]:
+                continue
+            tag = m[3].lower()
+            if m[2]:
+                if where[tag]:
+                    close(where[tag][-1])
                 continue
             if tag in VOID:
                 text.append(" ")
                 continue
             if tag in RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else n
+                if not attributes.endswith("/") and tag not in unclosed:
+                    over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                    end = source.find(">", over.end()) if over else -1
+                    if end >= 0:
+                        at = end + 1
+                    elif tag in ENDLESS:
+                        at = n
+                    else:
+                        unclosed.add(tag)
                 continue
-            if tag in BLOCK and tag not in INSIDE_P:
-                for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends here
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+            if tag in BLOCK and tag not in INSIDE_P and where["p"]:  # an open paragraph ends here
+                close(where["p"][-1])
             for shut in CLOSES.get(tag, ()):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == shut:
-                        close(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
+                if where[shut] and where[shut][-1] > max((where[t][-1] for t in LISTS if where[t]), default=0):
+                    close(where[shut][-1])
             if tag in BLOCK:
                 flush()
                 if tag == "html":
                     continue
-                node, above = len(self.tag), stack[-1][1]
-                self.tag.append(tag)
-                self.parent.append(above)
-                self.depth.append(self.depth[above] + 1)
-                self.tokens.append(self._tokens(m[3]) if m[3] else frozenset())
-                stack.append((tag, node))
+                node = self._add(tag, stack[-1][1], attributes)
             else:
                 inline += 1
                 in_link += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                node = stack[-1][1]
+            where[tag].append(len(stack))
+            stack.append((tag, node))
         flush()
+        self.plain = len(self.tag) == 1 + bool(implied)  # no element at all
+
+    def _add(self, tag: str, above: int, attributes: str) -> int:
+        self.tag.append(tag)
+        self.parent.append(above)
+        self.depth.append(self.depth[above] + 1)
+        self.tokens.append(self._tokens(attributes) if attributes else frozenset())
+        return len(self.tag) - 1
 
     @staticmethod
     def _tokens(attributes: str) -> frozenset:
@@ -372,7 +402,7 @@ def extractor(model: BoostedTrees):
             n = len(p.tag)
             keep = decoded(p.parent, margins[at : at + n])
             at += n
-            text = "\n".join(t for node, t, _, _ in p.blocks if keep[node] and (node or n == 1))
+            text = "\n".join(t for node, t, _, _ in p.blocks if keep[node] or p.plain)
             out.append((text, len(text)))
         return [list(c) for c in zip(*out, strict=True)]
 

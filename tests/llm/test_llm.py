@@ -353,6 +353,37 @@ def test_main_text_held_out():
     assert right >= 0.98 * total
 
 
+def test_main_text_loses_nothing_inside(spark):
+    prose = words(random.Random(2), 60)
+    sources = [
+        f"<body><article><h1>T</h1><p>{prose}</p><p>Energy is <math><mi>E</mi></math> here, {prose}</p></article></body>",
+        f"Intro text without a block, {prose}<p>Second, {prose}</p>",
+        f"<body><article><p>{prose}<svg><p>{prose}</p></article></body>",
+        f'<body><article><p title="a > b">{prose}</p><p title="x>{prose}</p></article></body>',
+        "just text &amp; no markup < 3",
+    ]
+    pages = spark.createDataFrame(list(enumerate(sources)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = [r["text"] for r in main_text.main_texts(pages).orderBy("page_id").collect()]
+    assert got == [f"T\n{prose}\nEnergy is E here, {prose}", f"Intro text without a block, {prose}\nSecond, {prose}", f"{prose}\n{prose}", f"{prose}\n{prose}", "just text & no markup < 3"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "</b>", "<div></b>", "<svg>", "<!--", "<a \"", "<td><th><table><b>", "</script", "<script", "<p><b>"])
+def test_main_text_reads_once(piece):
+    import time
+
+    began = time.process_time()
+    main_text.Page(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+    main_text.Page(piece * (500_000 // len(piece)) + "</b>" * 120_000 + '"')
+    assert time.process_time() - began < 16
+
+
+def test_main_text_empty_table_and_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a b c</p>", "u", "mine", 7)], "page_id long, html string, url string, text string, n_chars long")
+    assert main_text.main_texts(pages.limit(0)).collect() == []
+    assert main_text.main_texts(pages).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_main_text_edges(spark):
     pages = [(i, "u", h) for i, h in enumerate([None, "", "plain &amp; text", "<p>a < b<p>c", "<article><p>x &nbsp; y</article>", "<div", "<script>no</script>" * 3])]
     got = {r["page_id"]: r["text"] for r in main_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
