@@ -440,6 +440,67 @@ def test_url_model(spark):
     assert ((out.verdict == "block") == (out.page_id == 1)).mean() > 0.95
 
 
+def plain_grams(part):
+    text = "^" + part + "$"
+    return {text[i : i + n] for n in url_filter.SIZES for i in range(max(1, len(text) - n + 1))}
+
+
+def plain_score(host, path, w, bucket_of):
+    m = w[url_filter.BUCKETS]
+    for mark, part in (("h", host), ("p", path)):
+        buckets = {bucket_of[mark, g] for g in plain_grams(part)}
+        m += (1 if mark == "h" else url_filter.PATH_SHARE) * sum(w[b] for b in buckets) / len(buckets) ** 0.5
+    return 1 / (1 + np.exp(-m))
+
+
+def plain_rule(host, path):
+    fits = [(len(h) + len(p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda x: x[0])[1:] if fits else (None, None)
+
+
+def test_url_model_on_other_hosts(spark):
+    """Hosts that pair a word of the table with one that it lacks, and hosts of words that it lacks altogether."""
+    half = [f"{w}-{x}" for w, x in zip("casino pills loans spam adult replica".split(), "galaxy depot united corner lounge outlet".split(), strict=True)]
+    unlike = "daily-chronicle opera-house baker-bread river-walks county-court parish-church qzxv kwyjibo".split()
+    pages = spark.createDataFrame([(i, f"https://www.{w}.com/en/7.html") for i, w in enumerate(half + unlike)], "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in url_filter.url_verdicts(pages, []).collect()}
+    assert max(score[i] for i in range(len(half), len(score))) < url_filter.BLOCK_AT
+    assert sum(score[i] >= url_filter.BLOCK_AT for i in range(len(half))) >= 3
+
+
+def test_url_verdicts_of_all_pages(spark):
+    """Every URL of a table against a plain version of rules, n-grams and score."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd = [(-1, None), (-2, ""), (-3, "no scheme"), (-4, "a://B.NET?x"), (-5, "h://x.Example.COM/de/a#b"), (-6, "s://ü.org/fr/"), (-7, "x://")]
+    pages = pages.select("page_id", "url").union(spark.createDataFrame(odd, "page_id long, url string"))
+    w = url_filter.fitted(url_filter.labelled(spark))
+    got = url_filter.url_verdicts(pages).join(pages, "page_id").collect()
+    every = sorted({(m, g) for r in got for m, part in (("h", r["host"]), ("p", r["path"])) for g in plain_grams(part)})
+    hashed = spark.createDataFrame(every, "m string, g string").select("m", "g", F.pmod(F.xxhash64("g", "m"), F.lit(url_filter.BUCKETS)).alias("b"))
+    bucket_of = {(r["m"], r["g"]): r["b"] for r in hashed.collect()}
+    assert len(got) == pages.count()
+    for r in got:
+        rest = (r["url"] or "").partition("://")
+        rest = rest[2] if rest[1] else ""
+        host = rest[: min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))]
+        path = rest[len(host) :]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        assert (r["host"], r["path"]) == (host, path)
+        assert abs(r["score"] - plain_score(host, path, w, bucket_of)) < 1e-9
+        rule, verdict = plain_rule(host, path)
+        assert r["rule"] == rule and r["verdict"] == (verdict or ("block" if r["score"] >= url_filter.BLOCK_AT else "allow"))
+
+
+def test_url_fit_and_names(spark):
+    empty = url_filter.labelled(spark).limit(0)
+    assert set(url_filter.fitted(empty)) == {0.0}
+    pages = spark.createDataFrame([(1, "https://a.b/", "h", "p", "v")], "page_id long, url string, host string, path string, verdict string")
+    assert url_filter.url_verdicts(pages.limit(0), train=empty).collect() == []
+    assert [tuple(r)[:5] for r in url_filter.url_verdicts(pages, train=empty).collect()] == [(1, "a.b", "/", None, "allow")]
+
+
+
 # ---- neighbours ----
 
 
