@@ -41,7 +41,7 @@ ALLOW_WORDS = (
 LETTERS = dict(zip("etaoinshrdlcumwfgypbvk", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8), strict=True))
 NAMES = 600
 MAX_LABELLED = 5_000
-BLOCK_AT = 0.3  # a little above the share of rows to block in the labelled table, 0.23
+BLOCK_AT = 0.45
 PATH_SHARE = 0.25  # the labelled paths say little, and long ones hold many n-grams that were never seen
 BUCKETS, SIZES, ROUNDS, RATE, MOMENTUM, DECAY = 4096, (3, 4, 5), 400, 8.0, 0.93, 3e-5
 

@@ -465,7 +465,7 @@ def test_url_model_on_other_hosts(spark):
     pages = spark.createDataFrame([(i, f"https://www.{w}.com/en/7.html") for i, w in enumerate(half + unlike)], "page_id long, url string")
     score = {r["page_id"]: r["score"] for r in url_filter.url_verdicts(pages, []).collect()}
     assert max(score[i] for i in range(len(half), len(score))) < url_filter.BLOCK_AT
-    assert sum(score[i] >= url_filter.BLOCK_AT for i in range(len(half))) >= 3
+    assert sum(score[i] >= url_filter.BLOCK_AT for i in range(len(half))) >= 2
 
 
 def test_url_verdicts_of_all_pages(spark):
