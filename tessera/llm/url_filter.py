@@ -67,7 +67,11 @@ def best_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def grams(part: Column, mark: str) -> Column:
     """Bucket numbers of the distinct character n-grams of a host (mark h) or a path (mark p), kept apart by their mark."""
     text = F.concat(F.lit("^"), part, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i, n=n: text.substr(i, F.lit(n))) for n in SIZES]
+
+    def of_size(n: int) -> Column:  # a second parameter of the lambda would be the index
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: text.substr(i, F.lit(n)))
+
+    each = [of_size(n) for n in SIZES]
     return F.array_distinct(F.transform(F.array_distinct(F.concat(*each)), lambda g: F.pmod(F.xxhash64(g, F.lit(mark)), F.lit(BUCKETS)).cast("int")))
 
 
