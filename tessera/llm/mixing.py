@@ -5,8 +5,9 @@ target sums of each dimension in turn until all margins hold. A cell's raked wei
 scale, is the probability with which its documents are taken; the draw is a hash of the document's id, so it is the
 same on every run and on every executor.
 
-Only cells are raked, and their number is that of the distinct (source, language, topic) triples; they stay in a
-DataFrame (one group-by of the documents, with partial sums, so a hot source is summed before it moves).
+Only cells are raked, and their number is that of the distinct (source, language, topic) triples (one group-by of the
+documents, with partial sums, so a hot source is summed before it moves). Up to `FEW_CELLS` of them are counted, then raked
+on the driver in one go (some 100 bytes each: 5 MB); more stay in a DataFrame, with the same steps as windows.
 
 Defined cases: a null in a dimension is the value `(none)`; a null or empty text has no tokens, probability 0 and is
 not taken; rows with the same id share one draw; an empty table gives an empty result; columns of the input with names
@@ -15,6 +16,7 @@ of the output's are kept apart, as the input travels in a struct.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A margin's target share of a value is in proportion to its tokens to this power (1: as found, 0: even).
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, ROUNDS_A_WRITE, SCALE_ROUNDS, BUDGET, SEED = 12, 3, 10, 0.6, "mix-1"
+FEW_CELLS = 50_000
 NONE = "(none)"
 BLANKS = " \t\n\r"
 
@@ -97,14 +100,40 @@ def mixed(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BU
     return weighed(measured(docs, F.struct("*")), powers, budget, seed)
 
 
+def few_probabilities(cells: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """The same as probabilities(raked(cells)) for cells that fit the driver."""
+    rows = cells.select(*powers, "n").collect()
+    n = np.array([float(r["n"]) for r in rows])
+    w, total = n.copy(), n.sum()
+    numbers = {d: np.unique([r[d] for r in rows], return_inverse=True)[1] for d in powers} if rows else {}
+    targets = {}
+    for d, at in numbers.items():
+        p = np.bincount(at, n) ** powers[d]
+        targets[d] = p / p.sum() * total
+    for _ in range(rounds):
+        for d, at in numbers.items():
+            w *= (targets[d] / np.bincount(at, w))[at]
+    ratio, full, scale = w / n, np.zeros(len(n), bool), 0.0
+    for k in range(SCALE_ROUNDS):
+        free = w[~full].sum()
+        scale = (total * budget - n[full].sum()) / free if free > 0 else 0.0
+        if k + 1 < SCALE_ROUNDS:
+            full |= ratio * scale >= 1
+    prob = np.where(full, 1.0, np.minimum(1.0, ratio * scale))
+    made = [(*[r[d] for d in powers], r["n"], float(x), float(p)) for r, x, p in zip(rows, w, prob, strict=True)]
+    return cells.sparkSession.createDataFrame(made, ", ".join([*[f"{d} string" for d in powers], "n long", "w double", "prob double"]))
+
+
 def weighed(base: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
-    """Measured rows with weight, prob and selected."""
+    """Measured rows with weight, prob and selected; the draw is by the exact probability, the columns are rounded."""
     cells = staged(base.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
-    chances = staged(probabilities(raked(cells, powers), budget).select(*DIMENSIONS, F.round(F.col("w") / F.col("n"), 6).alias("weight"), F.round("prob", 6).alias("prob")))
-    few = chances.count() <= 50_000  # some 100 bytes a cell: 5 MB; beyond, cells join by shuffle
-    out = base.join(F.broadcast(chances) if few else chances, list(DIMENSIONS), "left")
-    out = out.withColumn("prob", F.when(F.col("n_tokens") > 0, F.coalesce("prob", F.lit(0.0))).otherwise(0.0)).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return out.withColumn("selected", draw(F.col("row.doc_id"), seed) < F.col("prob"))
+    few = cells.count() <= FEW_CELLS
+    made = few_probabilities(cells, powers, budget) if few else probabilities(raked(cells, powers), budget)
+    chances = made.select(*DIMENSIONS, (F.col("w") / F.col("n")).alias("weight"), F.col("prob").alias("chance"))
+    out = base.join(F.broadcast(chances) if few else staged(chances), list(DIMENSIONS), "left")
+    chance = F.when(F.col("n_tokens") > 0, F.coalesce("chance", F.lit(0.0))).otherwise(0.0)
+    out = out.withColumns({"selected": draw(F.col("row.doc_id"), seed) < chance, "prob": F.round(chance, 6), "weight": F.round(F.coalesce("weight", F.lit(0.0)), 6)})
+    return out.drop("chance")
 
 
 def sampled(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
@@ -145,9 +174,9 @@ def _sql() -> str:
         scaled = f"select *, case when sum(case when is_full then 0.0 else w end) over () > 0 then (goal - (sum(case when is_full then n else 0 end) over ())::double) / sum(case when is_full then 0.0::double else w end) over () else 0.0::double end as scale from s{j}"
         inner = "*" if last else "* exclude (scale) replace (is_full or ratio * scale >= 1 as is_full)"
         steps.append(f"s{j + 1} as materialized (select {inner} from ({scaled}))")
-    steps.append(f"chances as materialized (select source, lang, topic, round(w / n, 6) as weight, round(case when is_full then 1.0::double else least(1.0::double, ratio * scale) end, 6) as prob from s{SCALE_ROUNDS})")
+    steps.append(f"chances as materialized (select source, lang, topic, round(w / n, 6) as weight, case when is_full then 1.0::double else least(1.0::double, ratio * scale) end as prob from s{SCALE_ROUNDS})")
     return f"""with {", ".join(steps)}
-    select doc_id, source, lang, topic, n_tokens::bigint as n_tokens, coalesce(weight, 0.0::double) as weight, case when n_tokens > 0 then coalesce(prob, 0.0::double) else 0.0::double end as prob,
+    select doc_id, source, lang, topic, n_tokens::bigint as n_tokens, coalesce(weight, 0.0::double) as weight, round(case when n_tokens > 0 then coalesce(prob, 0.0::double) else 0.0::double end, 6) as prob,
     (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {1 << 52}::double) < (case when n_tokens > 0 then coalesce(prob, 0.0::double) else 0.0::double end) as selected
     from base left join chances using (source, lang, topic)"""
 

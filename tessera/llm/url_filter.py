@@ -102,18 +102,20 @@ def margin(host: Column, path: Column, w: Column) -> Column:
 def fitted(table_: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> list[float]:
     """Weights of the BUCKETS features and the bias, by gradient descent with momentum on the logistic loss.
 
-    An empty table gives weights of 0; rows of null label are left out.
+    Rows of null label are left out; a table without rows gives a bias of -20, so that nothing is blocked.
     """
     host, path = host_and_path(F.col("url"))
     few = table_.filter("label is not null").orderBy(F.xxhash64("url", F.lit(7)), "url", "label").limit(MAX_LABELLED)
     rows = few.select("label", grams(host, "h").alias("h"), grams(path, "p").alias("p")).collect()
+    if not rows:
+        return [0.0] * BUCKETS + [-20.0]
     x, y = np.zeros((len(rows), BUCKETS + 1)), np.array([float(r["label"]) for r in rows])
     for at, r in enumerate(rows):
         for b, share in ((r["h"], 1.0), (r["p"], PATH_SHARE)):
             x[at, b] += share * len(b) ** -0.5
     x[:, BUCKETS] = 1
     w, speed = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for _ in range(rounds if len(y) else 0):
+    for _ in range(rounds):
         slope = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y)
         slope[:BUCKETS] += DECAY * w[:BUCKETS]
         speed = MOMENTUM * speed - rate * slope

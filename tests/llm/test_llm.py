@@ -130,6 +130,25 @@ def test_mixing_meets_margins(spark):
         assert np.allclose(g.w, want, rtol=0.02)
 
 
+def test_mixing_of_few_and_many_cells(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = rows(mixing.mixed(docs).select("row.doc_id", "weight", "prob", "selected"))
+    taken = sum(r["n_tokens"] for r in mixing.mixed(docs).filter("selected").collect())
+    assert abs(taken / mixing.mixed(docs).agg(F.sum("n_tokens")).first()[0] - mixing.BUDGET) < 0.2
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    for a, b in zip(few, rows(mixing.mixed(docs).select("row.doc_id", "weight", "prob", "selected")), strict=True):
+        assert a[0] == b[0] and a[3] == b[3] and abs(a[1] - b[1]) < 2e-6 and abs(a[2] - b[2]) < 2e-6
+
+
+def test_mixing_draws_by_exact_chances(spark):
+    """A chance far below the six digits shown: one in ten million of two million rows a cell."""
+    docs = spark.createDataFrame([("big", "a b " * 5), ("small", "c d")], "source string, text string")
+    docs = docs.withColumns({"lang": F.lit("en"), "doc_id": F.monotonically_increasing_id()})
+    out = mixing.mixed(docs, budget=1e-7).collect()
+    assert all(0 <= r["prob"] <= 1e-6 for r in out) and not any(r["selected"] for r in out)
+    assert mixing.mixed(docs.limit(0)).collect() == []
+
+
 def test_mixing_edges(spark):
     out = mixing.mixed(frame(spark, EDGE))
     got = {r["row"]["doc_id"]: r for r in out.collect()}
@@ -494,7 +513,7 @@ def test_url_verdicts_of_all_pages(spark):
 
 def test_url_fit_and_names(spark):
     empty = url_filter.labelled(spark).limit(0)
-    assert set(url_filter.fitted(empty)) == {0.0}
+    assert set(url_filter.fitted(empty)) == {0.0, -20.0}
     pages = spark.createDataFrame([(1, "https://a.b/", "h", "p", "v")], "page_id long, url string, host string, path string, verdict string")
     assert url_filter.url_verdicts(pages.limit(0), train=empty).collect() == []
     assert [tuple(r)[:5] for r in url_filter.url_verdicts(pages, train=empty).collect()] == [(1, "a.b", "/", None, "allow")]
