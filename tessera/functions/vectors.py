@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -46,23 +46,24 @@ def percent_rank(value: Column, *by: Column | str, descending: bool = False) ->
     return average_rank(value, *by, descending=descending) / F.count(F.lit(1)).over(Window.partitionBy(*by))
 
 
-def zscore(c: Column, *by: Column | str) -> Column:
-    w: WindowSpec = Window.partitionBy(*by)
-    return (c - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
+def standardized(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """`value` as z-scores within groups; the groups' statistics are aggregated (with partial sums) and joined."""
+    stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    return df.join(stats, list(by)).withColumn(value, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
 
 
-def robust(c: Column, *by: Column | str) -> Column:
-    """(x - mean) / interquartile range, with a range of 0 as 1."""
-    w = Window.partitionBy(*by)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(w)
-    return (c - F.avg(c).over(w)) / F.when(q[1] - q[0] == 0, 1.0).otherwise(q[1] - q[0])
+def robust_scaled(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """`value` less the mean over the interquartile range of its group, with a range of 0 as 1; statistics as above."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), q.alias("__q"))
+    width = F.col("__q")[1] - F.col("__q")[0]
+    return df.join(stats, list(by)).withColumn(value, (F.col(value) - F.col("__m")) / F.when(width == 0, 1.0).otherwise(width)).drop("__m", "__q")
 
 
-def rotated(vec: Column, degree: float, *by: Column | str) -> Column:
-    """A 2-D vector turned about the mean of its group."""
+def rotated_all(df: DataFrame, vec: str, degree: float) -> DataFrame:
+    """2-D vectors turned about the mean of all rows, which is one row of an aggregate."""
     import math
 
-    w = Window.partitionBy(*by)
-    mx, my = F.avg(vec[0]).over(w), F.avg(vec[1]).over(w)
-    s, c = math.sin(math.radians(degree)), math.cos(math.radians(degree))
-    return F.array(mx + (vec[0] - mx) * c - (vec[1] - my) * s, my + (vec[0] - mx) * s + (vec[1] - my) * c)
+    centre = df.agg(F.avg(F.col(vec)[0]).alias("__x"), F.avg(F.col(vec)[1]).alias("__y"))
+    s, c, x, y = math.sin(math.radians(degree)), math.cos(math.radians(degree)), F.col(vec)[0] - F.col("__x"), F.col(vec)[1] - F.col("__y")
+    return df.crossJoin(F.broadcast(centre)).withColumn(vec, F.array(F.col("__x") + x * c - y * s, F.col("__y") + x * s + y * c)).drop("__x", "__y")

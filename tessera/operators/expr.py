@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,21 +113,39 @@ def round_robin(scores: DataFrame, limit: int) -> DataFrame:
     return first.orderBy("m.r", "m.batch", "gene_id").limit(limit).select("gene_id")
 
 
+def drawn(seed: int = 0, key: str = "cell_id") -> Column:
+    """The order of a draw without replacement: the MD5 of seed and id, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def even_batches(cells: DataFrame, seed: int = 0) -> DataFrame:
     """So many cells of each batch as the smallest has, by a hash of the id."""
     least = cells.groupBy("batch").count().agg(F.min("count").alias("least"))
-    r = F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id"))
+    r = F.row_number().over(Window.partitionBy("batch").orderBy(drawn(seed), "cell_id"))
     return cells.withColumn("__r", r).join(F.broadcast(least), F.col("__r") <= F.col("least")).drop("__r", "least")
 
 
 def subsample(cells: DataFrame, n: int, by: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
     """n rows (of each group) without replacement by a hash of the id; all where there are fewer."""
     if not by:
-        return cells.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(n)
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id"))
+        return cells.orderBy(drawn(seed), "cell_id").limit(n)
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(drawn(seed), "cell_id"))
     return cells.withColumn("__r", r).filter(F.col("__r") <= n).drop("__r")
 
 
+def subsample_share(cells: DataFrame, amount: float, seed: int = 0) -> DataFrame:
+    """Below 1 about that share of the rows, each by its own draw (no shuffle); else `amount` rows."""
+    if amount >= 1:
+        return subsample(cells, int(amount), seed=seed)
+    return cells.filter(F.conv(F.substring(drawn(seed), 1, 8), 16, 10).cast("double") / float(1 << 32) < amount)
+
+
+def sample_batches(cells: DataFrame, batches: int, cells_a_batch: int, seed: int = 0) -> DataFrame:
+    """So many cells of each of so many batches, both drawn."""
+    few = cells.select("batch").distinct().orderBy(drawn(seed, "batch"), "batch").limit(batches)
+    return subsample(cells.join(F.broadcast(few), "batch", "left_semi"), cells_a_batch, ("batch",), seed)
+
+
 def bootstrap(cells: DataFrame, fraction: float = 1.0, seed: int = 0) -> DataFrame:
     return cells.sample(withReplacement=True, fraction=fraction, seed=seed)
 
@@ -135,7 +153,7 @@ def bootstrap(cells: DataFrame, fraction: float = 1.0, seed: int = 0) -> DataFra
 def stratified_fraction(cells: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """The share of each batch with the least hashes."""
     w = Window.partitionBy("batch")
-    r = F.row_number().over(w.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id"))
+    r = F.row_number().over(w.orderBy(drawn(seed), "cell_id"))
     return cells.withColumns({"__r": r, "__n": F.count(F.lit(1)).over(w)}).filter(F.col("__r") <= F.ceil(F.col("__n") * fraction)).drop("__r", "__n")
 
 

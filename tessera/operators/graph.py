@@ -14,11 +14,22 @@ from tessera.operators import knn as K
 from tessera.operators import match as M
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tessera-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -34,12 +45,14 @@ def neighbour_copy(matches: DataFrame, intra: DataFrame) -> DataFrame:
     return matches.select("i", F.col("j").alias("p")).join(intra.select(F.col("i").alias("p"), F.col("j").alias("n"), "weight"), "p").select("i", F.col("n").alias("j"), "weight")
 
 
-def integrate(cells: DataFrame, k: int = 12, metric: str = "cosine", keep: float = 0.75, adjacency: DataFrame | None = None, hub: str = "none", hub_k: int = 12) -> DataFrame:
+def integrate(cells: DataFrame, k: int = 12, metric: str = "cosine", keep: float = 0.75, adjacency: DataFrame | None = None, hub: str = "csls", hub_k: int = 12) -> DataFrame:
     """The integration graph i, j, weight (directed, without loops).
 
     Within a batch each cell points to its k nearest (itself takes the first place, as in the metric's definition), weighted
     by rank. Between batches cells are matched one to one, outlying matches are dropped, and each matched cell gets edges
-    to its partner (weight 1) and to the partner's neighbours, in both directions.
+    to its partner (weight 1) and to the partner's neighbours, in both directions. Distances are reduced for hubs by `hub`
+    before they are ranked and matched (within a batch over the max(k, hub_k) nearest); kinds that are not local to a pair
+    of cells and their scales act within batches only.
     """
     near = K.knn(cells, cells, max(k, hub_k) - 1, metric, ("batch",)).select("i", "j", "d", "batch")
     if hub != "none":
@@ -50,7 +63,7 @@ def integrate(cells: DataFrame, k: int = 12, metric: str = "cosine", keep: float
     intra = near.select("i", "j", (F.col("r") + 1).cast("double").alias("weight"))
     loops = cells.select(F.col("cell_id").alias("i"), F.col("cell_id").alias("j"), F.lit(1.0).alias("weight"))
     full = cut(intra.union(loops))
-    m = cut(M.outlier_cut(M.matched(cells, adjacency if adjacency is not None else M.stairs(cells), 1, metric), keep))
+    m = cut(M.outlier_cut(M.matched(cells, adjacency if adjacency is not None else M.stairs(cells), 1, metric, hub=hub if hub in M.HUBNESS else "none", hub_k=hub_k), keep))
     both = m.select("i", "j").union(m.select(F.col("j").alias("i"), F.col("i").alias("j")))
     return full.union(neighbour_copy(both, full)).filter("i <> j").groupBy("i", "j").agg(F.min("weight").alias("weight"))
 

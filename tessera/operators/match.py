@@ -63,15 +63,41 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_pairs(x: np.ndarray, y: np.ndarray, rounds: int, metric: str) -> list[tuple[int, int, float, int]]:
-    """(row of x, row of y, distance, round); pairs of a round are closed for later ones."""
+HUBNESS = ("none", "csls", "local_scaling")
+
+
+def local_scales(a: np.ndarray, b: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean distance of each row of a to its k nearest rows of b, and of each row of b to its k nearest rows of a."""
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        step, out = max(1, HELD // max(1, len(y))), []
+        for s in range(0, len(x), step):
+            out.append(np.partition(distances(x[s : s + step], y, metric), min(k, len(y)) - 1, axis=1)[:, :k].mean(1))
+        return np.concatenate(out)
+
+    return one(a, b), one(b, a)
+
+
+def nearest_pairs(x: np.ndarray, y: np.ndarray, rounds: int, metric: str, hub: str = "none", hub_k: int = 12) -> list[tuple[int, int, float, int]]:
+    """(row of x, row of y, distance, round); pairs of a round are closed for later ones.
+
+    With `hub` distances are reduced for hubs by both sides' mean distance to their hub_k nearest of the other side:
+    csls: 2 d - r_i - r_j; local_scaling: 1 - exp(-d^2 / (r_i r_j)).
+    """
+    if hub not in HUBNESS:
+        raise ValueError(f"unknown hubness reduction between batches: {hub}")
     flipped = len(x) > len(y)
     a, b = (y, x) if flipped else (x, y)
     whole = distances(a, b, metric) if len(a) * len(b) <= HELD else None
+    scale_a, scale_b = local_scales(a, b, metric, hub_k) if hub != "none" else (None, None)
     closed: dict[int, list[int]] = {}
 
     def row_of(i: int) -> np.ndarray:
         d = distances(a[i : i + 1], b, metric)[0] if whole is None else whole[i]
+        if hub == "csls":
+            d = 2 * d - scale_a[i] - scale_b
+        elif hub == "local_scaling":
+            d = 1 - np.exp(-d * d / np.maximum(scale_a[i] * scale_b, 1e-300))
         if i in closed:
             d = d.copy()
             d[closed[i]] = np.inf
@@ -94,7 +120,7 @@ def stairs(cells: DataFrame, steps: tuple[int, ...] | None = None) -> DataFrame:
     return (out.filter((F.col("q") - F.col("p")).isin(*steps)) if steps else out).select("a", "b")
 
 
-def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int | None = None) -> DataFrame:
+def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int | None = None, hub: str = "none", hub_k: int = 12) -> DataFrame:
     """a, b, i, j, d, round: the optimal matches of each pair of batches; matched pairs are closed for later rounds.
 
     A caller who wants an error for batches beyond some size gives max_batch.
@@ -112,7 +138,7 @@ def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "
             a, b = x.column("a")[0].as_py(), x.column("b")[0].as_py()
             ids, jds = x.column("id").to_pylist(), y.column("id").to_pylist()
             vx, vy = (np.stack(t.column("v").to_numpy()) for t in (x, y))
-            found = [(a, b, ids[i], jds[j], d, r) for i, j, d, r in nearest_pairs(vx, vy, rounds, metric)]
+            found = [(a, b, ids[i], jds[j], d, r) for i, j, d, r in nearest_pairs(vx, vy, rounds, metric, hub, hub_k)]
         columns = list(zip(*found, strict=True)) or [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, [arrow, arrow, pa.int64(), pa.int64(), pa.float64(), pa.int32()], strict=True)], names=["a", "b", "i", "j", "d", "round"])
 

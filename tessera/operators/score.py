@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.vectors import average_rank, gmean, robust
+from tessera.functions.vectors import average_rank, gmean
 from tessera.operators import knn as K
 
 
@@ -59,19 +59,22 @@ def silhouette(cells: DataFrame, on: str = "label") -> DataFrame:
 
 
 def robust_scaled(cells: DataFrame) -> DataFrame:
-    """cells whose vector components are scaled by mean and interquartile range."""
-    long = cells.select("cell_id", F.posexplode("vec").alias("dim", "x"))
-    x = long.withColumn("x", robust(F.col("x"), "dim"))
-    vec = x.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("l")).select("cell_id", F.col("l.x").alias("vec"))
-    return cells.drop("vec").join(vec, "cell_id")
+    """cells whose vector components are scaled by mean and interquartile range (0 as 1), from one row of statistics."""
+    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
+    each = cells.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), q.alias("q"))
+    width = F.col("q")[1] - F.col("q")[0]
+    one = each.agg(F.sort_array(F.collect_list(F.struct("dim", "m", F.when(width == 0, 1.0).otherwise(width).alias("w")))).alias("__s"))
+    return cells.crossJoin(F.broadcast(one)).withColumn("vec", F.zip_with("vec", "__s", lambda x, s: (x - s["m"]) / s["w"])).drop("__s")
 
 
 def kni(cells: DataFrame, k: int = 10, most: float = 0.8) -> DataFrame:
     """cell_id, batch, label, same, diverse, vote, vote_other for each cell.
 
-    The cell counts as its own first neighbour; `same` of k lie in its batch; it is diverse where that is under most * k; votes
-    are the commonest label of all neighbours and of those of other batches, the smallest on ties.
+    Vectors are scaled robustly first, and a missing label is the label "Unknown". The cell counts as its own first
+    neighbour; `same` of k lie in its batch; it is diverse where that is under most * k; votes are the commonest label of all
+    neighbours and of those of other batches, the smallest on ties.
     """
+    cells = robust_scaled(cells).withColumn("label", F.coalesce(F.col("label").cast("string"), F.lit("Unknown")))
     near = K.knn(cells, cells, k, "euclidean", self_too=True)
     own = cells.select(F.col("cell_id").alias("i"), "batch", "label")
     other = cells.select(F.col("cell_id").alias("j"), F.col("batch").alias("bj"), F.col("label").alias("lj"))

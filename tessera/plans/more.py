@@ -78,9 +78,14 @@ def _(spark, d):
     return e.join(F.broadcast(order), "event_type").select("event_id", "batch_idx")
 
 
-@query("f14_subsample", "select least(count(*), 100)::bigint as n from embeddings")
+@query("f14_subsample", "select vec_id as cell_id from embeddings order by md5('0:' || vec_id), vec_id limit 100")
 def _(spark, d):
-    return X.subsample(V.cells(spark, d), 100).agg(F.count("*").alias("n"))
+    return X.subsample(V.cells(spark, d), 100).select("cell_id")
+
+
+@query("f17_subsample_share", "select vec_id as cell_id from embeddings where ('0x' || substr(md5('0:' || vec_id), 1, 8))::bigint / 4294967296.0 < 0.3")
+def _(spark, d):
+    return X.subsample_share(V.cells(spark, d), 0.3).select("cell_id")
 
 
 @query("f15_bootstrap")
@@ -88,11 +93,9 @@ def _(spark, d):
     return X.bootstrap(V.cells(spark, d), 1.0, 3).groupBy("batch").agg(F.count("*").alias("n"))
 
 
-@query("f19_sample_batches", "select 2 * least(min(n), 40)::bigint as n from (select count(*) as n from embeddings group by vec_id % 4)")
+@query("f19_sample_batches", "select cell_id, batch from (select vec_id as cell_id, (vec_id % 4)::int as batch, row_number() over (partition by vec_id % 4 order by md5('0:' || vec_id), vec_id) as r from embeddings) where r <= 40 and batch in (select b from (select distinct (vec_id % 4)::int as b from embeddings) order by md5('0:' || b), b limit 2)")
 def _(spark, d):
-    c = V.cells(spark, d)
-    few = c.select("batch").distinct().withColumn("h", F.xxhash64("batch")).orderBy("h").limit(2).select("batch")
-    return X.subsample(c.join(few, "batch", "left_semi"), 40, ("batch",)).agg(F.count("*").alias("n"))
+    return X.sample_batches(V.cells(spark, d), 2, 40).select("cell_id", "batch")
 
 
 @query("f21_select_slices", sql("+n as (select slice_idx, label, count(*) as n from slices where slice_idx <= 10 group by all), r as (select label, avg(rank() over (partition by slice_idx order by n desc) + (0)) over (partition by label) as m from n), t as (select label, avg(k) as m from (select label, rank() over (partition by slice_idx order by n desc) + (count(*) over (partition by slice_idx, n) - 1) / 2 as k from n) group by label), b as (select label from t order by m, label limit 3) select slice_idx, cell_id from slices where slice_idx <= 10 and label in (select label from b)", "slices").replace("r as (select label, avg(rank() over (partition by slice_idx order by n desc) + (0)) over (partition by label) as m from n), ", ""))
@@ -319,9 +322,9 @@ def _(spark, d):
     return a.select(*shared).unionByName(b.select(*shared))
 
 
-@query("u5_difference", "select distinct c_nationkey as k from customer except select distinct s_nationkey from supplier")
+@query("u5_difference", "select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 45")
 def _(spark, d):
-    return V.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(V.table(spark, d, "supplier").select("s_nationkey"))
+    return V.table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(V.table(spark, d, "lineitem").filter("l_quantity > 45").select("l_partkey"))
 
 
 @query("u6_label_universe", sql("select distinct label from slices", "slices"))

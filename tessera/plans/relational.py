@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.vectors import average_rank, gmean, percent_rank, robust, zscore
+from tessera.functions.vectors import average_rank, gmean, percent_rank, robust_scaled, standardized
 from tessera.operators import expr as X
 from tessera.operators import score as S
 from tessera.operators import transfer as T
@@ -74,14 +74,14 @@ def _(spark, d):
     return e.withColumn("position", F.row_number().over(Window.orderBy("first_id")))
 
 
-@query("f18_even_batches", "select batch, count(*) as n from (select (vec_id % 3)::int as batch, row_number() over (partition by vec_id % 3 order by vec_id) as r from embeddings) where r <= (select min(n) from (select count(*) as n from embeddings group by vec_id % 3)) group by batch")
+@query("f18_even_batches", "select cell_id, batch from (select vec_id as cell_id, (vec_id % 3)::int as batch, row_number() over (partition by vec_id % 3 order by md5('0:' || vec_id), vec_id) as r from embeddings) where r <= (select min(n) from (select count(*) as n from embeddings group by vec_id % 3))")
 def _(spark, d):
-    return X.even_batches(V.cells(spark, d, 3)).groupBy("batch").agg(F.count("*").alias("n"))
+    return X.even_batches(V.cells(spark, d, 3)).select("cell_id", "batch")
 
 
-@query("f20_stratified_fraction", "select (vec_id % 4)::int as batch, ceil(count(*) * 0.5)::bigint as n from embeddings group by all")
+@query("f20_stratified_fraction", "select cell_id, batch from (select vec_id as cell_id, (vec_id % 4)::int as batch, row_number() over (partition by vec_id % 4 order by md5('0:' || vec_id), vec_id) as r, count(*) over (partition by vec_id % 4) as n from embeddings) where r <= ceil(n * 0.5)")
 def _(spark, d):
-    return X.stratified_fraction(V.cells(spark, d), 0.5).groupBy("batch").agg(F.count("*").alias("n"))
+    return X.stratified_fraction(V.cells(spark, d), 0.5).select("cell_id", "batch")
 
 
 @query("f27_duplicate_rows", "with rows_ as (select o_custkey as cell_id, string_agg(x, ',' order by x) as k from (select distinct o_custkey, o_orderpriority || o_orderstatus as x from orders) group by o_custkey) select cell_id, m as twin from (select cell_id, min(cell_id) over (partition by k) as m from rows_) where cell_id <> m")
@@ -103,12 +103,12 @@ def _(spark, d):
 
 @query("m4_standardize", sql("select cell_id, gene_id, round((value - avg(value) over (partition by batch, gene_id)) / stddev_pop(value) over (partition by batch, gene_id), 6) as value from expr_dense", "expr_dense"))
 def _(spark, d):
-    return V.expr_dense(spark, d).withColumn("value", F.round(zscore(F.col("value"), "batch", "gene_id"), 6)).select("cell_id", "gene_id", "value")
+    return standardized(V.expr_dense(spark, d), "value", "batch", "gene_id").withColumn("value", F.round("value", 6)).select("cell_id", "gene_id", "value")
 
 
 @query("m5_robust_scale", sql("+q as (select gene_id, avg(value) as m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) as iqr from expr_dense group by gene_id) select cell_id, gene_id, round((value - m) / (case when iqr = 0 then 1 else iqr end), 6) as value from expr_dense join q using (gene_id)", "expr_dense"))
 def _(spark, d):
-    return V.expr_dense(spark, d).withColumn("value", F.round(robust(F.col("value"), "gene_id"), 6)).select("cell_id", "gene_id", "value")
+    return robust_scaled(V.expr_dense(spark, d), "value", "gene_id").withColumn("value", F.round("value", 6)).select("cell_id", "gene_id", "value")
 
 
 @query("m12_label_codes", "select c_mktsegment as label, (dense_rank() over (order by c_mktsegment) - 1)::int as code from (select distinct c_mktsegment from customer)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import euclidean, rotated
+from tessera.functions.vectors import euclidean, rotated_all
 from tessera.operators import graph as G
 from tessera.operators import knn as K
 from tessera.operators import match as M
@@ -162,10 +162,10 @@ def _(spark, d):
     return G.neighbour_lists(e, 4).select("i", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query("g9_components", "with recursive e as materialized (select o_custkey as a, c_nationkey + 1000000 as b from orders join customer on o_custkey = c_custkey where o_custkey % 7 = 0), u as materialized (select a, b from e union select b, a from e), r as (select a as node, a as c from u union select u.b, r.c from r join u on r.node = u.a) select node, min(c) as component from r group by node")
+@query("g9_components", "with recursive e as materialized (select o_custkey as a, c_nationkey + 1000000 as b from orders join customer on o_custkey = c_custkey), u as materialized (select a, b from e union select b, a from e), r as (select a as node, a as c from u union select u.b, r.c from r join u on r.node = u.a) select node, min(c) as component from r group by node")
 def _(spark, d):
     o, c = V.table(spark, d, "orders").select("o_custkey"), V.table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    e = o.filter("o_custkey % 7 = 0").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("i"), (F.col("c_nationkey") + 1_000_000).cast("long").alias("j"))
+    e = o.distinct().join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("i"), (F.col("c_nationkey") + 1_000_000).cast("long").alias("j"))
     return G.components(e)
 
 
@@ -174,7 +174,10 @@ def _(spark, d):
     return S.silhouette(V.cells(spark, d)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
-KNI = "+" + pairs_sql(EUCLID, "true", "x", "i") + """, t as (select * from x where r <= 10), s as (select i, any_value(bi) as batch, any_value(li) as label, sum((bi = bj)::int) as same from t group by i),
+KNI = """+su as (select cell_id, unnest(vec) as x, generate_subscripts(vec, 1) as dim from cells_v),
+    sq as (select dim, avg(x) as m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as w from su group by dim),
+    sv as (select cell_id, list((x - m) / case when w = 0 then 1 else w end order by dim) as vec from su join sq using (dim) group by cell_id),
+    sc as materialized (select c.cell_id, c.batch, coalesce(c.label::varchar, 'Unknown') as label, sv.vec from cells_v c join sv using (cell_id)), """ + pairs_sql(EUCLID, "true", "x", "i").replace("cells_v", "sc") + """, t as (select * from x where r <= 10), s as (select i, any_value(bi) as batch, any_value(li) as label, sum((bi = bj)::int) as same from t group by i),
     v as (select i, lj, count(*) as n, row_number() over (partition by i order by count(*) desc, lj) as q from t group by i, lj), o as (select i, lj, row_number() over (partition by i order by count(*) desc, lj) as q from t where bi <> bj group by i, lj),
     k as (select s.*, v.lj as vote, o.lj as vote_other, same < 8.0 as diverse from s join v on s.i = v.i and v.q = 1 left join o on s.i = o.i and o.q = 1) """
 
@@ -236,8 +239,7 @@ def _(spark, d):
 
 @query("m13_rotate", "select vec_id as cell_id, round(mx + (x - mx) * 0 - (y - my) * 1, 6) as x, round(my + (x - mx) * 1 + (y - my) * 0, 6) as y from (select vec_id, embedding[1]::double as x, embedding[2]::double as y, avg(embedding[1]::double) over () as mx, avg(embedding[2]::double) over () as my from embeddings)")
 def _(spark, d):
-    c = V.cells(spark, d).withColumn("all", F.lit(1)).withColumn("v", F.slice("vec", 1, 2))
-    out = c.select("cell_id", rotated(F.col("v"), 90, "all").alias("v"))
+    out = rotated_all(V.cells(spark, d).select("cell_id", F.slice("vec", 1, 2).alias("v")), "v", 90)
     return out.select("cell_id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,9 +105,12 @@ def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, barcodes: DataFrame | None = None) -> DataFrame:
     """A Matrix-Market file as gene_idx, cell_idx, value; with (idx, name) tables the names are joined on."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("%")).withColumn("n", F.monotonically_increasing_id())
-    part = F.split(F.trim("value"), r"\s+")  # the first line that is no comment holds the sizes
-    out = lines.filter("n <> 0").select(part[0].cast("long").alias("gene_idx"), part[1].cast("long").alias("cell_idx"), part[2].cast("double").alias("value"))
+    # Each file's first line without a comment holds its sizes; it is the one with the least place in its file.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    sizes = lines.groupBy("f").agg(F.min("n").alias("n"))  # a row a file
+    part = F.split(F.trim("value"), r"\s+")
+    out = lines.join(F.broadcast(sizes), ["f", "n"], "left_anti").select(part[0].cast("long").alias("gene_idx"), part[1].cast("long").alias("cell_idx"), part[2].cast("double").alias("value"))
     if genes is not None:
         out = out.join(genes.select(F.col("idx").alias("gene_idx"), F.col("name").alias("gene_id")), "gene_idx")
     if barcodes is not None:
@@ -115,6 +118,36 @@ def read_mtx(spark: SparkSession, path: str, genes: DataFrame | None = None, bar
     return out
 
 
+def read_counts(spark: SparkSession, counts: str, labels: str, sep: str = "\t", label_sep: str = ",") -> DataFrame:
+    """gene_id, cell_id, value, label from a delimited gene x cell matrix and a file of (cell id, label) with a header."""
+    named = spark.read.csv(labels, sep=label_sep, header=True)
+    cell, label = named.columns[:2]
+    return read_matrix(spark, counts, sep).join(named.select(F.col(f"`{cell}`").alias("cell_id"), F.col(f"`{label}`").alias("label")), "cell_id")
+
+
+def labelled_slices(df: DataFrame, column: str, wanted, label: str, cell: str = "cell_id", most: int | None = None, seed: int = 0) -> DataFrame:
+    """Rows of the wanted slices that have a label, at most `most` of each slice drawn by their id, with `batch` and `label`."""
+    out = rename_obs(df.filter(F.col(column).isin(*wanted)), column, label).filter("label is not null")
+    if most is None:
+        return out
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cell).cast("string")))
+    return out.withColumn("__r", F.row_number().over(Window.partitionBy("batch").orderBy(draw, cell))).filter(F.col("__r") <= most).drop("__r")
+
+
+def batch_of_id(df: DataFrame, column: str, sep: str = "_", drop: Column | None = None) -> DataFrame:
+    """df with `batch`, the part of an id before the first separator; rows for which `drop` holds (doublets) go."""
+    out = df if drop is None else df.filter(~F.coalesce(drop, F.lit(False)))
+    return out.withColumn("batch", F.substring_index(F.col(column).cast("string"), sep, 1))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def read_typed_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """A delimited file whose second line names each column's type (`numeric` or `group`)."""
     head = spark.read.csv(path, sep=sep, header=True)
@@ -126,7 +159,14 @@ def read_typed_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFr
 
 
 def read_through(spark: SparkSession, path: str, make) -> DataFrame:
-    """What is written at path; make() writes it first where nothing is."""
+    """What is written at path; make() is called, and its result written, only where nothing is."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     make().write.mode("ignore").parquet(path)
     return spark.read.parquet(path)
 

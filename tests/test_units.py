@@ -153,3 +153,47 @@ def test_stream_equals_table(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     last = max(s for s, _, _ in want)
     assert got <= want and {r for r in want if r[0] < last} <= got
+
+
+def test_hubness_between_batches():
+    """A hub in the middle of one side loses its place to cells that are near in both sides' terms."""
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((20, 4)), rng.standard_normal((30, 4))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    rx, ry = np.sort(d, 1)[:, :6].mean(1), np.sort(d, 0)[:6].mean(0)
+    want = {"csls": 2 * d - rx[:, None] - ry[None], "local_scaling": 1 - np.exp(-d * d / (rx[:, None] * ry[None]))}
+    for how, cost in want.items():
+        cols = M.assignment(cost)
+        got = sorted(M.nearest_pairs(x, y, 1, "euclidean", how, 6))
+        assert [(i, j) for i, j, _, _ in got] == list(enumerate(cols.tolist()))
+        assert np.allclose([v for _, _, v, _ in got], cost[np.arange(20), cols])
+    with pytest.raises(ValueError):
+        M.nearest_pairs(x, y, 1, "euclidean", "rank")
+
+
+def test_robust_scaling_and_missing_labels_in_kni(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 3)) * [1, 50, 0.1]
+    rows = [(i, i % 2, None if i % 7 == 0 else i % 3, v.tolist()) for i, v in enumerate(x)]
+    c = spark.createDataFrame(rows, "cell_id long, batch int, label int, vec array<double>")
+    q = np.percentile(x, [25, 75], axis=0)
+    z = (x - x.mean(0)) / (q[1] - q[0])
+    got = {r["cell_id"]: r["vec"] for r in S.robust_scaled(c).collect()}
+    assert np.allclose([got[i] for i in range(60)], z)
+    labels = ["Unknown" if r[2] is None else str(r[2]) for r in rows]
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    for r in S.kni(c).collect():
+        near = np.argsort(d[r["cell_id"]], kind="stable")[:10]
+        assert r["same"] == sum(rows[j][1] == r["batch"] for j in near) and r["diverse"] == (r["same"] < 8)
+        votes = [labels[j] for j in near]
+        assert r["vote"] == min(set(votes), key=lambda v: (-votes.count(v), v)) and r["label"] == labels[r["cell_id"]]
+
+
+def test_matrix_market_of_several_files(spark, tmp_path):
+    for name, line in (("a", "1 1 5"), ("b", "2 1 7")):
+        (tmp_path / f"{name}.mtx").write_text(f"%%MatrixMarket\n% note\n2 2 1\n{line}\n")
+    assert sorted(tuple(r) for r in V.read_mtx(spark, str(tmp_path / "*.mtx")).collect()) == [(1, 1, 5.0), (2, 1, 7.0)]
+    made = []
+    for _ in range(2):
+        V.read_through(spark, f"{tmp_path}/once", lambda: made.append(1) or spark.range(3)).count()
+    assert made == [1]
