@@ -2,7 +2,7 @@
 
 Every document gets two histograms: its character classes and its common words. Both are compared with the histograms
 of its language over the whole corpus by Jensen-Shannon distance (base 2, from 0 to 1). Guards: a histogram over too
-few characters or words is not judged. Fixed rules on length and repetition come first.
+few characters or words is not judged, and the fewer words a text has, the farther its own may lie. Fixed rules on length and repetition come first.
 
 Defined cases: null text counts as empty (no words, fails the length rule); a language that is null or has fewer than
 `MIN_REFERENCE_CHARS` characters is compared with the reference over all languages; ties and repeated rows are judged
@@ -32,8 +32,10 @@ N_WORDS = len(WORDS) + 1  # and one for every other word
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "wide")
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-MIN_CHARS_JUDGED, MIN_WORDS_JUDGED, MIN_REFERENCE_CHARS = 200, 150, 20_000
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.33
+MIN_CHARS_JUDGED, MIN_WORDS_JUDGED, MIN_REFERENCE_CHARS = 200, 40, 20_000
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.24
+#: A sample of n words lies from its own source at a squared distance in proportion to 1 / n; short texts get that much more.
+WORD_SAMPLING = 4.0
 MAX_LANGUAGES = 1000
 
 
@@ -145,7 +147,7 @@ def judged(stats: DataFrame, refs: DataFrame, lang_col: str = "lang") -> DataFra
         "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _js("commons", "ref_commons")),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | F.coalesce(F.col("word_distance") * F.col("word_distance") > MAX_WORD_DISTANCE**2 + WORD_SAMPLING / F.col("n_words"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
@@ -205,7 +207,7 @@ def _sql() -> str:
         (select sum(c) from char_hist h where h.doc_id = docs.doc_id) as n_chars from docs join words using (doc_id) left join lines using (doc_id) left join covered using (doc_id)),
     judged as (select c.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, case when n_chars >= {MIN_CHARS_JUDGED} then cd.d end as cd, case when n_words >= {MIN_WORDS_JUDGED} then wd.d end as wd
         from counts c left join char_distance cd using (doc_id) left join word_distance wd using (doc_id))
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(cd, 0) <= {MAX_CHAR_DISTANCE} and coalesce(wd, 0) <= {MAX_WORD_DISTANCE} as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from judged"""
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(cd, 0) <= {MAX_CHAR_DISTANCE} and coalesce(wd * wd <= {MAX_WORD_DISTANCE**2!r}::double + {WORD_SAMPLING}::double / n_words, true) as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from judged"""
 
 
 ORACLES = {"op10_quality_rules": _sql()}

@@ -66,6 +66,15 @@ def test_quality_keeps_clean_and_columns(spark):
     assert r.filter("kept").count() >= 0.98 * r.count()
 
 
+def test_quality_verdicts_against_labels(spark):
+    """Of the labelled documents that pass the base rules: junk that stays, and good ones that go."""
+    folder = SF.replace("0.001", "0.1")
+    report = quality_rules.quality_report(spark.read.parquet(f"{folder}/documents.parquet")).filter("not base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in report.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.9 * (n[0, False] + n[0, True])
+    assert n.get((1, False), 0) < 0.005 * n[1, True]
+
+
 def test_quality_empty(spark):
     assert quality_rules.quality_report(frame(spark, []).limit(0)).collect() == []
 
