@@ -53,7 +53,7 @@ def unpacked_ids(packed: bytes) -> pa.Array:
 def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], make, keep: Sequence[str]) -> DataFrame:
     """One output row per input row: the `keep` columns and what make(list of bytes) returns.
 
-    make gets the UTF-8 texts of a slice of a few MB and returns one list of values per field, in order.
+    make gets the UTF-8 texts of a slice of about 1 MB and returns one list of values per field, in order.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -77,7 +77,7 @@ def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], ma
     return base.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about `most` bytes of text (one row at least), so that what a task holds stays small."""
     import pyarrow.compute as pc
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bytes_of, connected_components, packed_ids, slices, staged, table, unpacked_ids
 
 WIDTH, PERCENT, RADIUS = 5, 75, 0.25
-TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_500_000, 600_000, 512
+TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_000_000, 400_000, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd: it has an inverse modulo 2^64
 
