@@ -53,12 +53,13 @@ def unpacked_ids(packed: bytes) -> pa.Array:
 def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], make, keep: Sequence[str]) -> DataFrame:
     """One output row per input row: the `keep` columns and what make(list of bytes) returns.
 
-    make gets the UTF-8 texts of a slice of about 1 MB and returns one list of values per field, in order.
+    make gets the UTF-8 texts of a slice of about 1 MB and returns one list of values per field, in order. Where the first
+    of `keep` is a struct that holds `text_col`, the text is taken from it and does not travel a second time.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    names = [*keep, text_col]
-    base = df.select(*[F.col(f"`{c}`") for c in names])
+    inside = text_col not in df.columns
+    base = df.select(*[F.col(f"`{c}`") for c in (keep if inside else [*keep, text_col])])
     added = _parse_datatype_string(", ".join(f"{n} {t}" for n, t in fields))
     schema = StructType([*[df.schema[c] for c in keep], *added.fields])
     n_keep = len(keep)
@@ -67,9 +68,10 @@ def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], ma
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
+        texts = lambda b: b.column(0).field(text_col) if inside else b.column(n_keep)
         for batch in batches:
-            for part in slices(batch, n_keep):
-                made = make(bytes_of(part.column(n_keep)))
+            for part in slices(batch, texts(batch)):
+                made = make(bytes_of(texts(part)))
                 arrays = [part.column(i).cast(out.field(i).type) for i in range(n_keep)]
                 arrays += [pa.array(v, out.field(n_keep + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
@@ -77,13 +79,13 @@ def map_text(df: DataFrame, text_col: str, fields: Sequence[tuple[str, str]], ma
     return base.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in row slices of about `most` bytes of text (one row at least), so that what a task holds stays small."""
+def slices(batch: pa.RecordBatch, texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in row slices of about `most` bytes of its texts (one row at least), so that what a task holds stays small."""
     import pyarrow.compute as pc
 
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

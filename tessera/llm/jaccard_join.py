@@ -148,7 +148,7 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for piece in slices(batch, 1, 1_000_000):
+            for piece in slices(batch, batch.column(1), 1_000_000):
                 for doc, s in zip(piece.column(0).to_pylist(), shingle_sets(bytes_of(piece.column(1)), hasher), strict=True):
                     held.append(s)
                     ids.append(doc)

@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, batch.column(1)):
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encoder.encode(text or "") + end

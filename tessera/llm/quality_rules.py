@@ -162,9 +162,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The text stays where it is: one pass sums the references, a second judges row by row, and no text is shuffled.
     """
-    inner = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), F.col("lang").alias("__lang"))
+    inner = docs.select(F.struct("*").alias("__row"), F.col("lang").alias("__lang"))
     refs = staged(references(measured(docs, ["lang"])))
-    stats = map_text(inner, "__text", FIELDS, _measure, ["__row", "__lang"])
+    stats = map_text(inner, "text", FIELDS, _measure, ["__row", "__lang"])
     return judged(stats, refs, "__lang").filter("kept").select("__row.*")
 
 

@@ -180,8 +180,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of a secret in `text` replaced by its kind in brackets; all else unchanged."""
-    inner = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
-    out = map_text(inner, "__text", [("__clean", "string")], _cleaned, ["__row"])
+    out = map_text(docs.select(F.struct("*").alias("__row")), "text", [("__clean", "string")], _cleaned, ["__row"])
     return out.select(*[(F.coalesce("__clean", F.col("__row.text")) if c == "text" else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -146,7 +146,7 @@ def _sharded(docs: DataFrame) -> DataFrame:
         part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         batch_of = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
         for batch in batches:
-            for piece in slices(batch, 1, SHARD_BYTES // 4):
+            for piece in slices(batch, batch.column(1), SHARD_BYTES // 4):
                 ids += piece.column(0).to_pylist()
                 more = bytes_of(piece.column(1))
                 texts += more
