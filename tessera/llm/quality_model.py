@@ -130,7 +130,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     known = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
     total = known.count()
     part = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_labelled / max(1, total))))
-    rows = x.join(part, "doc_id").orderBy("doc_id").select("x", "y").collect()  # about max_labelled rows
+    rows = x.join(part, "doc_id").orderBy("doc_id", "y", "x").select("x", "y").collect()  # about max_labelled rows
     model = fitted(np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
     out = x.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("x"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
