@@ -13,12 +13,17 @@ shingle in common form a region.
     and the distances of its members to the pivot are exact. Members within the radius are linked to it and so to each
     other. A member x beyond the radius may still link to a member y within it, but only if |d(x, p) - d(y, p)| <= radius:
     such boundary members are kept with those outside, the others leave.
- 4. What is left of regions with the same first member is joined once more: in blocks of at most BLOCK sets, each pair of
-    blocks a task of its own, by counting the shingles that sets share. Only links that connect something new come back.
+ 4. What is left of regions with the same first member forms larger regions. One of more than BLOCK sets is divided into the
+    Voronoi cells of up to PIVOTS pivots drawn from its own members: every set goes to its nearest pivot, and a copy of it
+    to each other pivot q with d(x, q) <= d(x, nearest) + 2 radius and d(x, q) <= (radius of q's cell) + radius. By the
+    triangle inequality both sets of a link then meet in the nearest cell of either. Cells are divided in the same way until
+    they hold at most BLOCK sets, or until the copies would leave more than half of the comparisons.
+ 5. The cells that remain are joined in blocks of at most BLOCK sets, each pair of blocks a task of its own, by counting the
+    shingles that sets share. Only links that connect something new come back.
 
 So every link between different sets is either taken or implied by links taken: components are exact. Step 3 is linear in
-region sizes and settles groups of copies, which lie around few pivots; step 4 grows with the square of the number of
-distinct sets that share rare shingles, are no near copies of a pivot and may by size still be near copies of each other.
+region sizes and settles groups of copies, which lie around few pivots. A cell that no pivots divide (sets that share rare
+shingles and are about equally far from each other) costs the square of its distinct sets in step 5.
 
 Defined cases: a null, empty or blank text has an empty set, which links with nothing; with fewer than five words the
 whole sequence is one shingle; a row of null id links with nothing and has a null component; repeated rows are one class; an empty table gives an empty result; other columns of the
@@ -30,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,8 @@ from tessera.llm.common import bytes_of, connected_components, packed_ids, slice
 
 WIDTH, PERCENT, RADIUS = 5, 75, 0.25
 TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_000_000, 400_000, 512
+PIVOTS, SALTS = 16, 32  # SALTS copies of PIVOTS pivots are no more rows than a region of over BLOCK sets has
+PAIRS_A_COPY = 2048  # a pivot's set is copied once for so many sets that are measured against it
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd: it has an inverse modulo 2^64
 
@@ -233,9 +241,14 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cls, pivot, d, link) of the pairs, exact over both sets."""
+    """(cls, pivot, d, link) of the pairs, exact over both sets. A pivot of many pairs has several copies, so that no task has all of them."""
+    pairs = staged(pairs.distinct())
+    copies = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 1")
+    one = F.coalesce("copies", F.lit(1))
+    pairs = pairs.join(copies, "pivot", "left").select("cls", "pivot", F.pmod(F.xxhash64("cls"), one).alias("copy"))
     left = nodes.select("cls", F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
-    right = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
+    right = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_b"), F.col("shared").alias("s_b")).join(copies, "pivot", "left")
+    right = right.withColumn("copy", F.explode(F.sequence(F.lit(0), one - 1))).drop("copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +260,7 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 link.append(linked(both, x, y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], names=["cls", "pivot", "d", "link"])
 
-    joined = pairs.join(left, "cls").join(right, "pivot")
+    joined = pairs.join(left, "cls").join(right, ["pivot", "copy"])
     return joined.select("cls", "pivot", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "cls long, pivot long, d double, link boolean")
 
 
@@ -298,6 +311,38 @@ def _leaf(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"cls": pa.array(columns[0], pa.int64()), "pivot": pa.array(columns[1], pa.int64())})
 
 
+def _cells(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Regions (region, cls, lab) divided into Voronoi cells as far as that saves comparisons, and the links met on the way."""
+    done, links = [], []
+    while True:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("lab").alias("a"), F.max("lab").alias("b"))
+        sizes = staged(sizes.filter("a <> b").select("region", "size"))
+        large = sizes.filter(F.col("size") > BLOCK)
+        done.append(rows.join(sizes.filter(F.col("size") <= BLOCK), "region", "left_semi"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, links) if links else None
+        wide = rows.join(large, "region", "left_semi")
+        # Classes are hashes, so the least of a slot is a random member.
+        drawn = wide.groupBy("region", F.pmod(F.xxhash64("cls", "region"), F.lit(PIVOTS)).alias("slot")).agg(F.min("cls").alias("pivot"))
+        pivots = drawn.select("region", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        asked = staged(wide.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS))).join(pivots, ["region", "salt"]).drop("salt"))
+        d = staged(_distances(asked.select("cls", "pivot"), nodes))
+        links.append(d.filter("link and cls <> pivot").select("cls", "pivot"))
+        d = asked.join(d, ["cls", "pivot"])
+        per_set = d.groupBy("region", "cls", "lab").agg(F.min(F.struct("d", "pivot")).alias("home"), F.collect_list(F.struct("pivot", "d")).alias("each"))  # PIVOTS at most
+        per_set = staged(per_set)
+        radii = per_set.groupBy("region", F.col("home.pivot").alias("pivot")).agg(F.max("home.d").alias("far"))
+        seen = per_set.select("region", "cls", "lab", "home", F.explode("each").alias("e")).select("region", "cls", "lab", "home", "e.pivot", "e.d")
+        near = F.col("d") <= F.least(F.col("home.d") + 2 * RADIUS, F.col("far") + RADIUS) + 1e-9
+        cells = seen.join(radii, ["region", "pivot"]).filter((F.col("pivot") == F.col("home.pivot")) | near)
+        cells = staged(cells.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), "cls", "lab"))
+        work = cells.groupBy("parent", "region").agg(F.count("*").cast("double").alias("m")).groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        saved = large.join(work, F.col("region") == F.col("parent")).filter(2 * F.col("work") <= F.col("size").cast("double") * F.col("size"))
+        saved = staged(saved.select("parent"))
+        done.append(wide.join(saved, F.col("region") == F.col("parent"), "left_anti"))
+        rows = cells.join(saved, "parent", "left_semi").select("region", "cls", "lab")
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """(cls, pivot) links that connect whatever is connected."""
     rest = staged(_postings(nodes))
@@ -305,7 +350,7 @@ def _links(nodes: DataFrame) -> DataFrame:
     regions = regions.filter("size > 1").groupBy("size", "members").agg(F.min(F.struct("token", "p")).alias("r"))
     regions = staged(regions.select("r.token", F.col("r.p.cls").alias("pivot"), F.col("r.p.n").alias("n_p"), F.col("r.p.room").alias("room_p")))
     members = rest.join(regions, "token").filter(F.col("cls") != F.col("pivot"))
-    pairs = members.filter(_may_link("n", "room", "n_p", "room_p")).select("cls", "pivot").distinct()
+    pairs = members.filter(_may_link("n", "room", "n_p", "room_p")).select("cls", "pivot")
     d = staged(_distances(pairs, nodes))
     links = d.filter("link").select("cls", "pivot")
 
@@ -321,7 +366,10 @@ def _links(nodes: DataFrame) -> DataFrame:
     bounds = seen.groupBy("token").agg(F.min(F.when(~F.col("link"), F.col("d"))).alias("out"), F.min("n").alias("least_n"), F.max(reach).alias("most_n"), F.min("lab").alias("lab_a"), F.max("lab").alias("lab_b"), F.min("cls").alias("region"))
     kept = seen.join(bounds.filter("out is not null and lab_a <> lab_b"), "token")
     kept = kept.filter((~F.col("link") | (F.col("d") >= F.col("out") - RADIUS - 1e-9)) & (reach >= F.col("least_n")) & (F.col("n") <= F.col("most_n")))
-    rows = staged(kept.select("region", "cls", "lab").distinct())
+    rows, met = _cells(staged(kept.select("region", "cls", "lab").distinct()), nodes)
+    if met is not None:
+        links = links.union(met)
+    rows = staged(rows)
     sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("lab").alias("a"), F.max("lab").alias("b")).filter("a <> b")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.join(sizes.select("region", blocks.alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

@@ -289,6 +289,58 @@ def test_jaccard_common_shingles(spark, monkeypatch):
     assert rows(jaccard_join.components(frame(spark, texts))) == sorted(plain_components(texts), key=str)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_cells(spark, monkeypatch, seed):
+    """Regions far larger than a block: families of texts of one template, chains of near copies across cells."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_COPY", 7)
+    rng = random.Random(seed)
+    texts, head = [], words(rng, 30).split()
+    for _ in range(8):
+        x = [*head, *words(rng, 40).split()]
+        for _ in range(14):  # each a step away from the one before
+            x = list(x)
+            at = rng.randrange(30, len(x))
+            x[at : at + 1] = words(rng, rng.choice([1, 1, 2])).split()
+            texts.append(" ".join(x))
+    texts += [" ".join([*head, *words(rng, rng.randint(5, 40)).split()]) for _ in range(60)]
+    rng.shuffle(texts)
+    nodes = []
+    whole = jaccard_join._cells
+    monkeypatch.setattr(jaccard_join, "_cells", lambda r, n: nodes.append((r, whole(r, n))) or nodes[-1][1])
+    assert rows(jaccard_join.components(frame(spark, texts))) == sorted(plain_components(texts), key=str)
+    before, (after, met) = nodes[0]
+    size = lambda df: max((r["count"] for r in df.groupBy("region").count().collect()), default=0)
+    assert size(before) > 4 and met is not None and size(after) <= size(before)
+
+
+def test_jaccard_cells_hold_all_links(spark, monkeypatch):
+    """Every link of one region has both sets in some cell, and cells are smaller than the region."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    rng = np.random.default_rng(4)
+    sets = []
+    for f in range(12):
+        base = np.arange(60) + 1000 * f
+        for _ in range(12):
+            s = base.copy()
+            s[rng.choice(60, rng.integers(0, 7), replace=False)] += 100 + rng.integers(0, 400)
+            sets.append(np.unique(s))
+    sets = [sets[i] for i in rng.permutation(len(sets))]  # classes are hashes: in no order
+    data = [(i, len(s), bytearray(s.astype(np.int64).tobytes())) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(data, "cls long, n long, shared binary")
+    region = nodes.select(F.lit(7).cast("long").alias("region"), "cls", F.col("cls").alias("lab"))
+    cells, met = jaccard_join._cells(region, nodes)
+    held: dict = {}
+    for r in cells.collect():
+        held.setdefault(r["region"], set()).add(r["cls"])
+    pairs = {(r["cls"], r["pivot"]) for r in met.collect()}
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert links and all(any(i in c and j in c for c in held.values()) for i, j in links)
+    assert all(jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])) for i, j in pairs)
+    assert max(map(len, held.values())) < len(sets) / 2
+
+
 # ---- repeated strings ----
 
 
