@@ -47,7 +47,6 @@ from tessera.llm.common import bytes_of, connected_components, packed_ids, slice
 WIDTH, PERCENT, RADIUS = 5, 75, 0.25
 TOKENS_A_BUCKET, TOKENS_A_CHUNK, BLOCK = 1_000_000, 400_000, 512
 PIVOTS, SALTS = 16, 32  # SALTS copies of PIVOTS pivots are no more rows than a region of over BLOCK sets has
-PAIRS_A_COPY = 2048  # a pivot's set is copied once for so many sets that are measured against it
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95  # odd: it has an inverse modulo 2^64
 
@@ -241,14 +240,9 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cls, pivot, d, link) of the pairs, exact over both sets. A pivot of many pairs has several copies, so that no task has all of them."""
-    pairs = staged(pairs.distinct())
-    copies = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 1")
-    one = F.coalesce("copies", F.lit(1))
-    pairs = pairs.join(copies, "pivot", "left").select("cls", "pivot", F.pmod(F.xxhash64("cls"), one).alias("copy"))
+    """(cls, pivot, d, link) of the pairs, exact over both sets."""
     left = nodes.select("cls", F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
-    right = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_b"), F.col("shared").alias("s_b")).join(copies, "pivot", "left")
-    right = right.withColumn("copy", F.explode(F.sequence(F.lit(0), one - 1))).drop("copies")
+    right = nodes.select(F.col("cls").alias("pivot"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +254,7 @@ def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 link.append(linked(both, x, y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], names=["cls", "pivot", "d", "link"])
 
-    joined = pairs.join(left, "cls").join(right, ["pivot", "copy"])
+    joined = pairs.distinct().join(left, "cls").join(right, "pivot")
     return joined.select("cls", "pivot", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "cls long, pivot long, d double, link boolean")
 
 

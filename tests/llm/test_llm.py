@@ -294,7 +294,6 @@ def test_jaccard_cells(spark, monkeypatch, seed):
     """Regions far larger than a block: families of texts of one template, chains of near copies across cells."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
-    monkeypatch.setattr(jaccard_join, "PAIRS_A_COPY", 7)
     rng = random.Random(seed)
     texts, head = [], words(rng, 30).split()
     for _ in range(8):
