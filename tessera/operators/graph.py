@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import knn as K
 from tessera.operators import match as M
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where all run on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tessera.operators.stage import shared_folder, stored
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -96,30 +84,90 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: float | None = No
             return best.select("source", "node", "d")
 
 
-def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None) -> DataFrame:
-    """i, j, d: the minimum spanning tree of each batch (exact; one row of distances is held at a time).
+def _nearest_outside(asked: DataFrame, cells: DataFrame, metric: str) -> DataFrame:
+    """batch, comp, e: the shortest edge (d, lo, hi, far) from the asked cells of each component to a cell outside of it.
 
-    A caller who wants an error for batches beyond some size gives max_batch.
+    Both sides have cell_id, vec, batch and comp. A pair of blocks is one task's work and gives a row a component at most.
     """
-
-    def run(t: pa.Table) -> pa.Table:
-        if max_batch is not None and t.num_rows > max_batch:
-            raise ValueError(f"a batch of {t.num_rows} cells is beyond the size asked for ({max_batch}); subsample first")
-        t = t.sort_by("cell_id")
-        x, ids = np.stack(t.column("vec").to_numpy()), t.column("cell_id").to_numpy()
-        inside, near, frm, out = np.zeros(len(x), bool), K.distances(x[:1], x, metric)[0], np.zeros(len(x), np.int64), []
-        inside[0] = True
-        for _ in range(len(x) - 1):
-            k = int(np.argmin(np.where(inside, np.inf, near)))
-            out.append((int(ids[frm[k]]), int(ids[k]), float(near[k])))
-            inside[k] = True
-            d = K.distances(x[k : k + 1], x, metric)[0]
-            closer = d < near
-            near[closer], frm[closer] = d[closer], k
-        i, j, w = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(w, pa.float64())})
-
-    return cells.select("cell_id", "vec", "batch").groupBy("batch").applyInArrow(run, "i long, j long, d double")
+    sides = [df.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), "batch", "comp") for df in (asked, cells)]
+    na, nb = (max(1, -(-int(s.groupBy("batch").count().agg(F.max("count")).first()[0] or 0) // K.BLOCK)) for s in sides)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = sides[0].withColumn("p", dealt(na)).withColumn("q", every(nb))
+    b = sides[1].withColumn("q", dealt(nb)).withColumn("p", every(na))
+    kind = cells.schema["batch"].dataType.simpleString()
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        rows = []
+        if x.num_rows and y.num_rows:
+            (vx, ix, cx), (vy, iy, cy) = ((np.stack(t.column("v").to_numpy()), t.column("id").to_numpy(), t.column("comp").to_numpy()) for t in (x, y))
+            i, j, d = K.best(vx, ix, vy, iy, 1, metric, False, cx[:, None] == cy[None])
+            own, far = dict(zip(ix.tolist(), cx.tolist(), strict=True)), dict(zip(iy.tolist(), cy.tolist(), strict=True))
+            least: dict = {}
+            for u, v, w in zip(i.tolist(), j.tolist(), d.tolist(), strict=True):
+                e = (w, min(u, v), max(u, v), far[v])
+                if own[u] not in least or e < least[own[u]]:
+                    least[own[u]] = e
+            rows = [(c, *e) for c, e in least.items()]
+        t = x if x.num_rows else y
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({"batch": pa.array([t.column("batch")[0].as_py()] * len(rows), t.schema.field("batch").type), **{n: pa.array(c, k) for n, c, k in zip(("comp", "d", "lo", "hi", "far"), columns, kinds, strict=True)}})
+
+    found = a.groupBy("batch", "p", "q").cogroup(b.groupBy("batch", "p", "q")).applyInArrow(run, f"batch {kind}, comp long, d double, lo long, hi long, far long")
+    return found.select("batch", "comp", F.struct("d", "lo", "hi", "far").alias("e"))
+
+
+def _contracted(choice: DataFrame) -> DataFrame:
+    """comp, root from comp and the component it chose: two that chose each other are led by the smaller, the rest follow."""
+    back = choice.select(F.col("comp").alias("far"), F.col("far").alias("back"))
+    leads = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("far"))
+    now = stored(choice.join(back, "far").select("comp", F.when(leads, F.col("comp")).otherwise(F.col("far")).alias("root")))
+    while True:  # pointers jump to their pointer's pointer
+        further = now.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+        jumped = stored(now.join(further, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if jumped.filter("moved").isEmpty():
+            return jumped.select("comp", "root")
+        now = jumped.select("comp", "root")
+
+
+def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None, k: int = 12) -> DataFrame:
+    """i, j, d (i < j): the minimum spanning tree of each batch, exact, by Boruvka's rounds.
+
+    In a round every component takes its shortest edge to another one (ties by the two ids, so that edges have one order
+    and no circle can form) and components joined by such edges become one; their number halves at least. A cell's k
+    nearest, found once, answer for it as long as one of them lies outside of its component. A cell without such a
+    neighbour cannot have an edge shorter than its k-th distance, so it is asked again, by a blocked join against all cells
+    of its batch, only where its component has found nothing shorter than that. A caller who wants an error for batches
+    beyond some size gives max_batch.
+    """
+    if max_batch is not None and (n := cells.groupBy("batch").count().agg(F.max("count")).first()[0] or 0) > max_batch:
+        raise ValueError(f"a batch of {n} cells is beyond the size asked for ({max_batch}); subsample first")
+    own = cells.select("cell_id", "batch", "vec")
+    near = stored(K.knn(own, own, k, metric, ("batch",)))
+    reach = near.groupBy("i").agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("n")).select(F.col("i").alias("cell_id"), F.when(F.col("n") < k, float("inf")).otherwise(F.col("reach")).alias("reach"))
+    reach = stored(reach)
+    comp = stored(own.select("cell_id", "batch", F.col("cell_id").alias("comp")))
+    open_ = near.select("batch", "i", "j", "d", F.col("i").alias("ci"), F.col("j").alias("cj"))
+    tree = None
+    while True:
+        edge = F.struct("d", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("cj").alias("far"))
+        listed = stored(open_.groupBy("batch", F.col("ci").alias("comp")).agg(F.min(edge).alias("e")))
+        shut = comp.join(open_.select(F.col("i").alias("cell_id")).distinct(), "cell_id", "left_anti").join(reach, "cell_id")
+        asked = shut.join(listed.select("comp", F.col("e.d").alias("d")), "comp", "left").filter("d is null or reach <= d").join(own.select("cell_id", "vec"), "cell_id")
+        asked = stored(asked.filter(F.col("reach") < float("inf")).select("cell_id", "vec", "batch", "comp"))
+        found = listed
+        if not asked.isEmpty():
+            found = found.union(_nearest_outside(asked, own.join(comp.select("cell_id", "comp"), "cell_id"), metric))
+        best = stored(found.groupBy("batch", "comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
+        if best.isEmpty():
+            return tree if tree is not None else best.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "d")
+        chosen = best.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "d").distinct()
+        tree = chosen if tree is None else tree.union(chosen)
+        root = stored(_contracted(best.select("comp", "far")))
+        comp = stored(comp.join(root, "comp").select("cell_id", "batch", F.col("root").alias("comp")))
+        ci, cj = (root.select(F.col("comp").alias(c), F.col("root").alias(f"r{c}")) for c in ("ci", "cj"))
+        open_ = stored(open_.join(ci, "ci").join(cj, "cj").filter("rci <> rcj").select("batch", "i", "j", "d", F.col("rci").alias("ci"), F.col("rcj").alias("cj")))
 
 
 def linear_assignment_integrate(cells: DataFrame, intra: int = 15, rounds: int = 1, keep: float = 0.75, scaling: float = 0.25, scale_k: int = 2, adjacency: DataFrame | None = None) -> DataFrame:

@@ -44,14 +44,16 @@ def reach(kth: np.ndarray, x: np.ndarray, y: np.ndarray, metric: str) -> np.ndar
     return np.sqrt(kth * kth + 2 * unit * scale)
 
 
-def best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, jds: np.ndarray, k: int, metric: str, self_too: bool):
-    """(i, j, d) of the k nearest in y for each row of x, ties to the smaller j.
+def best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, jds: np.ndarray, k: int, metric: str, self_too: bool, closed: np.ndarray | None = None):
+    """(i, j, d) of the k nearest in y for each row of x, ties to the smaller j; pairs that are `closed` do not count.
 
     All columns that rounding may have moved across the k-th distance are compared by exact distances, however many.
     """
     d = distances(x, y, metric)
     if not self_too:
         d[ids[:, None] == jds[None]] = np.inf
+    if closed is not None:
+        d[closed] = np.inf
     d[np.isnan(d)] = np.inf
     m = min(k, d.shape[1])
     limit = reach(np.partition(d, m - 1, axis=1)[:, m - 1], x, y, metric)

@@ -1,8 +1,8 @@
 """One-to-one matches between batches.
 
-Optimal assignment is not local: a pair of batches is solved in one task, exactly and for any number of rows. Up to HELD
-distances are kept as a matrix; beyond, each is worked out anew when it is asked for, so that memory grows with the rows
-and not with their square. Pairs of batches are separate tasks.
+A pair of batches of at most HELD distances is solved exactly, in one task. A larger one is solved by an auction over many
+tasks (`auction`), whose total cost is at most 1 + slack times the least one. A caller may move the border: with
+exact_up_to=None every pair is solved exactly, whatever its size, and with 0 every pair by the auction.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import knn as K
+from tessera.operators.auction import Auction, reduced
 from tessera.operators.knn import distances
+from tessera.operators.stage import stored
 
 HELD = 16_000_000
 
@@ -94,10 +97,8 @@ def nearest_pairs(x: np.ndarray, y: np.ndarray, rounds: int, metric: str, hub: s
 
     def row_of(i: int) -> np.ndarray:
         d = distances(a[i : i + 1], b, metric)[0] if whole is None else whole[i]
-        if hub == "csls":
-            d = 2 * d - scale_a[i] - scale_b
-        elif hub == "local_scaling":
-            d = 1 - np.exp(-d * d / np.maximum(scale_a[i] * scale_b, 1e-300))
+        if hub != "none":
+            d = reduced(d[None], hub, scale_a[i : i + 1], scale_b)[0]
         if i in closed:
             d = d.copy()
             d[closed[i]] = np.inf
@@ -120,11 +121,45 @@ def stairs(cells: DataFrame, steps: tuple[int, ...] | None = None) -> DataFrame:
     return (out.filter((F.col("q") - F.col("p")).isin(*steps)) if steps else out).select("a", "b")
 
 
-def matched(cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int | None = None, hub: str = "none", hub_k: int = 12) -> DataFrame:
-    """a, b, i, j, d, round: the optimal matches of each pair of batches; matched pairs are closed for later rounds.
+def _scales(cells: DataFrame, pairs: DataFrame, metric: str, k: int) -> DataFrame:
+    """a, b, id, s: mean distance of each cell to its k nearest of the other batch of each pair."""
+    base = cells.select("cell_id", "vec", "batch")
+    a, b = (base.withColumnRenamed("batch", c).join(pairs, c) for c in ("a", "b"))
+    both = K.knn(a, b, k, metric, ("a", "b"), True).union(K.knn(b, a, k, metric, ("a", "b"), True))
+    return both.groupBy("a", "b", F.col("i").alias("id")).agg(F.avg("d").alias("s"))
 
-    A caller who wants an error for batches beyond some size gives max_batch.
+
+def matched(
+    cells: DataFrame, pairs: DataFrame, rounds: int = 1, metric: str = "euclidean", max_batch: int | None = None, hub: str = "none", hub_k: int = 12, exact_up_to: int | None = HELD, slack: float = 0.01, region: int | None = None
+) -> DataFrame:
+    """a, b, i, j, d, round: the matches of least total cost of each pair of batches; matched pairs are closed for later rounds.
+
+    Pairs of more than exact_up_to distances go to the auction, within `slack` of the least total cost, with about `region`
+    bidders a task; rounds that could close so many pairs that the rest has no complete match are solved exactly. A caller
+    who wants an error for batches beyond some size gives max_batch.
     """
+    pairs = pairs.select("a", "b")
+    if exact_up_to is None:
+        return _matched_locally(cells, pairs, rounds, metric, max_batch, hub, hub_k)
+    sizes = cells.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    known = pairs.join(sizes.select(F.col("batch").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("batch").alias("b"), F.col("n").alias("nb")), "b")
+    feasible = (F.col("na") == F.col("nb")) | (F.abs(F.col("na") - F.col("nb")) >= rounds - 1)
+    known = stored(known.withColumn("large", (F.col("na") * F.col("nb") > exact_up_to) & feasible & (F.least("na", "nb") >= rounds)))  # a row a pair of batches
+    small, large = (known.filter(c).select("a", "b") for c in ("not large", "large"))
+    if large.isEmpty():
+        return _matched_locally(cells, small, rounds, metric, max_batch, hub, hub_k)
+    if max_batch is not None and (most := known.agg(F.max(F.greatest("na", "nb"))).first()[0]) > max_batch:
+        raise ValueError(f"a batch of {most} cells is beyond the size asked for ({max_batch}); subsample first")
+    if hub not in HUBNESS:
+        raise ValueError(f"unknown hubness reduction between batches: {hub}")
+    scales = stored(_scales(cells, large, metric, hub_k)) if hub != "none" else None
+    out = Auction(cells, large, metric, slack, stored, hub, scales, **({"region": region} if region else {})).rounds(rounds)
+    return out if small.isEmpty() else out.union(_matched_locally(cells, small, rounds, metric, max_batch, hub, hub_k))
+
+
+def _matched_locally(cells: DataFrame, pairs: DataFrame, rounds: int, metric: str, max_batch: int | None, hub: str, hub_k: int) -> DataFrame:
+    """The exact matches, a pair of batches in one task."""
+    left, right = (cells.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), F.col("batch").alias(c)).join(pairs, c) for c in ("a", "b"))
     kind = cells.schema["batch"].dataType.simpleString()
     left = cells.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), F.col("batch").alias("a")).join(F.broadcast(pairs.select(F.col("a").alias("a"), F.col("b").alias("b"))), "a")
     right = cells.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), F.col("batch").alias("b")).join(F.broadcast(pairs.select(F.col("a").alias("a"), F.col("b").alias("b"))), "b")
