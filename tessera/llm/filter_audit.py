@@ -91,7 +91,7 @@ def refined(rows: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, h of the rows whose text stands under a smaller id too."""
     left = refined(rows.filter("doc_id is not null").select("doc_id", "h", "length", "blocks"))
-    texts = _hashed(docs).select("doc_id", "h", "text").join(left.distinct(), ["doc_id", "h"])
+    texts = _hashed(docs).select("doc_id", "h", "text").join(left.distinct().hint("merge"), ["doc_id", "h"])
     kept = texts.groupBy("class", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "class")
     return left.join(kept, ["doc_id", "class"], "left_anti").select("doc_id", "h").distinct()
 
