@@ -4,7 +4,7 @@ Words are counted over whole texts. They are dealt into shards by length, and ea
 order of depth with one byte of label each, branches of a single word stored as tails. The tries are sent to all tasks, a
 bounded number of bytes at a time, and the automaton that accepts what is one edit from a word is run over every shard
 depth-first: it goes down the word's own path, leaves it once by an inserted, deleted or replaced code point, and has to
-meet the word's rest exactly from there. Shards without a word of a length within one of the word's are passed over: the
+meet the word's rest exactly from there. A shard holds its words backwards too, for edits in the first half. Shards without a word of a length within one of the word's are passed over: the
 automaton accepts nothing in them. A task gives one row a word, so no pair of words is ever listed.
 
 All code points of a word lie below U+0100, so one byte stands for one code point, and bytes sort as code points do.
@@ -33,7 +33,7 @@ MIN_POINTS, MIN_COUNT, FORM_RATIO, DELETE_EVERY = 7, 2, 10, 31
 RUN = re.compile("[a-zÀ-ÿ]+")
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: A shard holds about so many words and characters; tries of at most WAVE_BYTES (or one trie) are broadcast at a time.
-SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 250_000, 4_000_000, 64_000_000
+SHARD_WORDS, SHARD_CHARS, WAVE_BYTES = 250_000, 4_000_000, 96_000_000
 #: Words of a task's count table before it is passed on, and words of a task that searches.
 COUNTED, SEARCHED = 200_000, 10_000
 
@@ -139,13 +139,21 @@ class Trie:
                 return -1
             i += 1
 
-    def near(self, w: bytes) -> dict[bytes, int]:
-        """The words one edit from w and their counts."""
+    def near(self, w: bytes, start: int = 0) -> dict[bytes, int]:
+        """The words one edit from w and their counts: all whose edit lies at `start` or later."""
         first, label, word, n, size = self.first, self.label, self.word, self.n, len(w)
         found: dict[bytes, int] = {}
         if not n:
             return found
         v = i = 0
+        while i < start:  # no edit so far: the path of w itself
+            a, b = first[v], first[v + 1]
+            if a == b:
+                break
+            v = label.find(w[i], a, b)
+            if v < 0:
+                return found
+            i += 1
         while True:
             a, b = first[v], first[v + 1]
             if a == b:  # one word is left: its tail against the rest of w
@@ -177,6 +185,41 @@ class Trie:
             i += 1
 
 
+class Shard:
+    """The words of a shard as a trie of the words and one of the words read backwards.
+
+    An edit in the second half of a word is found in the first, one in the first half in the second, so that neither walk
+    leaves the word's own path near the root, where branches are many.
+    """
+
+    def __init__(self, forward: Trie, backward: Trie):
+        self.forward, self.backward = forward, backward
+
+    @classmethod
+    def build(cls, rows: list[tuple[bytes, int]]) -> Shard:
+        tries = []
+        for those in (sorted(rows), sorted((w[::-1], n) for w, n in rows)):
+            tries.append(Trie.build([w for w, _ in those], [n for _, n in those]))
+        return cls(*tries)
+
+    def dump(self) -> bytes:
+        first = self.forward.dump()
+        return len(first).to_bytes(8, "little") + first + self.backward.dump()
+
+    @classmethod
+    def load(cls, data: bytes) -> Shard:
+        at = 8 + int.from_bytes(data[:8], "little")
+        return cls(Trie.load(data[8:at]), Trie.load(data[at:]))
+
+    def near(self, w: bytes) -> dict[bytes, int]:
+        """The words one edit from w and their counts."""
+        half = len(w) // 2
+        found = self.forward.near(w, half)
+        for x, n in self.backward.near(w[::-1], len(w) - half).items():
+            found[x[::-1]] = n
+        return found
+
+
 def one_edit(a: bytes, b: bytes) -> bool:
     """Whether a and b differ by exactly one inserted, deleted or replaced byte."""
     if len(a) < len(b):
@@ -213,9 +256,9 @@ def shards(words: DataFrame, most_words: int = SHARD_WORDS, most_chars: int = SH
     dealt = words.withColumn("length", points).join(plan, "length").select((F.col("shard") + F.pmod(F.xxhash64("word"), F.col("parts"))).alias("shard"), "word", "n")
 
     def build(t: pa.Table) -> pa.Table:
-        rows = sorted((w.encode("latin-1"), n) for w, n in zip(t.column("word").to_pylist(), t.column("n").to_pylist(), strict=True))
+        rows = [(w.encode("latin-1"), n) for w, n in zip(t.column("word").to_pylist(), t.column("n").to_pylist(), strict=True)]
         sizes = [len(w) for w, _ in rows]
-        data = Trie.build([w for w, _ in rows], [n for _, n in rows]).dump()
+        data = Shard.build(rows).dump()
         return pa.table({"shard": t.column("shard")[:1], "shortest": [min(sizes)], "longest": [max(sizes)], "size": [len(data)], "trie": pa.array([data], pa.binary())})
 
     return dealt.groupBy("shard").applyInArrow(build, "shard bigint, shortest bigint, longest bigint, size bigint, trie binary")
@@ -247,7 +290,7 @@ def nearest(words: DataFrame, tries: DataFrame, most: int = WAVE_BYTES) -> DataF
         sent = spark.sparkContext.broadcast([(r["shortest"], r["longest"], bytes(r["trie"])) for r in tries.filter(F.col("shard").between(ids[0], ids[-1])).collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            each = [(a - 1, b + 1, Trie.load(t)) for a, b, t in sent.value]
+            each = [(a - 1, b + 1, Shard.load(t)) for a, b, t in sent.value]
             for batch in batches:
                 counts, forms, form_ns = [], [], []
                 for word in batch.column(0).to_pylist():
