@@ -167,9 +167,10 @@ def test_trie_against_all_pairs():
     rng = random.Random(8)
     made = sorted({bytes(rng.choice(b"abc\xe9") for _ in range(rng.randint(1, 7))) for _ in range(900)} | {b"a" * k for k in range(1, 40)})
     trie = spelling.Trie.load(spelling.Trie.build(made, list(range(1, len(made) + 1))).dump())
+    shard = spelling.Shard.load(spelling.Shard.build([(w, k) for k, w in enumerate(made, 1)]).dump())
     for w in [*made, b"", b"zzz", b"a" * 60, b"abcabcab"]:
         want = {x: k + 1 for k, x in enumerate(made) if one_apart(w, x)}
-        assert trie.near(w) == want
+        assert trie.near(w) == shard.near(w) == want
     assert spelling.Trie.build([], []).near(b"abc") == {}
     assert all(spelling.one_edit(a, b) == one_apart(a, b) for a in made[:120] for b in made[:120])
 
@@ -178,9 +179,9 @@ def test_chain_of_long_words_takes_no_square_time():
     import time
 
     a = [b"a" * 300_000, b"a" * 300_001, b"a" * 299_999 + b"b", b"b" + b"a" * 299_999]
-    trie = spelling.Trie.build(sorted(a), [1, 2, 3, 4])
+    shard = spelling.Shard.build(list(zip(a, [1, 2, 3, 4], strict=True)))
     began = time.time()
-    assert len(trie.near(a[0])) == 3
+    assert len(shard.near(a[0])) == 3
     assert time.time() - began < 10
 
 
@@ -194,11 +195,10 @@ def test_shards_are_bounded():
 
 
 def plain_sample(counts, k):
-    """The sampled (term, level) by the definition, from the same uniform numbers."""
+    """The sampled (term, level) by the definition, from the same variates."""
     best = None
     for word, n in counts.items():
-        u = [float(fingerprints._uniform(np.array([fingerprints.term_key(word)], np.uint64), k + 1, w)[0, k]) for w in range(5)]
-        r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), u[4]
+        r, c, b = (float(x[0, k]) for x in fingerprints.variates(np.array([fingerprints.term_key(word)], np.uint64), k + 1)[:3])
         t = math.floor(math.log(n) / r + b)
         y = math.exp(r * (t - b))
         a = c / (y * math.exp(r))
@@ -220,6 +220,18 @@ def test_samples_by_definition():
     assert [small.fingerprint(t) for t in texts] == marks
 
 
+def test_variates_have_their_distributions():
+    """Mean, variance and quantiles of gamma variates of shape 2 and of uniforms."""
+    keys = np.array([fingerprints.term_key(str(i).encode()) for i in range(3000)], np.uint64)
+    r, c, b, mark = fingerprints.variates(keys, 64)
+    for g in (r, c):
+        assert abs(g.mean() - 2) < 0.02 and abs(g.var() - 2) < 0.06 and abs((g < 0.5).mean() - (1 - 1.5 * math.exp(-0.5))) < 0.005
+    assert abs(b.mean() - 0.5) < 0.005 and b.min() >= 0 and b.max() < 1 and abs(mark.mean() - 32767.5) < 150
+    each = np.stack([r.ravel(), c.ravel(), b.ravel(), mark.ravel()])
+    assert np.abs(np.corrcoef(each) - np.eye(4)).max() < 0.01
+    assert np.abs(np.corrcoef(c[:, :20].T) - np.eye(20)).max() < 0.08 and np.abs(np.corrcoef(c[:20]) - np.eye(20)).max() < 0.6
+
+
 def test_likeness_is_generalised_jaccard():
     rng = random.Random(5)
     s, errors = fingerprints.Sampler(1024, 3_000), []
