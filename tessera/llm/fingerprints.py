@@ -39,6 +39,8 @@ CACHED = 24_000
 #: Distinct words taken at a time, so that a text of millions of words needs little memory.
 CHUNK = 4_096
 EMPTY = "f" * 4
+#: Of 65,536 parts of c's distribution the lowest ones, within which a variate is placed exactly.
+FINE = 256
 
 U = np.uint64
 STEP, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -55,41 +57,44 @@ def term_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-@cache
-def _gamma_quantiles() -> np.ndarray:
-    """The middle of each of 65,536 equal parts of the gamma distribution of shape 2, 1 - (1 + x) exp(-x), by halving."""
-    want, low, high = (np.arange(65_536) + 0.5) / 65_536, np.zeros(65_536), np.full(65_536, 40.0)
-    for _ in range(60):
+def gamma_2_at(p: np.ndarray) -> np.ndarray:
+    """The number below which a gamma variate of shape 2 lies with probability p = 1 - (1 + x) exp(-x), by halving."""
+    low, high = np.zeros(len(p)), np.full(len(p), 60.0)
+    for _ in range(90):
         mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < want
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return low.astype(np.float32)
+    return low
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Variates at the middles of 65,536 equal parts, their logarithms, and logarithms of small p and of the variates there."""
+    middle = gamma_2_at((np.arange(65_536) + 0.5) / 65_536)
+    small = np.linspace(-42 * np.log(2), np.log(FINE / 65_536), 4_096)
+    return middle.astype(np.float32), np.log(middle).astype(np.float32), small, np.log(gamma_2_at(np.exp(small)))
 
 
 def variates(keys: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, c, b and a mark of 16 bits for each term and sample, from a hash of both.
+    """r, ln c, b and a mark of 16 bits for each term and sample, from a hash of both.
 
-    c, whose smallest values decide, is minus the logarithm of two uniforms of 24 bits; r is taken from a table of quantiles.
+    Gamma variates are taken from a table of quantiles; the smallest ones of c, which decide, are worked out from 24 more bits.
     """
     odd = _mixed((np.arange(samples, dtype=np.uint64) + U(1)) * STEP) | U(1)
     x = keys[:, None] * odd[None]
     x ^= x >> U(32)
     x *= MIX_A
     x ^= x >> U(29)
-    y = x * MIX_B
-    y ^= y >> U(32)
     lanes = x.view(np.uint16).reshape(*x.shape, 4)
-    r = _gamma_quantiles().take(lanes[..., 3])
+    quantiles, logs, small, small_logs = _tables()
+    at = lanes[..., 1].ravel()
+    log_c = logs.take(at)
+    low = np.flatnonzero(at < FINE)
+    more = ((x.ravel()[low] * MIX_B) >> U(40)).astype(np.float64) + 0.5
+    log_c[low] = np.interp(np.log((at[low] + more * 2.0**-24) / 65_536), small, small_logs)
     b = lanes[..., 2].astype(np.float32)
     b *= np.float32(2.0**-16)
-    c = (y >> U(40)).astype(np.int32).astype(np.float32)
-    c += np.float32(0.5)
-    u = ((y >> U(16)).astype(np.uint32) & np.uint32(0xFFFFFF)).view(np.int32).astype(np.float32)
-    u += np.float32(0.5)
-    c *= u
-    np.log(c, out=c)
-    np.subtract(np.float32(48 * np.log(2)), c, out=c)
-    return r, np.maximum(c, np.float32(1e-7), out=c), b, lanes[..., 0]
+    return quantiles.take(lanes[..., 3]), log_c.reshape(x.shape), b, lanes[..., 0]
 
 
 def sampled_values(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
@@ -98,7 +103,6 @@ def sampled_values(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES
     Its upper bits order the values, its lower 16 are the mark of (term, level) that enters the fingerprint.
     """
     r, value, b, mark = variates(keys, samples)
-    np.log(value, out=value)
     mark = mark.astype(np.uint64)
     more = np.flatnonzero(weights != 1)  # the level of a weight of 1 is 0
     if len(more):

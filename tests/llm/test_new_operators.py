@@ -198,10 +198,10 @@ def plain_sample(counts, k):
     """The sampled (term, level) by the definition, from the same variates."""
     best = None
     for word, n in counts.items():
-        r, c, b = (float(x[0, k]) for x in fingerprints.variates(np.array([fingerprints.term_key(word)], np.uint64), k + 1)[:3])
+        r, log_c, b = (float(x[0, k]) for x in fingerprints.variates(np.array([fingerprints.term_key(word)], np.uint64), k + 1)[:3])
         t = math.floor(math.log(n) / r + b)
         y = math.exp(r * (t - b))
-        a = c / (y * math.exp(r))
+        a = math.exp(log_c) / (y * math.exp(r))
         if best is None or a < best[0]:
             best = (a, word, t)
     return best[1:]
@@ -224,6 +224,9 @@ def test_variates_have_their_distributions():
     """Mean, variance and quantiles of gamma variates of shape 2 and of uniforms."""
     keys = np.array([fingerprints.term_key(str(i).encode()) for i in range(3000)], np.uint64)
     r, c, b, mark = fingerprints.variates(keys, 64)
+    c = np.exp(c)
+    low = np.sort(c.ravel())[: len(c.ravel()) // 2_000]  # the part that is placed exactly
+    assert len(np.unique(low)) == len(low) and abs(np.median(low) / fingerprints.gamma_2_at(np.array([0.00025]))[0] - 1) < 0.1
     for g in (r, c):
         assert abs(g.mean() - 2) < 0.02 and abs(g.var() - 2) < 0.06 and abs((g < 0.5).mean() - (1 - 1.5 * math.exp(-0.5))) < 0.005
     assert abs(b.mean() - 0.5) < 0.005 and b.min() >= 0 and b.max() < 1 and abs(mark.mean() - 32767.5) < 150
