@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import knn as K
 from tessera.operators import match as M
+from tessera.operators.correct import harmony, scanorama
 from tessera.operators.graph import cut
 
 
@@ -109,21 +110,6 @@ def mnn_correct(cells: DataFrame, reference, batch, k: int = 20, metric: str = "
     return own.join(move, "cell_id", "left").select("cell_id", F.when(F.col("move").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "move", lambda x, y: x + y)).alias("vec"))
 
 
-def harmony(cells: DataFrame, clusters: int = 8, rounds: int = 3) -> DataFrame:
-    """cells with each (batch, cluster) centre moved onto its cluster's centre, in rounds of clustering and correction."""
-    now = cells
-    for _ in range(rounds):
-        pick = now.withColumn("h", F.xxhash64("cell_id")).orderBy("h").limit(clusters)  # first centres
-        start = pick.select(F.row_number().over(Window.orderBy("h")).cast("long").alias("cluster"), "vec")
-        labelled = now.join(k_means(now, start, 5), "cell_id")
-        both = centroids(labelled, "cluster", "batch").select("cluster", "batch", F.col("vec").alias("own"))
-        mean = centroids(labelled, "cluster").select("cluster", F.col("vec").alias("all"))
-        shift = both.join(mean, "cluster").select("cluster", "batch", F.zip_with("all", "own", lambda x, y: x - y).alias("shift"))
-        moved = labelled.join(shift, ["cluster", "batch"]).withColumn("vec", F.zip_with("vec", "shift", lambda x, y: x + y))
-        now = cut(moved.select(*cells.columns))
-    return now
-
-
 def pca(cells: DataFrame, dims: int = 40) -> DataFrame:
     """cells with vec as its first principal components; as they are where they have no more dimensions."""
     from pyspark.ml.feature import PCA
@@ -137,4 +123,4 @@ def pca(cells: DataFrame, dims: int = 40) -> DataFrame:
 
 
 #: Integration methods by name: cells -> cells or an edge table.
-METHODS = {"combat": combat, "harmony": harmony, "bbknn": lambda cells: K.balanced_knn(cells, 3)}
+METHODS = {"combat": combat, "harmony": harmony, "scanorama": scanorama, "bbknn": lambda cells: K.balanced_knn(cells, 3)}

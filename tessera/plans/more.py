@@ -12,6 +12,7 @@ from tessera.operators import knn as K
 from tessera.operators import match as M
 from tessera.operators import models as L
 from tessera.operators import score as S
+from tessera.operators import selectors as H
 from tessera.operators import transfer as T
 from tessera.plans.relational import BRANDS, brand_scores, r6
 from tessera.plans.vector import EUCLID, near_sql, pairs_sql
@@ -379,6 +380,27 @@ def _(spark, d):
     return X.residual_scores(s).select(part[0].cast("int").alias("batch"), part[1].alias("gene_id"), F.round("score", 5).alias("score"))
 
 
+@query("l9_standardised_variance", sql("""+n as (select batch, count(distinct cell_id) as n from expr_dense group by batch),
+    g as (select batch, gene_id, any_value(n) as n, sum(value) / any_value(n) as mean, (sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1) as var from expr_dense join n using (batch) group by batch, gene_id),
+    v as materialized (select *, log10(mean) as x, log10(var) as y, count(*) over (partition by batch) as m from g where var > 0 and mean > 0),
+    p as (select a.batch, a.gene_id, b.x - a.x as u, b.y, row_number() over (partition by a.batch, a.gene_id order by abs(b.x - a.x)) as r, least(a.m, greatest(3, floor(0.3 * a.m + 1e-5))) as q from v a join v b using (batch)),
+    h as (select *, max(case when r <= q then abs(u) end) over (partition by batch, gene_id) as h from p),
+    w as (select batch, gene_id, y, u / h as u, pow(1 - pow(abs(u) / h, 3), 3) as w from h where abs(u) <= h),
+    s as (select batch, gene_id, sum(w) as a, sum(w * u) as b, sum(w * u * u) as c, sum(w * pow(u, 3)) as d, sum(w * pow(u, 4)) as e, sum(w * y) as t, sum(w * u * y) as tu, sum(w * u * u * y) as tuu from w group by all),
+    f as (select batch, gene_id, sqrt(pow(10, (t * (c * e - d * d) - b * (tu * e - d * tuu) + c * (tu * d - c * tuu)) / (a * (c * e - d * d) - b * (b * e - d * c) + c * (b * d - c * c)))) as dev from s),
+    k as (select batch, gene_id, sum(least(value, mean + sqrt(n) * dev)) as c, sum(pow(least(value, mean + sqrt(n) * dev), 2)) as cc from expr_dense join g using (batch, gene_id) join f using (batch, gene_id) group by all)
+    select batch, gene_id, round(coalesce((n * mean * mean + cc - 2 * c * mean) / ((n - 1) * dev * dev), 0), 5) as score from g left join f using (batch, gene_id) left join k using (batch, gene_id)""", "expr_dense"))
+def _(spark, d):
+    e = V.expr_dense(spark, d)
+    return H.standardised_variance(e, e.select("batch", "cell_id")).select("batch", "gene_id", F.round("score", 5).alias("score"))
+
+
+@query("l10_dispersion_residuals")
+def _(spark, d):
+    s = X.gene_stats(X.normalized(V.expr_dense(spark, d), log=False))
+    return H.dispersion_residuals(s, high=9.0, width=0.05).select("batch", "gene_id", F.round("score", 6).alias("score"))
+
+
 @query("l11_preprocess")
 def _(spark, d):
     """Even batches, gene scores, the union of their best genes, and the expressions cut to these."""
@@ -408,8 +430,20 @@ def _(spark, d):
 
 @query("lt8_mixture_em")
 def _(spark, d):
+    """Clusters of the positions of aligned batches, each batch a view of them; labels of the first batch to start with."""
+    c = T.pca(V.cells(spark, d), 4)
+    at = G.cut(M.aligned(c).join(c.select("cell_id", "label", "vec"), "cell_id"))
+    views = [at.filter(F.col("batch") == b).select(F.col("position").cast("long").alias("cell_id"), "vec") for b in range(4)]
+    return L.paired_mixture(views, at.filter("batch = 0").select(F.col("position").cast("long").alias("cell_id"), F.col("label").alias("cluster")))
+
+
+@query("lt11_paired_centres", sql("+h as (select cell_id, label, batch, vec[1:16] as a, vec[17:32] as b from cells_v), ca as (select label, list(m order by dim) as a from (select label, dim, avg(x) as m from (select label, unnest(a) as x, generate_subscripts(a, 1) as dim from h where batch = 0) group by all) group by label), cb as (select label, list(m order by dim) as b from (select label, dim, avg(x) as m from (select label, unnest(b) as x, generate_subscripts(b, 1) as dim from h where batch = 0) group by all) group by label), x as (select cell_id, 1 as view, ca.label as c, " + EUCLID.format(a="h.a", b="ca.a") + " as d from h, ca union all select cell_id, 2, cb.label, " + EUCLID.format(a="h.b", b="cb.b") + " as d from h, cb), n as (select * from (select *, row_number() over (partition by cell_id, view order by d, c) as r from x) where r = 1) select cell_id, arg_min(c, d)::bigint as cluster, count(distinct c) > 1 as disagree from n group by cell_id", "cells_v"))
+def _(spark, d):
+    """The nearest centre of the first batch's labels over two views (halves of the vectors), and whether the views differ."""
     c = V.cells(spark, d)
-    return L.mixture(c, c.select("cell_id", F.col("label").alias("cluster")), 5)
+    views = [c.withColumn("vec", F.slice("vec", start, 16)) for start in (1, 17)]
+    centres = [T.centroids(v.filter("batch = 0"), "label").select(F.col("label").alias("cluster"), "vec") for v in views]
+    return T.paired_assign(views, centres)
 
 
 @query("lt10_ensemble")
@@ -423,12 +457,8 @@ def _(spark, d):
 
 @query("r3_scanorama")
 def _(spark, d):
-    """Every batch moved onto the first by mutual neighbours, in order."""
-    c = V.cells(spark, d)
-    out = c.filter("batch = 0").select("cell_id", "vec")
-    for b in (1, 2, 3):
-        out = out.union(T.mnn_correct(c, 0, b, 10))
-    return out
+    """Batches joined from the best match on."""
+    return T.scanorama(V.cells(spark, d)).select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 # ---- evaluation ----

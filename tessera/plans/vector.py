@@ -249,6 +249,13 @@ def _(spark, d):
     return M.matched(c, M.stairs(c, (1,)))
 
 
+@query("j10_auction")
+def _(spark, d):
+    """The same pairs by the auction, whatever their size: within a hundredth of the least total distance."""
+    c = V.cells(spark, d)
+    return M.matched(c, M.stairs(c, (1,)), exact_up_to=0)
+
+
 @query("j17_align")
 def _(spark, d):
     return M.aligned(V.cells(spark, d))
@@ -309,7 +316,8 @@ def _(spark, d):
 
 @query("r2_harmony")
 def _(spark, d):
-    return T.harmony(V.cells(spark, d))
+    out = T.harmony(V.cells(spark, d), clusters=6, rounds=3, cluster_rounds=3, blocks=3)
+    return out.select("cell_id", "batch", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("r6_mnn_correct")
