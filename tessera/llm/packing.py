@@ -7,7 +7,7 @@ placed in runs, which gives the bins that placing them one by one gives. Each pi
 among the pieces of its length; ranks come from counts per (length, bucket), so no length is gathered in one task.
 
 Defined cases: a null text is an empty one (one piece, the end mark); a document of at most `capacity` tokens is never
-cut; a longer one is cut into full pieces with the remainder first; equal rows are placed as often as they occur, in
+cut; a longer one, of any length, is cut into full pieces with the remainder first; equal rows are placed as often as they occur, in
 any order among themselves; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -28,8 +28,9 @@ from tessera.llm.common import slices, staged, table
 
 CAPACITY, END_ID = 1024, 2
 PIECES_PER_BUCKET = 50_000
-#: Texts of these characters only go the fast way; any other text goes to the tokenizer itself.
-PLAIN = r"[^\n\t\r\x20-\x7eÀ-ɏ]|<\|endoftext\|>"
+#: Texts of these characters only, without long runs of blanks (on which the fast encoder's expression runs out of stack),
+#: go the fast way; any other text goes to the tokenizer itself.
+PLAIN = r"[^\n\t\r\x20-\x7eÀ-ɏ]|<\|endoftext\|>|\s{4096}"
 # Fixed value: the split of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
