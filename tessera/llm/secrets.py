@@ -8,7 +8,8 @@ Kinds, in the order of `KINDS`: assign, access, hex (the base), then github and
 key blocks, web tokens (a header that decodes to JSON) and card numbers (Luhn). Spans are in code points, end exclusive.
 
 Defined cases: null text counts as empty and has no spans; matches of one kind never overlap, the leftmost is taken and
-one that fails its length or checksum is dropped with what it covered; repeated rows give repeated results; an empty
+one that fails its length or checksum is dropped with what it covered; texts of any length are scanned whole, in time that
+grows with their length (a run that cannot be a web token is read once, not from every start in it); repeated rows give repeated results; an empty
 table gives an empty result; `redacted` leaves all other columns as they are.
 """
 
@@ -47,6 +48,7 @@ PATTERNS = {
     "web_token": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "card": re.compile(rb"[0-9]{13,19}(?![0-9])"),
 }
+TOKEN_PART = re.compile(rb"eyJ[A-Za-z0-9_-]*")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MIN_HEX, MIN_CARD = 24, 13
 HEX_CLASS = bytes(ord("x") if chr(i) in "0123456789abcdef" else ord(".") for i in range(256))
@@ -128,10 +130,14 @@ def scan(b: bytes, words) -> list[tuple[str, int, int]]:
     for rank, kind in enumerate(KINDS):
         done = 0
         for s in sorted(starts.get(kind, ())):
-            if s >= done and (m := PATTERNS[kind].match(b, s)):
+            if s < done:
+                continue
+            if m := PATTERNS[kind].match(b, s):
                 done = m.end()
                 if _accepts(kind, m):
                     spans.append((s, rank, done))
+            elif kind == "web_token" and (m := TOKEN_PART.match(b, s)):
+                done = m.end()  # what follows this run is no token's second part: no other start in it can succeed either
     return [(KINDS[k], s, e) for s, k, e in sorted(spans)]
 
 
