@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.vectors import average_rank, gmean
 from tessera.operators import knn as K
+from tessera.operators.stage import stored
 
 
 def label_agreement(cells: DataFrame, k: int = 5, on: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
@@ -202,3 +203,51 @@ def flow_prune(pairs: DataFrame, threshold: float = 0.2, left: int = 1, right: i
     more_a = x.filter("ra = 1").join(first.select("a").distinct(), "a", "left_anti").select(*x.columns)
     more_b = x.filter("rb = 1").join(first.select("b").distinct(), "b", "left_anti").select(*x.columns)
     return first.union(more_a).union(more_b).select("a", "b", "n").distinct()
+
+
+# ---- how well a similarity matrix follows an order ----
+
+
+def _placed(sim: DataFrame) -> DataFrame:
+    """i, j, value of a similarity table (a, b, value) by the positions of its nodes in their order (nodes are batches: few)."""
+    sim = stored(sim.select("a", "b", "value"))
+    at = sim.select(F.col("a").alias("node")).union(sim.select("b")).distinct().withColumn("at", F.row_number().over(Window.orderBy("node")) - 1)
+    i, j = at.select(F.col("node").alias("a"), F.col("at").alias("i")), at.select(F.col("node").alias("b"), F.col("at").alias("j"))
+    return sim.join(i, "a").join(j, "b").select("i", "j", "value")
+
+
+def side_spearman(sim: DataFrame) -> DataFrame:
+    """score: mean over rows and both sides of the diagonal (itself included) of the rank correlation of value and gap."""
+    m = _placed(sim).withColumn("gap", F.abs(F.col("i") - F.col("j")))
+    sides = m.filter("j >= i").withColumn("side", F.lit(1)).union(m.filter("j <= i").withColumn("side", F.lit(0)))
+    ranked = sides.withColumns({"x": average_rank(F.col("value"), "i", "side"), "y": average_rank(F.col("gap"), "i", "side")})
+    rho = ranked.groupBy("i", "side").agg(F.corr("x", "y").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return rho.filter("n > 1").agg(F.avg("rho").alias("score"))
+
+
+def upper_spearman(sim: DataFrame) -> DataFrame:
+    """score: the rank correlation of value and gap over all pairs above the diagonal."""
+    m = _placed(sim).filter("i < j").withColumn("gap", F.col("j") - F.col("i"))
+    return m.withColumns({"x": average_rank(F.col("value")), "y": average_rank(F.col("gap"))}).agg(F.corr("x", "y").alias("score"))
+
+
+def monotone_triangles(sim: DataFrame) -> DataFrame:
+    """share, error: for pairs at least two apart, how many are less similar than both their neighbours towards the diagonal,
+    and by how much one neighbour rises where not both do."""
+    m = _placed(sim)
+    down, left = m.select((F.col("i") - 1).alias("i"), "j", F.col("value").alias("down")), m.select("i", (F.col("j") + 1).alias("j"), F.col("value").alias("left"))
+    t = m.filter("j - i >= 2").join(down, ["i", "j"]).join(left, ["i", "j"])
+    d, e = F.col("down") - F.col("value"), F.col("left") - F.col("value")
+    good = (d > 0) & (e > 0)
+    rise = F.when(good, 0.0).otherwise(F.greatest(d, F.lit(0.0)) + F.greatest(e, F.lit(0.0)))
+    return t.agg(F.avg(good.cast("double")).alias("share"), F.sum(rise).alias("error"))
+
+
+def order_pearson(sim: DataFrame) -> DataFrame:
+    """score: correlation of the place by value (most similar first on the right, last on the left) and the place by position."""
+    m = _placed(sim)
+    last = m.agg(F.max("i").alias("last"))
+    m = m.join(F.broadcast(last)).filter("i < last and i <> j")  # one row
+    right = m.filter("j > i").withColumn("x", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("value"), "j")) - 1).withColumn("y", F.col("j") - F.col("i") - 1)
+    left = m.filter("j < i").withColumn("x", F.row_number().over(Window.partitionBy("i").orderBy("value", "j")) - 1).withColumn("y", F.col("j"))
+    return right.select("x", "y").union(left.select("x", "y")).agg(F.corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("score"))

@@ -346,6 +346,41 @@ def _(spark, d):
     return L.connecting_threshold(X.gram(brand_scores(spark, d)).filter("a <> b"))
 
 
+TENTHS = """+q as (select cell_id % 10 as batch, gene_id, sum(value) as s from expr_dense group by all), z as (select cell_id % 10 as batch, count(distinct cell_id) as n from expr_dense group by all),
+    m as materialized (select a.batch as i, b.batch as j, round(sum(a.s / x.n * b.s / y.n), 3) as v from q a join q b using (gene_id) join z x on x.batch = a.batch join z y on y.batch = b.batch group by all), """
+
+
+def tenths(spark, d):
+    """Similarity of ten groups of cells: a, b, value."""
+    e = V.expr_dense(spark, d).withColumn("batch", F.col("cell_id") % 10)
+    return X.gram(X.gene_scores(e, "mean_raw")).withColumn("value", F.round("value", 3))
+
+
+def rank_sql(c: str, part: str) -> str:
+    by = f"partition by {part} " if part else ""
+    return f"rank() over ({by}order by {c}) + (count(*) over (partition by {part + ', ' if part else ''}{c}) - 1) / 2"
+
+
+@query("w10_side_spearman", sql(TENTHS + f"s as (select i, j, v, abs(i - j) as gap, 1 as side from m where j >= i union all select i, j, v, abs(i - j), 0 from m where j <= i), r as (select i, side, {rank_sql('v', 'i, side')} as x, {rank_sql('gap', 'i, side')} as y from s), c as (select corr(x, y) as rho from r group by i, side having count(*) > 1) select round(avg(rho), 6) as score from c where not isnan(rho)", "expr_dense"))
+def _(spark, d):
+    return S.side_spearman(tenths(spark, d)).select(r6("score"))
+
+
+@query("w10_upper_spearman", sql(TENTHS + f"r as (select {rank_sql('v', '')} as x, {rank_sql('j - i', '')} as y from m where i < j) select round(corr(x, y), 6) as score from r", "expr_dense"))
+def _(spark, d):
+    return S.upper_spearman(tenths(spark, d)).select(r6("score"))
+
+
+@query("w10_monotone_triangles", sql(TENTHS + "t as (select a.v, x.v as d, y.v as l, x.v > a.v and y.v > a.v as good from m a join m x on x.i = a.i + 1 and x.j = a.j join m y on y.i = a.i and y.j = a.j - 1 where a.j - a.i >= 2) select round(avg(good::int), 6) as share, round(sum(case when good then 0 else greatest(d - v, 0) + greatest(l - v, 0) end), 2) as error from t", "expr_dense"))
+def _(spark, d):
+    return S.monotone_triangles(tenths(spark, d)).select(r6("share"), F.round("error", 2).alias("error"))
+
+
+@query("w10_order_pearson", sql(TENTHS + "r as (select row_number() over (partition by i order by v desc, j) - 1 as x, j - i - 1 as y from m where j > i and i < 9 union all select row_number() over (partition by i order by v, j) - 1, j from m where j < i and i < 9) select round(corr(x, y), 6) as score from r", "expr_dense"))
+def _(spark, d):
+    return S.order_pearson(tenths(spark, d)).select(r6("score"))
+
+
 # ---- graphs, transfer, reduction ----
 
 
@@ -486,6 +521,16 @@ def _(spark, d):
     return L.linear_accuracy(V.cells(spark, d))
 
 
+@query("e10_linear_label_score")
+def _(spark, d):
+    return L.linear_label_score(V.cells(spark, d)).select(r6("score"))
+
+
+@query("e10_linear_batch_score")
+def _(spark, d):
+    return L.linear_batch_score(V.cells(spark, d)).select(r6("score"))
+
+
 @query("sn1_sankey_nodes", "select distinct label || '|' || b as node from (select label, vec_id % 4 as b from embeddings)")
 def _(spark, d):
     return V.cells(spark, d).select(F.concat_ws("|", F.col("label").cast("string"), F.col("batch").cast("string")).alias("node")).distinct()

@@ -193,3 +193,23 @@ def test_paired_mixture_against_numpy(spark):
     with pytest.raises(RuntimeError):
         L.paired_mixture(frames, first, rounds=0)
     assert L.paired_mixture([f.limit(0) for f in frames], first).collect() == []
+
+
+def test_linear_scores_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(3)) if k else 1, k, (rng.standard_normal(3) + k).tolist()) for i in range(120) for k in [int(rng.integers(3))]]
+    c = points(spark, rows).repartition(3)
+    got = {(r["g"], r["truth"], r["guess"]): r["n"] for r in L.linear_confusion(c, "label").collect()}
+    x = np.column_stack([np.array([r[3] for r in rows]), np.ones(len(rows))])
+    fit = lambda x, y: np.linalg.solve(x.T @ x + 1e-3 * np.eye(4), x.T @ (2 * np.eye(y.max() + 1)[y] - 1))
+    y = np.array([r[2] for r in rows])
+    guess = (x @ fit(x, y)).argmax(1)
+    assert got == {(None, str(a), str(b)): int(((y == a) & (guess == b)).sum()) for a in range(3) for b in range(3) if ((y == a) & (guess == b)).any()}
+    assert abs(L.linear_label_score(c).first()["score"] - (y == guess).mean()) < 1e-12
+    batch, scores = np.array([r[1] for r in rows]), []
+    for k in (1, 2):
+        own, b = x[y == k], batch[y == k]
+        g = (own @ fit(own, b)).argmax(1)
+        scores.append(1 - (np.mean([(g[b == v] == v).mean() for v in range(3)]) - 1 / 3) / (2 / 3))
+    assert abs(L.linear_batch_score(c).first()["score"] - np.mean(scores)) < 1e-12
+    assert L.linear_confusion(c.limit(0), "label").collect() == []
