@@ -38,14 +38,22 @@ FALL = 6.0
 
 
 def reduced(d: np.ndarray, hub: str, scale_x: np.ndarray | None, scale_y: np.ndarray | None) -> np.ndarray:
-    """Distances reduced for hubs by both sides' scales."""
+    """Distances reduced for hubs by both sides' scales: a mean distance a row, or mean and deviation (mutual proximity)."""
     if hub == "csls":
         return 2 * d - scale_x[:, None] - scale_y[None]
     if hub == "local_scaling":
         return 1 - np.exp(-d * d / np.maximum(scale_x[:, None] * scale_y[None], 1e-300))
+    if hub == "mutual_proximity":
+        below = lambda m, s: 1 / (1 + np.exp(np.clip(-1.702 * (d - m) / np.maximum(s, 1e-300), -700, 700)))
+        return 1 - (1 - below(scale_x[:, :1], scale_x[:, 1:])) * (1 - below(scale_y[None, :, 0], scale_y[None, :, 1]))
     return d
 
 
+def _scale_of(t: pa.Table, hub: str) -> np.ndarray:
+    s = np.stack(t.column("s").to_numpy())
+    return s if hub == "mutual_proximity" else s[:, 0]
+
+
 def bidding(lists: dict, price: dict, holder: dict, epsilon: float) -> tuple[dict, set]:
     """New holders of objects as {object: (bidder, price)}, and the bidders that need a longer list.
 
@@ -88,10 +96,10 @@ class Auction:
         left, right = side("a"), side("b")
         pick = lambda l, r: l.filter("not flipped").unionByName(r.filter("flipped")).drop("flipped")  # noqa: E731, E741
         self.bidders, self.objects = pick(left, right), pick(right, left)
-        if scales is not None:  # a, b, id, s: a cell's scale towards the other batch of the pair
+        if scales is not None:  # a, b, id, s: a cell's scales (an array) towards the other batch of the pair
             self.bidders, self.objects = (x.join(scales, ["a", "b", "id"]) for x in (self.bidders, self.objects))
         else:
-            self.bidders, self.objects = (x.withColumn("s", F.lit(1.0)) for x in (self.bidders, self.objects))
+            self.bidders, self.objects = (x.withColumn("s", F.array(F.lit(1.0))) for x in (self.bidders, self.objects))
         self.objects = self.objects.select(*[F.col(c).alias(c) for c in self.objects.columns])  # columns of its own
         self.kind = cells.schema["batch"].dataType.simpleString()
 
@@ -111,7 +119,7 @@ class Auction:
             if s.num_rows and t.num_rows:
                 vx, vy = (np.stack(z.column("v").to_numpy()) for z in (s, t))
                 ids, jds = s.column("id").to_numpy(), t.column("id").to_numpy()
-                cost = reduced(distances(vx, vy, metric), hub, s.column("s").to_numpy(), t.column("s").to_numpy())
+                cost = reduced(distances(vx, vy, metric), hub, _scale_of(s, hub), _scale_of(t, hub))
                 at = {j: n for n, j in enumerate(jds.tolist())}
                 for r, those in enumerate(s.column("shut").to_pylist()):
                     cost[r, [at[j] for j in those or () if j in at]] = np.inf

@@ -128,6 +128,41 @@ def local_scale(edges: DataFrame) -> DataFrame:
     return edges.groupBy("i").agg(F.avg("d").alias("r"))
 
 
+def distance_moments(left: DataFrame, right: DataFrame, metric: str = "euclidean", by: tuple[str, ...] = (), self_too: bool = False) -> DataFrame:
+    """i, mean, sd (and the `by` columns): mean and population deviation of each left row's distances to all right rows.
+
+    Sums of pairs of blocks are added up; nothing but three numbers a row and block leaves a task.
+    """
+    sides = [df.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), *[F.col(c).alias(c) for c in by]) for df in (left, right)]
+    counts = [s.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for s in sides]
+    na, nb = (max(1, -(-int(c) // BLOCK)) for c in counts)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = sides[0].withColumn("p", dealt(na)).withColumn("q", every(nb))
+    b = sides[1].withColumn("q", dealt(nb)).withColumn("p", every(na))
+    kinds = {c: left.schema[c].dataType.simpleString() for c in by}
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, n, total, square = np.empty(0, np.int64), np.empty(0), np.empty(0), np.empty(0)
+        if x.num_rows and y.num_rows:
+            ids = x.column("id").to_numpy()
+            d = distances(*(np.stack(t.column("v").to_numpy()) for t in (x, y)), metric)
+            own = np.zeros(d.shape, bool) if self_too else ids[:, None] == y.column("id").to_numpy()[None]
+            d[own] = 0
+            n, total, square = (~own).sum(1).astype(float), d.sum(1), (d * d).sum(1)
+        out = {"i": pa.array(ids, pa.int64()), "n": pa.array(n), "t": pa.array(total), "s": pa.array(square)}
+        for c in by:
+            t = x if x.num_rows else y
+            out[c] = pa.array([t.column(c)[0].as_py()] * len(ids), t.schema.field(c).type)
+        return pa.table(out)
+
+    keys = [*by, "p", "q"]
+    part = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, "i long, n double, t double, s double" + "".join(f", {c} {t}" for c, t in kinds.items()))
+    sums = part.groupBy("i", *by).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("s").alias("s")).filter("n > 0")
+    mean = F.col("t") / F.col("n")
+    return sums.select("i", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s") / F.col("n") - mean * mean)).alias("sd"), *by)
+
+
 HUBNESS = ("none", "local_scaling", "csls", "mutual_proximity", "rank")
 
 
@@ -135,7 +170,8 @@ def hubness(pairs: DataFrame, scale_i: DataFrame, scale_j: DataFrame, how: str =
     """pairs (i, j, d) with d reduced for hubs; the scales are i, r tables of both sides.
 
     none: d; local_scaling: 1 - exp(-d^2 / (r_i r_j)); csls: 2 d - r_i - r_j;
-    mutual_proximity: from normal tails of each side's distances; rank: the average rank of d among i's pairs.
+    mutual_proximity: from normal tails of each side's distances, those of the pairs given or, where the scales have the
+    columns mean and sd (distance_moments), of all; rank: the average rank of d among i's pairs.
     """
     if how == "none":
         return pairs
@@ -143,8 +179,13 @@ def hubness(pairs: DataFrame, scale_i: DataFrame, scale_j: DataFrame, how: str =
         w = Window.partitionBy("i")
         rank = F.rank().over(w.orderBy("d")) + (F.count(F.lit(1)).over(Window.partitionBy("i", "d")) - 1) / 2
         return pairs.withColumn("d", rank.cast("double"))
+    if how == "mutual_proximity" and "sd" in scale_i.columns:
+        sides = [scale.select(F.col("i").alias(c), F.col("mean").alias(f"m_{c}"), F.col("sd").alias(f"s_{c}")) for scale, c in ((scale_i, "i"), (scale_j, "j"))]
+        below = lambda c: 1 / (1 + F.exp(F.lit(-1.702) * (F.col("d") - F.col(f"m_{c}")) / F.greatest(f"s_{c}", F.lit(1e-300))))
+        out = pairs.join(sides[0], "i").join(sides[1], "j")
+        return out.withColumn("d", 1 - (1 - below("i")) * (1 - below("j"))).drop("m_i", "s_i", "m_j", "s_j")
     if how == "mutual_proximity":
-        tail = lambda c: 1 / (1 + F.exp(F.lit(-1.702) * (F.col("d") - F.avg("d").over(Window.partitionBy(c))) / F.stddev_pop("d").over(Window.partitionBy(c))))
+        tail = lambda c: 1 / (1 + F.exp(F.lit(-1.702) * (F.col("d") - F.avg("d").over(Window.partitionBy(c))) / F.greatest(F.stddev_pop("d").over(Window.partitionBy(c)), F.lit(1e-300))))
         return pairs.withColumn("d", 1 - (1 - tail("i")) * (1 - tail("j")))
     out = pairs.join(scale_i.select("i", F.col("r").alias("r_i")), "i").join(scale_j.select(F.col("i").alias("j"), F.col("r").alias("r_j")), "j")
     if how == "csls":

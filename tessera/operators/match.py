@@ -66,7 +66,7 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-HUBNESS = ("none", "csls", "local_scaling")
+HUBNESS = ("none", "csls", "local_scaling", "mutual_proximity")
 
 
 def local_scales(a: np.ndarray, b: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,18 +81,35 @@ def local_scales(a: np.ndarray, b: np.ndarray, metric: str, k: int) -> tuple[np.
     return one(a, b), one(b, a)
 
 
+def moments(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each row's distances to all rows of the other side, as two columns."""
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        step, out = max(1, HELD // max(1, len(y))), []
+        for s in range(0, len(x), step):
+            d = distances(x[s : s + step], y, metric)
+            out.append(np.stack([d.mean(1), d.std(1)], 1))
+        return np.concatenate(out)
+
+    return one(a, b), one(b, a)
+
+
 def nearest_pairs(x: np.ndarray, y: np.ndarray, rounds: int, metric: str, hub: str = "none", hub_k: int = 12) -> list[tuple[int, int, float, int]]:
     """(row of x, row of y, distance, round); pairs of a round are closed for later ones.
 
     With `hub` distances are reduced for hubs by both sides' mean distance to their hub_k nearest of the other side:
-    csls: 2 d - r_i - r_j; local_scaling: 1 - exp(-d^2 / (r_i r_j)).
+    csls: 2 d - r_i - r_j; local_scaling: 1 - exp(-d^2 / (r_i r_j)); mutual_proximity: 1 - (1 - F_i(d)) (1 - F_j(d)), F the normal
+    distribution (in its logistic form) of a cell's distances to the whole other side.
     """
     if hub not in HUBNESS:
         raise ValueError(f"unknown hubness reduction between batches: {hub}")
     flipped = len(x) > len(y)
     a, b = (y, x) if flipped else (x, y)
     whole = distances(a, b, metric) if len(a) * len(b) <= HELD else None
-    scale_a, scale_b = local_scales(a, b, metric, hub_k) if hub != "none" else (None, None)
+    if hub == "mutual_proximity":
+        scale_a, scale_b = moments(a, b, metric)
+    else:
+        scale_a, scale_b = local_scales(a, b, metric, hub_k) if hub != "none" else (None, None)
     closed: dict[int, list[int]] = {}
 
     def row_of(i: int) -> np.ndarray:
@@ -121,12 +138,16 @@ def stairs(cells: DataFrame, steps: tuple[int, ...] | None = None) -> DataFrame:
     return (out.filter((F.col("q") - F.col("p")).isin(*steps)) if steps else out).select("a", "b")
 
 
-def _scales(cells: DataFrame, pairs: DataFrame, metric: str, k: int) -> DataFrame:
-    """a, b, id, s: mean distance of each cell to its k nearest of the other batch of each pair."""
+def _scales(cells: DataFrame, pairs: DataFrame, metric: str, hub: str, k: int) -> DataFrame:
+    """a, b, id, s: mean distance of each cell to its k nearest of the other batch of each pair, or moments of all its distances."""
     base = cells.select("cell_id", "vec", "batch")
     a, b = (base.withColumnRenamed("batch", c).join(pairs, c) for c in ("a", "b"))
+    a, b = a.select("cell_id", "vec", "a", "b"), b.select(*[F.col(c).alias(c) for c in ("cell_id", "vec", "a", "b")])
+    if hub == "mutual_proximity":
+        both = [K.distance_moments(x, y, metric, ("a", "b"), True) for x, y in ((a, b), (b, a))]
+        return both[0].unionByName(both[1]).select("a", "b", F.col("i").alias("id"), F.array("mean", "sd").alias("s"))
     both = K.knn(a, b, k, metric, ("a", "b"), True).union(K.knn(b, a, k, metric, ("a", "b"), True))
-    return both.groupBy("a", "b", F.col("i").alias("id")).agg(F.avg("d").alias("s"))
+    return both.groupBy("a", "b", F.col("i").alias("id")).agg(F.array(F.avg("d")).alias("s"))
 
 
 def matched(
@@ -152,7 +173,7 @@ def matched(
         raise ValueError(f"a batch of {most} cells is beyond the size asked for ({max_batch}); subsample first")
     if hub not in HUBNESS:
         raise ValueError(f"unknown hubness reduction between batches: {hub}")
-    scales = stored(_scales(cells, large, metric, hub_k)) if hub != "none" else None
+    scales = stored(_scales(cells, large, metric, hub, hub_k)) if hub != "none" else None
     out = Auction(cells, large, metric, slack, stored, hub, scales, **({"region": region} if region else {})).rounds(rounds)
     return out if small.isEmpty() else out.union(_matched_locally(cells, small, rounds, metric, max_batch, hub, hub_k))
 

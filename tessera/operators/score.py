@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -251,3 +254,38 @@ def order_pearson(sim: DataFrame) -> DataFrame:
     right = m.filter("j > i").withColumn("x", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("value"), "j")) - 1).withColumn("y", F.col("j") - F.col("i") - 1)
     left = m.filter("j < i").withColumn("x", F.row_number().over(Window.partitionBy("i").orderBy("value", "j")) - 1).withColumn("y", F.col("j"))
     return right.select("x", "y").union(left.select("x", "y")).agg(F.corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("score"))
+
+
+# ---- search over parameters ----
+
+
+def agreement_grid(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """point, score: label agreement among the k nearest for every parameter point (point, k, metric), from one search a metric."""
+    out = None
+    for r in points.groupBy("metric").agg(F.max("k").alias("k")).orderBy("metric").collect():  # a row a metric
+        near = K.knn(cells, cells, r["k"], r["metric"]).select("i", "j", "rank")
+        label = cells.select(F.col("cell_id").alias("i"), F.col("label").alias("li")), cells.select(F.col("cell_id").alias("j"), F.col("label").alias("lj"))
+        same = near.join(label[0], "i").join(label[1], "j").groupBy("rank").agg(F.sum(F.col("li").eqNullSafe(F.col("lj")).cast("long")).alias("same"), F.count(F.lit(1)).alias("n"))
+        asked = points.filter(F.col("metric") == r["metric"]).select("point", F.explode(F.sequence(F.lit(1), "k")).alias("rank"))
+        found = same.join(asked, "rank").groupBy("point").agg((F.sum("same") / F.sum("n")).alias("score"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def successive_halving(cells: DataFrame, points: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], factor: int = 3, seed: int = 0) -> DataFrame:
+    """point, round, cells, score: parameter points scored on growing shares of the cells, the best 1 / factor going on.
+
+    points has a column point. All points of a round are scored by one call of score(cells, points). The last round takes all
+    cells. Shares are drawn by the hash of the id, so a round's cells hold those of the rounds before.
+    """
+    n, total = points.count(), cells.count()
+    rounds = max(0, ceil(log(max(n, 1), factor) - 1e-9))
+    out = None
+    for r in range(rounds + 1):
+        share = factor ** float(r - rounds)
+        part = cells if r == rounds else cells.filter(F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+        now = stored(score(part, points).select("point", F.lit(r).alias("round"), F.lit(part.count() if r < rounds else total).cast("long").alias("cells"), "score"))
+        out = now if out is None else out.union(now)
+        n = max(1, ceil(n / factor))
+        points = points.join(now.orderBy(F.desc_nulls_last("score"), "point").limit(n).select("point"), "point", "left_semi")
+    return out

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Genes whose local regression is one task's work.
 BLOCK = 256
@@ -30,6 +31,35 @@ def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float =
     return np.einsum("iab,ib->ia", np.linalg.pinv(left, rcond=1e-10), right)[:, 0]
 
 
+#: Percentiles of the means between which genes are compared, and the factor of a median absolute deviation.
+CUTS, MAD_FACTOR = tuple(range(10, 101, 5)), 1 / 0.6744897501960817
+
+
+def cell_ranger(expr: DataFrame, cells: DataFrame, top: int = 5_000, least: float = 3.0, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """batch, gene_id, score, selected: dispersion of ln(1 + x) of normalised counts against genes of a like mean.
+
+    Genes of fewer than `least` counts in a batch are left out. Cells are scaled to 10,000 counts before the logarithm; the
+    dispersion is the sample variance over the mean, absent counts being 0. Genes are binned at percentiles of the means (a mean
+    equal to a cut belongs below it); the score is the dispersion less its bin's median, over the bin's scaled median absolute
+    deviation, null where that is 0. selected: among the `top` scores of the batch, ties by gene.
+    """
+    n = cells.groupBy("batch").agg(F.count_distinct("cell_id").alias("n"))
+    known = expr.groupBy("batch", "gene_id").agg(F.sum("value").alias("t")).filter(F.col("t") >= least).select("batch", "gene_id")
+    depth = expr.groupBy("batch", "cell_id").agg(F.sum("value").alias("depth"))
+    x = expr.join(depth.filter("depth > 0"), ["batch", "cell_id"]).withColumn("x", F.log1p(F.col("value") * 1e4 / F.col("depth")))
+    sums = x.join(known, ["batch", "gene_id"], "left_semi").groupBy("batch", "gene_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).join(n, "batch")
+    mean = F.col("s") / F.col("n")
+    stats = sums.select("batch", "gene_id", mean.alias("mean"), F.try_divide(F.try_divide(F.col("ss") - F.col("s") * mean, F.col("n") - 1), mean).alias("d"))
+    at = stats.groupBy("batch").agg(F.percentile("mean", F.array(*[F.lit(c / 100) for c in cuts])).alias("at"))  # a few numbers a batch
+    binned = stats.join(at, "batch").select("batch", "gene_id", "d", F.size(F.filter("at", lambda c: F.col("mean") > c)).alias("bin"))
+    middle = binned.groupBy("batch", "bin").agg(F.percentile("d", 0.5).alias("m"))
+    off = binned.join(middle, ["batch", "bin"]).withColumn("off", F.abs(F.col("d") - F.col("m")))
+    spread = off.groupBy("batch", "bin").agg((F.percentile("off", 0.5) * MAD_FACTOR).alias("mad"))
+    scored = off.join(spread, ["batch", "bin"]).select("batch", "gene_id", F.try_divide(F.col("d") - F.col("m"), F.col("mad")).alias("score"))
+    r = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc_nulls_last("score"), "gene_id"))  # genes of a batch: some ten thousand
+    return scored.withColumn("selected", (r <= top) & F.col("score").isNotNull())
+
+
 def standardised_variance(expr: DataFrame, cells: DataFrame, span: float = 0.3) -> DataFrame:
     """batch, gene_id, score: the variance of counts clipped and standardised by what their mean lets expect.
 

@@ -154,6 +154,34 @@ def _(spark, d):
     return K.hubness(near.select("i", "j", "d"), s, s, "local_scaling").select("i", "j", r6("d"))
 
 
+BELOW = "1 / (1 + exp(-1.702 * (d - {0}m) / {0}s))"
+PROXIMITY = "1 - (1 - " + BELOW.format("i") + ") * (1 - " + BELOW.format("j") + ")"
+
+
+@query("m7_mutual_proximity", sql("+" + near_sql() + ", w as (select i, j, d, avg(d) over (partition by i) as im, stddev_pop(d) over (partition by i) as \"is\", avg(d) over (partition by j) as jm, stddev_pop(d) over (partition by j) as js, count(*) over (partition by j) as n from p where r <= 10) select i, j, round(" + PROXIMITY.replace("is))", '"is"))') + ", 6) as d from w where n > 1", "cells_v"))
+def _(spark, d):
+    """From the distances to the ten nearest; a cell that is near to one other only has no distribution."""
+    c = V.cells(spark, d)
+    near = K.knn(c, c, 10).select("i", "j", "d")
+    out = K.hubness(near.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("j"))).filter("n > 0"), near, near, "mutual_proximity")
+    return out.filter("n > 1").select("i", "j", r6("d"))
+
+
+@query("m7_proximity_between", sql("+" + pairs_sql(EUCLID, "a.batch = 0 and b.batch = 1", "x", "i") + ", w as (select i, j, d, r, avg(d) over (partition by i) as im, stddev_pop(d) over (partition by i) as \"is\", avg(d) over (partition by j) as jm, stddev_pop(d) over (partition by j) as js from x) select i, j, round(" + PROXIMITY.replace("is))", '"is"))') + ", 6) as d from w where r <= 10", "cells_v"))
+def _(spark, d):
+    """Between two batches, from each cell's distances to the whole other batch."""
+    c = V.cells(spark, d)
+    a, b = c.filter("batch = 0"), c.filter("batch = 1")
+    return K.hubness(K.knn(a, b, 10).select("i", "j", "d"), K.distance_moments(a, b), K.distance_moments(b, a), "mutual_proximity").select("i", "j", r6("d"))
+
+
+@query("m7_rank", sql("+" + near_sql() + " select i, j, rank() over (partition by i order by d) + (count(*) over (partition by i, d) - 1) / 2 as d from p where r <= 10", "cells_v"))
+def _(spark, d):
+    c = V.cells(spark, d)
+    near = K.knn(c, c, 10).select("i", "j", "d")
+    return K.hubness(near, near, near, "rank").select("i", "j", "d")
+
+
 @query("m10_binarize", sql("select cell_id, gene_id, (row_number() over (partition by cell_id order by value desc, gene_id) <= 3)::int as x from expr_dense", "expr_dense"))
 def _(spark, d):
     r = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("value"), "gene_id"))
@@ -430,6 +458,18 @@ def _(spark, d):
     return H.standardised_variance(e, e.select("batch", "cell_id")).select("batch", "gene_id", F.round("score", 5).alias("score"))
 
 
+@query("l8_cell_ranger_log", sql("""+n as (select batch, count(distinct cell_id) as n from expr_dense group by batch), t as (select *, sum(value) over (partition by batch, cell_id) as depth, sum(value) over (partition by batch, gene_id) as total from expr_dense),
+    g as materialized (select batch, gene_id, sum(ln(1 + value * 1e4 / depth)) as s, sum(pow(ln(1 + value * 1e4 / depth), 2)) as ss, any_value(n) as n from t join n using (batch) where total >= 3 group by batch, gene_id),
+    d as materialized (select batch, gene_id, s / n as mean, (ss - s * s / n) / (n - 1) / (s / n) as d from g), q as (select batch, quantile_cont(mean, [0.25, 0.5, 0.75]) as cuts from d group by batch),
+    b as materialized (select batch, gene_id, d, len(list_filter(cuts, lambda c: mean > c)) as bin from d join q using (batch)), m as (select batch, bin, quantile_cont(d, 0.5) as m from b group by all),
+    o as (select batch, bin, quantile_cont(abs(d - m), 0.5) / 0.6744897501960817 as mad from b join m using (batch, bin) group by all),
+    r as (select batch, gene_id, case when mad > 0 then (d - m) / mad end as score from b join m using (batch, bin) join o using (batch, bin))
+    select batch, gene_id, round(score, 5) as score, score is not null and row_number() over (partition by batch order by score desc nulls last, gene_id) <= 10 as selected from r""", "expr_dense"))
+def _(spark, d):
+    e = V.expr_dense(spark, d)
+    return H.cell_ranger(e, e.select("batch", "cell_id"), 10, cuts=(25, 50, 75)).select("batch", "gene_id", F.round("score", 5).alias("score"), "selected")
+
+
 @query("l10_dispersion_residuals")
 def _(spark, d):
     s = X.gene_stats(X.normalized(V.expr_dense(spark, d), log=False))
@@ -574,3 +614,11 @@ def _(spark, d):
         row = S.label_agreement(V.cells(spark, d), k).select(F.lit(k).alias("k"), F.col("agreement").alias("score"))
         out = row if out is None else out.union(row)
     return out.orderBy(F.desc("score"), "k")
+
+
+@query("o1_successive_halving")
+def _(spark, d):
+    """Eighteen points (k and metric) on a ninth, a third and all of the cells."""
+    k = spark.range(2, 11).select(F.col("id").cast("int").alias("k"), F.explode(F.array(F.lit("euclidean"), F.lit("cosine"))).alias("metric"))
+    points = k.select(F.concat_ws("-", "metric", F.format_string("%02d", "k")).alias("point"), "k", "metric")
+    return S.successive_halving(V.cells(spark, d), points, S.agreement_grid).select("point", "round", "cells", r6("score"))

@@ -213,3 +213,18 @@ def test_linear_scores_against_numpy(spark):
         scores.append(1 - (np.mean([(g[b == v] == v).mean() for v in range(3)]) - 1 / 3) / (2 / 3))
     assert abs(L.linear_batch_score(c).first()["score"] - np.mean(scores)) < 1e-12
     assert L.linear_confusion(c.limit(0), "label").collect() == []
+
+
+def test_halving_finds_the_best_of_the_grid(spark):
+    from tessera.operators import score as S
+
+    rng = np.random.default_rng(11)
+    c = points(spark, [(i, 0, k, (rng.standard_normal(3) * 0.8 + 2 * np.eye(3)[k]).tolist()) for i in range(400) for k in [int(rng.integers(3))]])
+    grid = spark.createDataFrame([(f"k{k}", k, "euclidean") for k in (1, 2, 5, 12, 40, 90)], "point string, k int, metric string")
+    out = S.successive_halving(c, grid, S.agreement_grid).toPandas()
+    full = S.agreement_grid(c, grid).toPandas().set_index("point").score
+    assert out.groupby("round").size().tolist() == [6, 2, 1] and sorted(out[out["round"] == 2].cells) == [400]
+    assert out[out["round"] == 2].point.tolist() == [full.idxmax()]
+    for r in full.items():
+        plain = S.label_agreement(c, int(r[0][1:])).first()["agreement"]
+        assert abs(plain - r[1]) < 1e-12

@@ -49,7 +49,7 @@ def two(spark, n, m, seed, shift=0.0, dims=5):
     return x, y, points(spark, [*((i, 0, 0, v.tolist()) for i, v in enumerate(x)), *((1000 + i, 1, 0, v.tolist()) for i, v in enumerate(y))])
 
 
-@pytest.mark.parametrize("n, m, hub, region", [(60, 60, "none", 40), (60, 100, "none", 4_000), (100, 50, "csls", 30), (70, 70, "local_scaling", None)])
+@pytest.mark.parametrize("n, m, hub, region", [(60, 60, "none", 40), (60, 100, "none", 4_000), (100, 50, "csls", 30), (70, 70, "local_scaling", None), (40, 55, "mutual_proximity", None)])
 def test_auction_within_its_bound(spark, monkeypatch, n, m, hub, region):
     monkeypatch.setattr(K, "BLOCK", 50)
     monkeypatch.setattr(A, "BLOCK", 50)
@@ -60,7 +60,7 @@ def test_auction_within_its_bound(spark, monkeypatch, n, m, hub, region):
     best = sum(p[2] for p in least)
     d = K.distances(x, y, "euclidean")
     if hub != "none":
-        sa, sb = M.local_scales(x, y, "euclidean", 12)
+        sa, sb = M.moments(x, y, "euclidean") if hub == "mutual_proximity" else M.local_scales(x, y, "euclidean", 12)
         d = A.reduced(d, hub, sa, sb)
     assert np.allclose(got.d, d[got.i, got.j - 1000], atol=1e-9)
     small = d if n <= m else d.T
