@@ -34,7 +34,7 @@ from tessera.operators.knn import BLOCK, distances
 #: Objects of a bidder's list, bidders of a region, ways to draw regions, pivots at most.
 LISTED, REGION, TURNS, MAX_PIVOTS = 24, 20_000, 3, 1_024
 #: Factor between the steps of epsilon.
-FALL = 6.0
+FALL = 10.0
 
 
 def reduced(d: np.ndarray, hub: str, scale_x: np.ndarray | None, scale_y: np.ndarray | None) -> np.ndarray:

@@ -131,8 +131,29 @@ def _contracted(choice: DataFrame) -> DataFrame:
         now = jumped.select("comp", "root")
 
 
-def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None, k: int = 12) -> DataFrame:
-    """i, j, d (i < j): the minimum spanning tree of each batch, exact, by Boruvka's rounds.
+def hung(tree: DataFrame) -> DataFrame:
+    """i, j, d of trees (batch, i, j, d) turned so that every j hangs below its i, the smallest id of the batch being the root.
+
+    The tour around a tree passes every edge twice; an arc's place in it is found by jumping along the tour, in as many rounds as
+    the logarithm of its length. The arc that comes first leads down.
+    """
+    arcs = tree.select("batch", F.col("i").alias("u"), F.col("j").alias("v"), "d").union(tree.select("batch", F.col("j").alias("u"), F.col("i").alias("v"), "d"))
+    around = Window.partitionBy("v").orderBy("u")  # the neighbours of a cell
+    turn = F.coalesce(F.lead("u").over(around), F.min("u").over(Window.partitionBy("v")))
+    root = tree.groupBy("batch").agg(F.least(F.min("i"), F.min("j")).alias("root"))
+    start = arcs.join(root, "batch").filter("u = root").groupBy("batch").agg(F.min(F.struct("u", "v")).alias("s")).select("batch", F.col("s.u").alias("su"), F.col("s.v").alias("sv"))
+    step = arcs.withColumn("turn", turn).join(start, "batch").select("u", "v", "d", F.when(~((F.col("v") == F.col("su")) & (F.col("turn") == F.col("sv"))), F.struct(F.col("v").alias("u"), F.col("turn").alias("v"))).alias("next"))
+    now = stored(step.withColumn("left", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long")))
+    while not now.filter("next is not null").isEmpty():
+        on = now.select(F.struct("u", "v").alias("next"), F.col("next").alias("further"), F.col("left").alias("more"))
+        done = now.filter("next is null")
+        now = stored(done.unionByName(now.filter("next is not null").join(on, "next").select("u", "v", "d", F.col("further").alias("next"), (F.col("left") + F.col("more")).alias("left"))))
+    back = now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("left").alias("other"))
+    return now.join(back, ["u", "v"]).filter("left > other").select(F.col("u").alias("i"), F.col("v").alias("j"), "d")
+
+
+def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int | None = None, k: int = 12, rooted: bool = True) -> DataFrame:
+    """i, j, d: the minimum spanning tree of each batch, exact, by Boruvka's rounds; rooted: j hangs below i (see hung), else i < j.
 
     In a round every component takes its shortest edge to another one (ties by the two ids, so that edges have one order
     and no circle can form) and components joined by such edges become one; their number halves at least. A cell's k
@@ -159,10 +180,11 @@ def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int |
         found = listed
         if not asked.isEmpty():
             found = found.union(_nearest_outside(asked, own.join(comp.select("cell_id", "comp"), "cell_id"), metric))
-        best = stored(found.groupBy("batch", "comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
+        best = stored(found.groupBy("batch", "comp").agg(F.min("e").alias("e")).select("batch", "comp", "e.*"))
         if best.isEmpty():
-            return tree if tree is not None else best.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "d")
-        chosen = best.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "d").distinct()
+            tree = tree if tree is not None else best.select("batch", F.col("lo").alias("i"), F.col("hi").alias("j"), "d")
+            return hung(tree) if rooted else tree.select("i", "j", "d")
+        chosen = best.select("batch", F.col("lo").alias("i"), F.col("hi").alias("j"), "d").distinct()
         tree = chosen if tree is None else tree.union(chosen)
         root = stored(_contracted(best.select("comp", "far")))
         comp = stored(comp.join(root, "comp").select("cell_id", "batch", F.col("root").alias("comp")))
@@ -173,7 +195,7 @@ def spanning_trees(cells: DataFrame, metric: str = "euclidean", max_batch: int |
 def linear_assignment_integrate(cells: DataFrame, intra: int = 15, rounds: int = 1, keep: float = 0.75, scaling: float = 0.25, scale_k: int = 2, adjacency: DataFrame | None = None) -> DataFrame:
     """i, j, weight, symmetric: per batch the larger of the k-nearest graph and the spanning tree, between batches scaled matches."""
     near = K.knn(cells, cells, max(intra, scale_k), "euclidean", ("batch",))
-    inside = K.symmetric(near.filter(F.col("rank") <= intra).select("i", "j", "d").union(spanning_trees(cells))).withColumnRenamed("d", "weight")
+    inside = K.symmetric(near.filter(F.col("rank") <= intra).select("i", "j", "d").union(spanning_trees(cells, rooted=False))).withColumnRenamed("d", "weight")
     scale = K.local_scale(near.filter(F.col("rank") <= scale_k))
     m = M.scaled(M.matched(cells, adjacency if adjacency is not None else M.stairs(cells), rounds), scale, keep, scaling).filter("weight > 0")
     between = m.select("i", "j", "weight").union(m.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))

@@ -37,7 +37,13 @@ def test_trees_by_rounds(spark, metric, monkeypatch):
     got = G.spanning_trees(points(spark, rows), metric, k=5).toPandas()
     for b, (edges, total) in want.items():
         own = got[got.i // 1000 == b]
-        assert set(zip(own.i, own.j, strict=True)) == edges and abs(own.d.sum() - total) < 1e-9
+        assert {(min(e), max(e)) for e in zip(own.i, own.j, strict=True)} == edges and abs(own.d.sum() - total) < 1e-9
+        above = dict(zip(own.j, own.i, strict=True))
+        assert len(above) == len(edges)  # every cell but the root hangs below one other
+        for j in above:
+            while j in above:
+                j = above[j]
+            assert j == 1000 * b
     assert G.spanning_trees(points(spark, rows).limit(0)).collect() == []
     with pytest.raises(ValueError):
         G.spanning_trees(points(spark, rows), max_batch=50)
@@ -54,7 +60,7 @@ def test_auction_within_its_bound(spark, monkeypatch, n, m, hub, region):
     monkeypatch.setattr(K, "BLOCK", 50)
     monkeypatch.setattr(A, "BLOCK", 50)
     x, y, c = two(spark, n, m, n + m, 0.4)
-    got = M.matched(c, M.stairs(c), hub=hub, exact_up_to=0, slack=0.1, region=region).toPandas()
+    got = M.matched(c, M.stairs(c), hub=hub, exact_up_to=0, slack=0.2, region=region).toPandas()
     assert len(got) == min(n, m) and got.i.is_unique and got.j.is_unique and set(got["round"]) == {0}
     least = M.nearest_pairs(x, y, 1, "euclidean", hub)
     best = sum(p[2] for p in least)
@@ -64,13 +70,13 @@ def test_auction_within_its_bound(spark, monkeypatch, n, m, hub, region):
         d = A.reduced(d, hub, sa, sb)
     assert np.allclose(got.d, d[got.i, got.j - 1000], atol=1e-9)
     small = d if n <= m else d.T
-    epsilon = 0.1 * np.abs(small.min(1)).mean()
+    epsilon = 0.2 * np.abs(small.min(1)).mean()
     assert best - 1e-9 <= got.d.sum() <= best + min(n, m) * epsilon + 1e-9
 
 
 def test_auction_closes_pairs_of_earlier_rounds(spark):
     x, y, c = two(spark, 30, 30, 3)
-    got = M.matched(c, M.stairs(c), rounds=3, exact_up_to=0).toPandas()
+    got = M.matched(c, M.stairs(c), rounds=3, exact_up_to=0, slack=0.3).toPandas()
     assert len(got) == 90 and not got.duplicated(["i", "j"]).any()
     assert all(g.i.is_unique and g.j.is_unique and len(g) == 30 for _, g in got.groupby("round"))
 
