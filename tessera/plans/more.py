@@ -329,12 +329,14 @@ def _(spark, d):
 
 @query("k13_random_non_neighbours")
 def _(spark, d):
-    """For each cell four cells of its batch that are none of its neighbours, by a hash: drawn ids, then the neighbours go."""
+    """For each cell four cells of its batch that are none of its neighbours: ten in a row, from a drawn place on, of the batch
+    in the order of a hash; at most six of them are the cell and its neighbours."""
     c = V.cells(spark, d)
     near = K.knn(c, c, 5).select("i", "j")
-    ids = c.select("cell_id", (F.row_number().over(Window.partitionBy("batch").orderBy("cell_id")) - 1).alias("at"), "batch")
+    ids = c.select("cell_id", (F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64("cell_id"), "cell_id")) - 1).alias("at"), "batch")
     n = ids.groupBy("batch").agg(F.count("*").alias("n"))
-    draws = ids.join(n, "batch").select(F.col("cell_id").alias("i"), "batch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.pmod(F.xxhash64("cell_id", k), F.col("n")))).alias("at"))
+    draws = ids.join(n, "batch").select(F.col("cell_id").alias("i"), "batch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.pmod(F.xxhash64("cell_id", F.lit(1)), F.col("n")) + k)).alias("at"), "n")
+    draws = draws.withColumn("at", F.col("at") % F.col("n"))
     found = draws.join(ids.select("batch", "at", F.col("cell_id").alias("j")), ["batch", "at"]).filter("i <> j").select("i", "j").distinct().join(near, ["i", "j"], "left_anti")
     r = F.row_number().over(Window.partitionBy("i").orderBy(F.xxhash64("i", "j"), "j"))
     return found.withColumn("r", r).filter("r <= 4").select("i", "j")

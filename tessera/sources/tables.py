@@ -149,12 +149,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_typed_header(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A delimited file whose second line names each column's type (`numeric` or `group`)."""
+    """Delimited files whose second line names each column's type (`numeric` or `group`), told by its place in its file."""
+    place = {"__f": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start"), "__n": F.monotonically_increasing_id()}
     head = spark.read.csv(path, sep=sep, header=True)
-    kinds = head.first().asDict()
-    numeric = [c for c, k in kinds.items() if k == "numeric"]
-    types = head.filter(" and ".join(f"`{c}` <=> '{k}'" for c, k in kinds.items())).limit(1)
-    out = head.join(F.broadcast(types), [head[c].eqNullSafe(types[c]) for c in head.columns], "left_anti")
+    names = head.columns
+    head = head.withColumns(place)
+    first = head.filter("__at = 0").groupBy("__f").agg(F.min("__n").alias("__n"))  # a row a file
+    kinds = head.join(first, ["__f", "__n"]).orderBy("__f").select(*[f"`{c}`" for c in names]).first()
+    out = head.join(first, ["__f", "__n"], "left_anti").select(*[f"`{c}`" for c in names])
+    numeric = [c for c in names if kinds is not None and kinds[c] == "numeric"]
     return out.withColumns({c: F.col(f"`{c}`").cast("double") for c in numeric})
 
 
@@ -198,13 +201,19 @@ def read_nested_json(spark: SparkSession, path: str, values: str, dataset: str =
     return df.select("dataset", F.explode("methods").alias("method", "s")).select("dataset", "method", "s.*")
 
 
+def _report_rows(df: DataFrame, limit: int) -> list[list[str]]:
+    """The cells of a report's first rows as text, and a last row of dots where there are more."""
+    found = df.limit(limit + 1).collect()
+    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in found[:limit]]
+    return rows + [["..."] * len(df.columns)] * (len(found) > limit)
+
+
 def as_markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small table as markdown text (at most `limit` rows: a report)."""
-    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(limit).collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+    """A small table as markdown text; rows beyond `limit` are left out, with a last row of dots that says so."""
+    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *_report_rows(df, limit)])
 
 
 def as_latex(df: DataFrame, limit: int = 200) -> str:
-    rows = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(limit).collect()]
-    body = " \\\\\n".join(" & ".join(r) for r in [df.columns, *rows])
+    """A small table as LaTeX; rows beyond `limit` are left out, with a last row of dots that says so."""
+    body = " \\\\\n".join(" & ".join(r) for r in [df.columns, *_report_rows(df, limit)])
     return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body} \\\\\n\\end{{tabular}}"

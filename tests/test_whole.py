@@ -74,3 +74,22 @@ def test_all_labels_scored(spark, monkeypatch):
     monkeypatch.setattr(C, "LinearSVC", Perfect)
     c = points(spark, [(i, 0, i, [0.0]) for i in range(103)])
     assert {r["label"] for r in L.linear_accuracy(c).collect()} == set(range(103))
+
+
+def test_type_line_goes_by_its_place(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.tsv").write_text("x\ty\ngroup\tgroup\ngroup\tgroup\nz\tw\n")
+    got = V.read_typed_header(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("group", "group")] * 2 + [("z", "w")] * 2
+
+
+def test_reports_say_what_they_leave_out(spark):
+    assert V.as_markdown(spark.range(7), 5).splitlines()[-1] == "| ... |" and "..." not in V.as_markdown(spark.range(5), 5)
+    assert V.as_latex(spark.range(7), 5).count("...") == 1
+
+
+def test_every_cell_has_four_non_neighbours(spark):
+    out = QUERIES["k13_random_non_neighbours"](spark, SF).toPandas()
+    assert (out.groupby("i").size() == 4).all() and out.i.nunique() == 500 and (out.i % 4 == out.j % 4).all()
+    near = K.knn(V.cells(spark, SF), V.cells(spark, SF), 5).toPandas()
+    assert not set(zip(near.i, near.j, strict=True)) & set(zip(out.i, out.j, strict=True))
