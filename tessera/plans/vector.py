@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import euclidean, rotated_all
+from tessera.operators import descent as D
 from tessera.operators import graph as G
 from tessera.operators import knn as K
 from tessera.operators import match as M
@@ -68,6 +69,12 @@ def _(spark, d):
     return K.knn(c, c, 5).select("i", "j", d6(), "rank")
 
 
+@query("j8_descent_knn")
+def _(spark, d):
+    """The five nearest cells as neighbour descent finds them."""
+    return D.approximate_knn(V.cells(spark, d), 5, width=30, leaf=128, change=0.02)
+
+
 @query("j8_knn_cosine", sql("+" + near_sql(COSINE) + " select i, j, round(d, 6) as d, r::int as rank from p where r <= 5", "cells_v"))
 def _(spark, d):
     c = V.cells(spark, d)
