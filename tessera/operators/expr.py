@@ -133,6 +133,20 @@ def subsample(cells: DataFrame, n: int, by: tuple[str, ...] = (), seed: int = 0)
     return cells.withColumn("__r", r).filter(F.col("__r") <= n).drop("__r")
 
 
+def sampled_cells(expr: DataFrame, min_genes: int = 0, remove: dict[str, list] | None = None, size: int | None = None, by: str = "batch", seed: int = 0) -> DataFrame:
+    """Rows of at most `size` cells of each `by`, drawn from those with min_genes genes and none of the values to remove.
+
+    remove maps a column to values; a missing value is not one of them. A group of fewer cells is kept whole.
+    """
+    out = filter_cells(expr, min_genes) if min_genes else expr
+    for column, values in (remove or {}).items():
+        out = out.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
+    if size is None:
+        return out
+    cells = subsample(out.select("cell_id", by).distinct(), size, (by,), seed)
+    return out.join(cells.select(F.col("cell_id").alias("__id"), F.col(by).alias("__by")), F.col("cell_id").eqNullSafe(F.col("__id")) & F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+
+
 def subsample_share(cells: DataFrame, amount: float, seed: int = 0) -> DataFrame:
     """Below 1 about that share of the rows, each by its own draw (no shuffle); else `amount` rows."""
     if amount >= 1:

@@ -121,6 +121,19 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return sums.crossJoin(sa).crossJoin(sb).select(F.when(most == expected, 1.0).otherwise((F.col("nij") - expected) / (most - expected)).alias("ari"))
 
 
+def adjusted_rand_by(pairs: DataFrame, a: str, b: str, by: str = "batch") -> DataFrame:
+    """by, ari: adjusted_rand within each group, all groups in one pass of contingency tables; rows without either label do not count."""
+    n = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(by, a, b).agg(F.count("*").alias("n"))
+    c2 = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    out = n.groupBy(by).agg(c2("n").alias("nij"), F.sum("n").alias("total"))
+    for c, name in ((a, "na"), (b, "nb")):
+        side = n.groupBy(F.col(by).alias("__by"), c).agg(F.sum("n").alias("n")).groupBy("__by").agg(c2("n").alias(name))
+        out = out.join(side, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    expected = F.col("na") * F.col("nb") / F.greatest(F.col("total") * (F.col("total") - 1) / 2, F.lit(1.0))
+    most = (F.col("na") + F.col("nb")) / 2
+    return out.select(by, F.when(most == expected, 1.0).otherwise((F.col("nij") - expected) / (most - expected)).alias("ari"))
+
+
 def normalized_mutual_information(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """nmi (arithmetic mean of the entropies)."""
     n = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
@@ -196,16 +209,33 @@ def friedman(scores: DataFrame, value: str) -> DataFrame:
     return s.crossJoin(n).select((12 * F.col("n") / (F.col("k") * (F.col("k") + 1)) * (F.col("s") - F.col("k") * (F.col("k") + 1) * (F.col("k") + 1) / 4)).alias("chi2"))
 
 
-def flow_prune(pairs: DataFrame, threshold: float = 0.2, left: int = 1, right: int = 1) -> DataFrame:
-    """a, b, n: counts of pairs that matter: over a share of a's flow, or among the largest of a or of b; every node keeps one."""
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    wa, wb = Window.partitionBy("a"), Window.partitionBy("b")
+def flow_prune(pairs: DataFrame, threshold: float = 0.2, left: int = 1, right: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, a, b, n: counts of pairs that matter: over a share of a's flow, or among the largest of a or of b; every node keeps one."""
+    n = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+    wa, wb = Window.partitionBy(*by, "a"), Window.partitionBy(*by, "b")
     x = n.withColumns({"out": F.sum("n").over(wa), "ra": F.row_number().over(wa.orderBy(F.desc("n"), "b")), "rb": F.row_number().over(wb.orderBy(F.desc("n"), "a"))})
     keep = (F.col("n") > threshold * F.col("out")) | (F.col("ra") <= left) | (F.col("rb") <= right)
     first = x.filter(keep)
-    more_a = x.filter("ra = 1").join(first.select("a").distinct(), "a", "left_anti").select(*x.columns)
-    more_b = x.filter("rb = 1").join(first.select("b").distinct(), "b", "left_anti").select(*x.columns)
-    return first.union(more_a).union(more_b).select("a", "b", "n").distinct()
+    more_a = x.filter("ra = 1").join(first.select(*by, "a").distinct(), [*by, "a"], "left_anti").select(*x.columns)
+    more_b = x.filter("rb = 1").join(first.select(*by, "b").distinct(), [*by, "b"], "left_anti").select(*x.columns)
+    return first.union(more_a).union(more_b).select(*by, "a", "b", "n").distinct()
+
+
+def sankey(aligned: DataFrame, threshold: float = 0.1, left: int = 0, right: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, label, batch; links: source, target, value) between consecutive batches of aligned cells.
+
+    aligned has batch (whole numbers in steps of one), position and label: cells of one position belong together. Links are
+    pruned batch by batch (flow_prune), nodes are those of the links, numbered by label and batch. Cells without a label, and
+    positions that the next batch lacks, count for nothing.
+    """
+    at = aligned.filter("label is not null").select("batch", "position", F.col("label").cast("string").alias("a"))
+    nxt = at.select((F.col("batch") - 1).alias("batch"), F.col("position").alias("position"), F.col("a").alias("b"))
+    kept = stored(flow_prune(at.join(nxt, ["batch", "position"]), threshold, left, right, ("batch",)))
+    ends = kept.select(F.col("a").alias("label"), "batch").union(kept.select("b", F.col("batch") + 1)).distinct()
+    nodes = ends.withColumn("node", F.row_number().over(Window.orderBy("label", "batch")) - 1).select("node", "label", "batch")  # labels times batches: few
+    source = nodes.select(F.col("node").alias("source"), F.col("label").alias("a"), F.col("batch").alias("batch"))
+    target = nodes.select(F.col("node").alias("target"), F.col("label").alias("b"), (F.col("batch") - 1).alias("batch"))
+    return nodes, kept.join(source, ["batch", "a"]).join(target, ["batch", "b"]).select("source", "target", F.col("n").alias("value"))
 
 
 # ---- how well a similarity matrix follows an order ----

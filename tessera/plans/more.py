@@ -587,6 +587,65 @@ def _(spark, d):
     return at.join(nxt, ["batch", "position"]).groupBy("batch", F.col("label").alias("a"), "b").agg(F.count("*").alias("n"))
 
 
+PRUNED = """+placed as materialized (select batch, label::varchar as label, row_number() over (partition by batch order by cell_id) as position from cells_v), c as (select x.batch, x.label as a, y.label as b, count(*) as n from placed x join placed y on y.batch = x.batch + 1 and y.position = x.position group by all), w as (select *, sum(n) over (partition by batch, a) as o, row_number() over (partition by batch, a order by n desc, b) as ra, row_number() over (partition by batch, b order by n desc, a) as rb from c), f as (select * from w where n > 0.11 * o), l as materialized (select * from f union select * from w where ra = 1 and (batch, a) not in (select batch, a from f) union select * from w where rb = 1 and (batch, b) not in (select batch, b from f)), e as (select a as label, batch from l union select b, batch + 1 from l), nodes as materialized (select row_number() over (order by label, batch) - 1 as node, label, batch from e)"""
+
+
+def _positions(spark, d):
+    """Cells of a batch in the order of their ids: the position pairs them with the next batch's."""
+    return V.cells(spark, d).select("batch", "label", F.row_number().over(Window.partitionBy("batch").orderBy("cell_id")).alias("position"))
+
+
+@query("sn1_pruned_links", sql(PRUNED + " select x.node as source, y.node as target, n as value from l join nodes x on x.label = a and x.batch = l.batch join nodes y on y.label = b and y.batch = l.batch + 1", "cells_v"))
+def _(spark, d):
+    return S.sankey(_positions(spark, d), 0.11)[1]
+
+
+@query("sn1_pruned_nodes", sql(PRUNED + " select * from nodes", "cells_v"))
+def _(spark, d):
+    return S.sankey(_positions(spark, d), 0.11)[0]
+
+
+@query("sn4_ari_per_batch", "with n as (select (vec_id % 4)::int as batch, label as a, vec_id % 7 as b, count(*) as n from embeddings where label is not null group by all), x as (select batch, sum(n * (n - 1) / 2) as nij, sum(n) as t from n group by batch), a as (select batch, sum(n * (n - 1) / 2) as na from (select batch, sum(n) as n from n group by batch, a) group by batch), b as (select batch, sum(n * (n - 1) / 2) as nb from (select batch, sum(n) as n from n group by batch, b) group by batch) select batch, round((nij - na * nb / (t * (t - 1) / 2)) / ((na + nb) / 2 - na * nb / (t * (t - 1) / 2)), 6) as ari from x join a using (batch) join b using (batch)")
+def _(spark, d):
+    return S.adjusted_rand_by(V.cells(spark, d).withColumn("other", F.col("cell_id") % 7), "label", "other").select("batch", r6("ari"))
+
+
+DATASETS = {"customer": ("c_nationkey", "c_mktsegment"), "orders": ("o_orderpriority", "o_orderstatus"), "lineitem": ("l_shipmode", "l_returnflag"), "events": ("user_id", "event_type"), "documents": ("source", "lang")}
+
+
+@query("sc1_dataset_maps", " union all ".join(f"select '{t}' as dataset, {b}::varchar as batch, {c}::varchar as label, false as timeseries, count(*) as n from {t} group by all" for t, (b, c) in DATASETS.items()))
+def _(spark, d):
+    out = None
+    for df in V.read_datasets(spark, d, DATASETS).values():
+        part = df.groupBy("dataset", F.col("batch").cast("string").alias("batch"), F.col("label").cast("string").alias("label"), "timeseries").agg(F.count("*").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("sc2_slices_over_99", " union all ".join(f"select '{t}' as dataset, batch, label, n, true as timeseries from (select {b}::varchar as batch, {c}::varchar as label, count(*) as n, sum(count(*)) over (partition by {b}) as t from {t} where {c} is not null group by {b}, {c}) where t > 99" for t, (b, c) in DATASETS.items()))
+def _(spark, d):
+    out = None
+    for df in V.read_datasets(spark, d, DATASETS, timeseries=True, drop_missing=True, min_cells=100).values():
+        part = df.groupBy("dataset", F.col("batch").cast("string").alias("batch"), F.col("label").cast("string").alias("label"), "timeseries").agg(F.count("*").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+SAMPLED = "+g as materialized (select *, count(*) over (partition by cell_id) as genes from expr_sparse), c as (select cell_id, batch, row_number() over (partition by batch order by md5('0:' || cell_id), cell_id) as r from (select distinct cell_id, batch from g where genes >= 3 and label <> 'MACHINERY')), s as materialized (select g.* from g join c using (cell_id, batch) where r <= 100)"
+
+
+@query("sc7_sampled_cells", sql(SAMPLED + " select cell_id, gene_id, batch, label, value from s", "expr_sparse"))
+def _(spark, d):
+    return X.sampled_cells(V.expr_sparse(spark, d), 3, {"label": ["MACHINERY"]}, 100).select("cell_id", "gene_id", "batch", "label", "value")
+
+
+@query("sc10_sampled_scores", sql(SAMPLED + ", n as (select batch, count(distinct cell_id) as n from s group by batch) select batch, gene_id, round(sum(value) / any_value(n), 6) as score from s join n using (batch) group by batch, gene_id", "expr_sparse"))
+def _(spark, d):
+    """One sample a batch without its unlabelled cells, and its gene scores."""
+    s = X.sampled_cells(V.expr_sparse(spark, d), 3, {"label": ["MACHINERY"]}, 100)
+    return X.gene_scores(s, "mean_raw").select("batch", "gene_id", r6("score"))
+
+
 @query("t2_rank_and_gmean", sql("+r as (select method, rank() over (partition by dataset order by label_mean desc) + (count(*) over (partition by dataset, label_mean) - 1) / 2 as r, label_mean, batch_mean from scores_v) select method, round(avg(r), 6) as rank, round(exp(avg(ln(sqrt(label_mean * batch_mean)))), 6) as both from r group by method", "scores_v"))
 def _(spark, d):
     s = V.scores(spark, d)

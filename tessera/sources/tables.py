@@ -95,6 +95,47 @@ def rename_obs(df: DataFrame, batch: str, label: str) -> DataFrame:
     return out.withColumn("label", F.when(F.col("label").cast("string").isin(*MISSING_LABELS), None).otherwise(F.col("label")))
 
 
+def read_datasets(spark: SparkSession, root: str, columns: dict[str, tuple[str, str]], names=None, timeseries: bool = False, drop_missing: bool = False, min_cells: int = 0, fmt: str = "parquet", suffix: str = ".parquet", **options) -> dict[str, DataFrame]:
+    """One table for each data set: its rows with dataset, batch, label and timeseries.
+
+    columns maps a data set to its own names of batch and label; `names` picks some of them. The file is root/name + suffix.
+    Batches stay rows, told by their column; those of fewer than min_cells rows, as counted after drop_missing has taken out
+    the rows with no label, are left out.
+    """
+    out = {}
+    for name in names or columns:
+        batch, label = columns[name]
+        df = read_labelled(spark, f"{root}/{name}{suffix}", batch, label, fmt, **options)
+        df = df.withColumns({"dataset": F.lit(name), "timeseries": F.lit(timeseries)})
+        df = df.filter("label is not null") if drop_missing else df
+        if min_cells:
+            large = df.groupBy(F.col("batch").alias("__batch")).count().filter(F.col("count") >= min_cells)
+            df = df.join(large, F.col("batch").eqNullSafe(F.col("__batch")), "left_semi")
+        out[name] = df
+    return out
+
+
+def read_matrices(spark: SparkSession, paths, sep: str = "\t") -> DataFrame:
+    """Delimited gene x cell matrices, each file with its own cells: gene_id, cell_id, value, fname, tissue, tissue5, tissue5id.
+
+    A file's first line names its cells. Values are matched to names by their place in the line, by a join, so that a plan does
+    not grow with the columns. fname is the file's name up to its first dot; tissue its part before the first _, tissue5 five
+    characters of that, tissue5id these and the part after the last _. Zeros, and what is not a number, are left out.
+    """
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")]
+    lines = spark.read.text(paths).select("value", *place).filter("trim(value) <> ''")
+    first = lines.filter("at = 0").groupBy("f").agg(F.min("n").alias("n"))  # a row a file
+    quoted = lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
+    parts = F.split("value", "\\Q" + sep + "\\E")
+    heads = lines.join(first, ["f", "n"], "left_semi").select(F.col("f").alias("f"), F.posexplode(parts).alias("pos", "cell"))
+    heads = heads.filter("pos > 0").select("f", "pos", quoted("cell").alias("cell_id"))
+    body = lines.join(first, ["f", "n"], "left_anti").select("f", parts.alias("p")).select("f", quoted(F.col("p")[0]).alias("gene_id"), F.posexplode("p").alias("pos", "x"))
+    body = body.filter("pos > 0").withColumn("value", F.expr("try_cast(x as double)")).filter("value <> 0")
+    out = body.join(heads, ["f", "pos"]).withColumn("fname", F.regexp_extract("f", r"([^/.]*)[^/]*$", 1))
+    tissue = F.substring_index("fname", "_", 1)
+    return out.select("gene_id", "cell_id", "value", "fname", tissue.alias("tissue"), F.substring(tissue, 1, 5).alias("tissue5"), F.concat_ws("_", F.substring(tissue, 1, 5), F.substring_index("fname", "_", -1)).alias("tissue5id"))
+
+
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """A delimited gene x cell matrix as gene_id, cell_id, value; zeros are left out."""
     wide = spark.read.csv(path, sep=sep, header=True)
