@@ -610,7 +610,7 @@ def _(spark, d):
     return S.adjusted_rand_by(V.cells(spark, d).withColumn("other", F.col("cell_id") % 7), "label", "other").select("batch", r6("ari"))
 
 
-DATASETS = {"customer": ("c_nationkey", "c_mktsegment"), "orders": ("o_orderpriority", "o_orderstatus"), "lineitem": ("l_shipmode", "l_returnflag"), "events": ("user_id", "event_type"), "documents": ("source", "lang")}
+DATASETS = {"customer": ("c_nationkey", "c_mktsegment"), "orders": ("o_orderpriority", "o_orderstatus"), "lineitem": ("l_linestatus", "l_returnflag"), "events": ("user_id", "event_type"), "documents": ("source", "lang")}
 
 
 @query("sc1_dataset_maps", " union all ".join(f"select '{t}' as dataset, {b}::varchar as batch, {c}::varchar as label, false as timeseries, count(*) as n from {t} group by all" for t, (b, c) in DATASETS.items()))
