@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.stage import stored
+
 #: Genes whose local regression is one task's work.
 BLOCK = 256
 
@@ -49,7 +51,8 @@ def cell_ranger(expr: DataFrame, cells: DataFrame, top: int = 5_000, least: floa
     x = expr.join(depth.filter("depth > 0"), ["batch", "cell_id"]).withColumn("x", F.log1p(F.col("value") * 1e4 / F.col("depth")))
     sums = x.join(known, ["batch", "gene_id"], "left_semi").groupBy("batch", "gene_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).join(n, "batch")
     mean = F.col("s") / F.col("n")
-    stats = sums.select("batch", "gene_id", mean.alias("mean"), F.try_divide(F.try_divide(F.col("ss") - F.col("s") * mean, F.col("n") - 1), mean).alias("d"))
+    # Written once: sums of another run may differ in their last bit, and a mean that is a cut would change its bin.
+    stats = stored(sums.select("batch", "gene_id", mean.alias("mean"), F.try_divide(F.try_divide(F.col("ss") - F.col("s") * mean, F.col("n") - 1), mean).alias("d")))
     at = stats.groupBy("batch").agg(F.percentile("mean", F.array(*[F.lit(c / 100) for c in cuts])).alias("at"))  # a few numbers a batch
     binned = stats.join(at, "batch").select("batch", "gene_id", "d", F.size(F.filter("at", lambda c: F.col("mean") > c)).alias("bin"))
     middle = binned.groupBy("batch", "bin").agg(F.percentile("d", 0.5).alias("m"))
