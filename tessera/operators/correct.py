@@ -213,7 +213,7 @@ def merge_order(scores: list[tuple], sizes: dict, least: float) -> list[tuple[tu
 def _moved(cells: DataFrame, bias: DataFrame, gamma: float) -> DataFrame:
     """cells moved by the mean of the biases (id, at, move), weighted by exp(-gamma d^2) of their place, in pairs of blocks."""
     counts = [df.count() for df in (cells, bias)]
-    na, nb = (max(1, -(-n // K.BLOCK)) for n in counts)
+    na, nb = (K.blocks(n) for n in counts)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = cells.select("cell_id", F.col("vec").alias("v")).withColumn("p", F.pmod(F.xxhash64("cell_id"), F.lit(na)).cast("int")).withColumn("q", every(nb))
     y = bias.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("p", every(na))
@@ -223,14 +223,18 @@ def _moved(cells: DataFrame, bias: DataFrame, gamma: float) -> DataFrame:
         if s.num_rows and t.num_rows:
             ids = s.column("cell_id").to_numpy()
             vx, at, move = (np.stack(c.to_numpy()) for c in (s.column("v"), t.column("at"), t.column("move")))
-            kernel = np.exp(-gamma * K.distances(vx, at, "euclidean") ** 2)
-            w, m = kernel.sum(1), kernel @ move
+            part, step = [], max(1, K.HELD // len(at))
+            for r in range(0, len(ids), step):  # some rows at a time, so that what is held stays small
+                kernel = np.exp(-gamma * K.distances(vx[r : r + step], at, "euclidean") ** 2)
+                part.append((kernel.sum(1), kernel @ move))
+            w, m = (np.concatenate(c) for c in zip(*part, strict=True))
         return pa.table({"cell_id": pa.array(ids, pa.int64()), "w": pa.array(w, pa.float64()), "m": pa.array(m.tolist(), pa.list_(pa.float64()))})
 
     part = x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(run, "cell_id long, w double, m array<double>")
-    long = part.select("cell_id", "w", F.posexplode("m").alias("dim", "x")).groupBy("cell_id", "dim").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
-    shift = long.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("dim", F.when(F.col("w") > 0, F.col("x") / F.col("w")).otherwise(0.0).alias("x")))).alias("l"))
-    out = cells.join(shift.select("cell_id", F.col("l.x").alias("shift")), "cell_id", "left")
+    whole = part.groupBy("cell_id").agg(F.sum("w").alias("w"), F.collect_list("m").alias("l"))  # a row a block of biases
+    total = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0], lambda s, m: F.zip_with(s, m, lambda a, b: a + b))
+    shift = whole.select("cell_id", F.transform(total, lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0)).alias("shift"))
+    out = cells.join(shift, "cell_id", "left")
     return out.withColumn("vec", F.when(F.col("shift").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "shift", lambda a, b: a + b))).drop("shift")
 
 

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import knn as K
 from tessera.operators import selectors as H
 
 
@@ -20,3 +22,35 @@ def test_gene_scores_use_one_evaluation(spark):
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
     assert len(got) == 25 and sum(r.score == 0 for r in got) == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("tile", [(512, 2048), (7, 5)])
+def test_best_in_tiles(metric, tile, monkeypatch):
+    """Every tiling gives the exact nearest, with ties, copies, null vectors, values that are not finite, and more asked than there are."""
+    monkeypatch.setattr(K, "TILE", tile)
+    monkeypatch.setattr(K, "HELD", 60)
+    monkeypatch.setattr(K, "COMPARED", 11)
+    rng = np.random.default_rng(5)
+    far = rng.standard_normal((50, 6)) + 1e5
+    y = np.concatenate([rng.integers(0, 3, (60, 6)).astype(float), far, far[:20], np.full((1, 6), np.nan), np.full((1, 6), np.inf), np.zeros((1, 6))])
+    jds = rng.permutation(len(y)).astype(np.int64)
+    x, ids = y[::3], jds[::3]
+    marks = jds % 4
+    for k in (1, 6, 40, 500):
+        for self_too in (False, True):
+            for closed in (None, (ids % 4, marks)):
+                i, j, d = K.best(x, ids, y, jds, k, metric, self_too, closed)
+                got = {}
+                for a, b, c in zip(i.tolist(), j.tolist(), d.tolist(), strict=True):
+                    got.setdefault(a, []).append((c, b))
+                for v, a in zip(x, ids.tolist(), strict=True):
+                    with np.errstate(all="ignore"):
+                        e = K.exact(np.repeat(v[None], len(y), 0), y, metric)
+                    want = sorted((c, b) for c, b in zip(e.tolist(), jds.tolist(), strict=True) if np.isfinite(c) and (self_too or a != b) and (closed is None or a % 4 != b % 4))[:k]
+                    assert sorted(got.get(a, [])) == want
+
+
+def test_blocks_do_not_grow_with_the_square():
+    copies = [K.blocks(n) for n in (10, 4_096, 10_000, 100_000, 300_000, 600_000)]
+    assert copies == [1, 1, 3, 6, 6, 10]
