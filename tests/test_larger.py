@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import auction as A
 from tessera.operators import knn as K
+from tessera.operators import match as M
 from tessera.operators import selectors as H
 
 
@@ -54,3 +56,19 @@ def test_best_in_tiles(metric, tile, monkeypatch):
 def test_blocks_do_not_grow_with_the_square():
     copies = [K.blocks(n) for n in (10, 4_096, 10_000, 100_000, 300_000, 600_000)]
     assert copies == [1, 1, 3, 6, 6, 10]
+
+
+def test_auction_asks_few_times(spark, monkeypatch):
+    """Lists of four are short for many bidders; the longer ones that follow hold all objects, over several blocks of objects."""
+    from test_units import points
+
+    monkeypatch.setattr(A, "LARGE", 70)
+    asked, lists = [], A.Auction.lists
+    monkeypatch.setattr(A.Auction, "lists", lambda self, *a: asked.append(a[-2:]) or lists(self, *a))
+    rng = np.random.default_rng(8)
+    c = points(spark, [(i, i % 2, 0, v.tolist()) for i, v in enumerate(rng.standard_normal((240, 12)))])
+    monkeypatch.setattr(A.Auction.__init__, "__defaults__", (*A.Auction.__init__.__defaults__[:-1], 4))
+    got = M.matched(c, M.stairs(c), exact_up_to=0).toPandas()
+    want = M.matched(c, M.stairs(c), exact_up_to=None).toPandas()
+    assert got.i.nunique() == got.j.nunique() == 120 and got.d.sum() <= 1.01 * want.d.sum() + 1e-9
+    assert all(k == 120 for k, _ in asked[1:]) and sum(n for _, n in asked[1:]) <= 120  # nobody is asked a third time
