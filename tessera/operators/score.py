@@ -23,6 +23,16 @@ def label_agreement(cells: DataFrame, k: int = 5, on: str = "label", by: tuple[s
     return near.join(own, "i").join(other, "j").groupBy(*by).agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
 
 
+def label_agreements(cells: DataFrame, ks: tuple[int, ...], on: str = "label") -> DataFrame:
+    """k, score: label_agreement for each k, from one search for the largest."""
+    near = K.knn(cells, cells, max(ks), "euclidean").select("i", "j", "rank")
+    one = cells.dropDuplicates(["cell_id"])
+    own, other = (one.select(F.col("cell_id").alias(c), F.col(on).alias(f"l{c}")) for c in ("i", "j"))
+    same = near.join(own, "i").join(other, "j").groupBy("rank").agg(F.sum((F.col("li") == F.col("lj")).cast("long")).alias("same"), F.count(F.col("li") == F.col("lj")).alias("n"))
+    asked = same.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
+    return asked.groupBy("k").agg((F.sum("same") / F.sum("n")).alias("score"))
+
+
 def silhouette(cells: DataFrame, on: str = "label") -> DataFrame:
     """silhouette: mean of (b - a) / max(a, b) with exact mean distances to each label's cells.
 

@@ -72,3 +72,15 @@ def test_auction_asks_few_times(spark, monkeypatch):
     want = M.matched(c, M.stairs(c), exact_up_to=None).toPandas()
     assert got.i.nunique() == got.j.nunique() == 120 and got.d.sum() <= 1.01 * want.d.sum() + 1e-9
     assert all(k == 120 for k, _ in asked[1:]) and sum(n for _, n in asked[1:]) <= 120  # nobody is asked a third time
+
+
+def test_agreements_from_one_search(spark, monkeypatch):
+    from tessera.operators import score as S
+    from tessera.sources import tables as V
+
+    searches, knn = [], K.knn
+    monkeypatch.setattr(K, "knn", lambda *a, **b: searches.append(1) or knn(*a, **b))
+    c = V.cells(spark, "/root/testdata/sf0.001")
+    got = {r.k: r.score for r in S.label_agreements(c, (3, 9)).collect()}
+    assert len(searches) == 1
+    assert got == {k: pytest.approx(S.label_agreement(c, k).first()[0], abs=1e-12) for k in (3, 9)}
