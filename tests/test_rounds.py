@@ -96,3 +96,21 @@ def test_bidding_stops_at_the_bound():
     won, short = A.bidding(lists, {}, {}, 0.1)
     assert short == {1, 2} or (won[10][0] == 3 and set(won) <= {10, 11})
     assert A.bidding({1: ([], [], np.inf, None)}, {}, {}, 0.1) == ({}, {1})
+
+
+def test_lists_are_made_where_the_vectors_are(spark, monkeypatch):
+    """Lists of two objects run short at once: with the vectors at hand an epsilon takes one round, and none is asked for again."""
+    _, _, c = two(spark, 60, 60, 9)
+    asked = []
+    whole = A.Auction.lists
+    monkeypatch.setattr(A.Auction, "lists", lambda self, *how: asked.append(1) or whole(self, *how))
+    a = A.Auction(c, M.stairs(c), "euclidean", 0.05, G.stored, listed=2)
+    got = a.rounds(2).toPandas()
+    assert len(asked) == 2  # one a round of matches
+    assert len(got) == 120 and not got.duplicated(["i", "j"]).any()
+    v = {r["cell_id"]: np.array(r["vec"]) for r in c.collect()}
+    assert np.allclose(got.d, [np.linalg.norm(v[i] - v[j]) for i, j in zip(got.i, got.j, strict=True)])
+    first = got[got["round"] == 0]
+    left, right = (sorted(r["cell_id"] for r in c.filter(f"batch = {b}").collect()) for b in sorted(r["batch"] for r in c.select("batch").distinct().collect()))
+    best = sum(p[2] for p in M.nearest_pairs(np.stack([v[i] for i in left]), np.stack([v[j] for j in right]), 1, "euclidean"))
+    assert first.i.is_unique and first.j.is_unique and best - 1e-9 <= first.d.sum() <= 1.05 * best
