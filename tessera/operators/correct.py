@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tessera.operators import knn as K
 from tessera.operators.stage import stored
 
+#: A block of this many rows is worth a task where only sums are taken.
+SUMMED = 16_384
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=-1, keepdims=True)
@@ -210,8 +213,54 @@ def merge_order(scores: list[tuple], sizes: dict, least: float) -> list[tuple[tu
     return out
 
 
+def _listed(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists, without a Python object a number."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), pa.float64()))
+
+
+def _added(parts: DataFrame, key: str) -> DataFrame:
+    """key, w, m: the sums of rows (key, w, m), of which there is one a block."""
+    whole = parts.groupBy(key).agg(F.sum("w").alias("w"), F.collect_list("m").alias("l"))
+    total = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0], lambda s, m: F.zip_with(s, m, lambda a, b: a + b))
+    return whole.select(key, "w", total.alias("m"))
+
+
+def linked_sums(links: DataFrame, points: DataFrame) -> DataFrame:
+    """i, w, m: the sums of w and of w times the vector of j over the links (i, j, w) of each i; points has cell_id and vec.
+
+    Links meet vectors in pairs of blocks, so a vector travels once a block of i and a sum once a block of j, however many
+    links there are.
+    """
+    na, nb = (K.blocks(n, SUMMED) for n in (links.agg(F.approx_count_distinct("i")).first()[0], points.count()))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    x = links.select("i", "j", F.col("w").cast("double").alias("w"), dealt("i", na).alias("p"), dealt("j", nb).alias("q"))
+    y = points.select(F.col("cell_id").alias("id"), F.col("vec").alias("v"), dealt("cell_id", nb).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+
+    def run(s: pa.Table, t: pa.Table) -> pa.Table:
+        ids, w, m = np.empty(0, np.int64), np.empty(0), np.empty((0, 1))
+        if s.num_rows and t.num_rows:
+            v = np.stack(t.column("v").to_numpy())
+            i, j, weight = (s.column(c).to_numpy() for c in ("i", "j", "w"))
+            link, at = K._same(j, t.column("id").to_numpy())
+            order = np.lexsort((j[link], i[link]))
+            link, at = link[order], at[order]
+            ids, row = np.unique(i[link], return_inverse=True)
+            w, m = np.bincount(row, weight[link], len(ids)), np.zeros((len(ids), v.shape[1]))
+            for r in range(0, len(link), K.COMPARED):  # some links at a time, so that what is held stays small
+                part = slice(r, r + K.COMPARED)
+                starts = np.flatnonzero(np.diff(row[part], prepend=-1))
+                m[row[part][starts]] += np.add.reduceat(v[at[part]] * weight[link[part], None], starts)
+        return pa.table({"i": pa.array(ids, pa.int64()), "w": pa.array(w, pa.float64()), "m": _listed(m)})
+
+    return _added(x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(run, "i long, w double, m array<double>"), "i")
+
+
 def _moved(cells: DataFrame, bias: DataFrame, gamma: float) -> DataFrame:
-    """cells moved by the mean of the biases (id, at, move), weighted by exp(-gamma d^2) of their place, in pairs of blocks."""
+    """cells moved by the mean of the biases (id, at, move), weighted by exp(-gamma d^2) of their place, in pairs of blocks.
+
+    A bias with a column n stands for n of one place, and its move is their sum.
+    """
+    bias = bias.select("id", "at", "move", (F.col("n").cast("double") if "n" in bias.columns else F.lit(1.0)).alias("n"))
     counts = [df.count() for df in (cells, bias)]
     na, nb = (K.blocks(n) for n in counts)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -221,23 +270,28 @@ def _moved(cells: DataFrame, bias: DataFrame, gamma: float) -> DataFrame:
     def run(s: pa.Table, t: pa.Table) -> pa.Table:
         ids, w, m = np.empty(0, np.int64), np.empty(0), np.empty((0, 1))
         if s.num_rows and t.num_rows:
-            ids = s.column("cell_id").to_numpy()
+            ids, n = s.column("cell_id").to_numpy(), t.column("n").to_numpy()
             vx, at, move = (np.stack(c.to_numpy()) for c in (s.column("v"), t.column("at"), t.column("move")))
             part, step = [], max(1, K.HELD // len(at))
             for r in range(0, len(ids), step):  # some rows at a time, so that what is held stays small
                 kernel = np.exp(-gamma * K.distances(vx[r : r + step], at, "euclidean") ** 2)
-                part.append((kernel.sum(1), kernel @ move))
+                part.append((kernel @ n, kernel @ move))
             w, m = (np.concatenate(c) for c in zip(*part, strict=True))
-        return pa.table({"cell_id": pa.array(ids, pa.int64()), "w": pa.array(w, pa.float64()), "m": pa.array(m.tolist(), pa.list_(pa.float64()))})
+        return pa.table({"cell_id": pa.array(ids, pa.int64()), "w": pa.array(w, pa.float64()), "m": _listed(m)})
 
-    part = x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(run, "cell_id long, w double, m array<double>")
-    whole = part.groupBy("cell_id").agg(F.sum("w").alias("w"), F.collect_list("m").alias("l"))  # a row a block of biases
-    total = F.aggregate(F.slice("l", 2, F.size("l")), F.col("l")[0], lambda s, m: F.zip_with(s, m, lambda a, b: a + b))
-    shift = whole.select("cell_id", F.transform(total, lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0)).alias("shift"))
+    whole = _added(x.groupBy("p", "q").cogroup(y.groupBy("p", "q")).applyInArrow(run, "cell_id long, w double, m array<double>"), "cell_id")
+    shift = whole.select("cell_id", F.transform("m", lambda x: F.when(F.col("w") > 0, x / F.col("w")).otherwise(0.0)).alias("shift"))
     out = cells.join(shift, "cell_id", "left")
     return out.withColumn("vec", F.when(F.col("shift").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "shift", lambda a, b: a + b))).drop("shift")
 
 
+def _biases(link: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+    """id, at, move, n of each linked cell of `own`: its place, the sum of its moves onto the cells it is linked to, and their number."""
+    sums = linked_sums(link.select("i", "j", F.lit(1.0).alias("w")), other).withColumnRenamed("i", "cell_id")
+    at = own.select("cell_id", F.col("vec").alias("at")).join(sums, "cell_id")
+    return at.select(F.col("cell_id").alias("id"), "at", F.zip_with("m", "at", lambda s, x: s - F.col("w") * x).alias("move"), F.col("w").alias("n"))
+
+
 def scanorama(cells: DataFrame, k: int = 20, least: float = 0.1, sigma: float = 15.0) -> DataFrame:
     """cells with unit vectors, the batches joined in the order of how well they match.
 
@@ -249,8 +303,10 @@ def scanorama(cells: DataFrame, k: int = 20, least: float = 0.1, sigma: float =
     columns = cells.columns
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     now = stored(cells.withColumn("vec", F.transform("vec", lambda x: x / F.when(norm > 0, norm).otherwise(1.0))))
-    near = K.balanced_knn(now, k).join(now.select(F.col("cell_id").alias("i"), F.col("batch").alias("batch_i")), "i").filter("batch_i <> batch_j").select("i", "j", "batch_i", "batch_j")
-    near = stored(near)
+    batches = now.select(F.col("batch").alias("batch_j")).distinct()
+    asked = now.select("cell_id", "vec", "batch").join(batches, F.col("batch") != F.col("batch_j"))  # the few other batches
+    near = K.knn(asked, now.select("cell_id", "vec", F.col("batch").alias("batch_j")), k, by=("batch_j",)).select("i", "j", "batch_j")
+    near = stored(near.join(now.select(F.col("cell_id").alias("i"), F.col("batch").alias("batch_i")), "i").select("i", "j", "batch_i", "batch_j"))
     back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
     matches = stored(near.filter("batch_i < batch_j").join(back, ["i", "j"]).select(F.col("batch_i").alias("a"), F.col("batch_j").alias("b"), "i", "j"))
     scores = [tuple(r) for r in alignment_scores(now, matches).collect()]  # a row a pair of batches
@@ -258,8 +314,7 @@ def scanorama(cells: DataFrame, k: int = 20, least: float = 0.1, sigma: float =
     both = matches.union(matches.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("j").alias("i"), F.col("i").alias("j")))
     for small, large in merge_order(scores, sizes, least):
         link = both.filter(F.col("a").isin(*small) & F.col("b").isin(*large))
-        own, other = (now.select(F.col("cell_id").alias(c), F.col("vec").alias(f"v{c}")) for c in ("i", "j"))
-        bias = link.join(own, "i").join(other, "j").select(F.xxhash64("i", "j").alias("id"), F.col("vi").alias("at"), F.zip_with("vj", "vi", lambda x, y: x - y).alias("move"))
         moves = F.col("batch").isin(*small)
-        now = stored(now.filter(~moves).unionByName(_moved(now.filter(moves), stored(bias), 0.5 * sigma).select(*columns)))
+        bias = stored(_biases(link, now.filter(moves), now.filter(F.col("batch").isin(*large))))  # a row a matched cell, not a match
+        now = stored(now.filter(~moves).unionByName(_moved(now.filter(moves), bias, 0.5 * sigma).select(*columns)))
     return now.select(*columns)

@@ -104,6 +104,37 @@ def test_scanorama_moves_by_the_kernel(spark):
     assert np.allclose(got, x + w @ move / w.sum(1, keepdims=True))
 
 
+def test_linked_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "SUMMED", 9)
+    monkeypatch.setattr(C.K, "COMPARED", 7)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((40, 3))
+    links = [(i, int(j), float(rng.random())) for i in range(0, 60, 2) for j in rng.choice(40, rng.integers(1, 9), replace=False)]
+    got = C.linked_sums(spark.createDataFrame(links, "i long, j long, w double"), points(spark, [(i, 0, 0, x.tolist()) for i, x in enumerate(v)])).collect()
+    assert len(got) == 30
+    for r in got:
+        own = [(j, w) for i, j, w in links if i == r["i"]]
+        assert np.isclose(r["w"], sum(w for _, w in own)) and np.allclose(r["m"], sum(w * v[j] for j, w in own))
+
+
+def test_scanorama_has_one_bias_a_cell(spark, monkeypatch):
+    """Cells with many matches count with all of them, but their place is sent once."""
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 2, 0, (rng.standard_normal(3) + 3 + i % 2).tolist()) for i in range(60)]
+    seen, step = [], C._moved
+    monkeypatch.setattr(C, "_moved", lambda cells, bias, gamma: (seen.append((cells.count(), bias.count())), step(cells, bias, gamma))[1])
+    out = np.stack(C.scanorama(points(spark, rows), k=6).orderBy("cell_id").toPandas().vec)
+    assert seen and all(b <= c for c, b in seen)
+    x = C.unit(np.stack([r[3] for r in rows]))
+    a, b = x[::2], x[1::2]
+    d = ((a[:, None] - b[None]) ** 2).sum(2)
+    i, j = np.nonzero((d.argsort(1).argsort(1) < 6) & (d.argsort(0).argsort(0) < 6))
+    assert len(i) > 30
+    w = np.exp(-7.5 * ((a[:, None] - a[i][None]) ** 2).sum(2))
+    x[::2] += w @ (b[j] - a[i]) / w.sum(1, keepdims=True)  # of equal groups the first moves
+    assert np.allclose(out, x)
+
+
 def test_merge_order():
     sizes = {"a": 10, "b": 30, "c": 25, "d": 1}
     got = C.merge_order([("a", "b", 0.9), ("b", "c", 0.5), ("a", "c", 0.6), ("c", "d", 0.05)], sizes, 0.1)
