@@ -8,6 +8,7 @@ from test_units import points
 from tessera.operators import correct as C
 from tessera.operators import models as L
 from tessera.operators import selectors as H
+from tessera.operators import transfer as T
 
 
 def cloud(seed, n, shifts, dims=4):
@@ -135,6 +136,25 @@ def test_scanorama_has_one_bias_a_cell(spark, monkeypatch):
     assert np.allclose(out, x)
 
 
+def test_mnn_correct_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 3, 0, (rng.standard_normal(3) + i % 3).tolist()) for i in range(120)]
+    out = T.mnn_correct(points(spark, rows), 0, 1, 6)
+    assert "posexplode" not in out._jdf.queryExecution().toString()  # no row a link and dimension
+    got = np.array([r["vec"] for r in out.orderBy("cell_id").collect()])
+    u, v = (np.array([r[3] for r in rows if r[1] == b]) for b in (0, 1))
+    d = np.sqrt(((v[:, None] - u[None]) ** 2).sum(2))
+    both = (d.argsort(1).argsort(1) < 6) & (d.argsort(0).argsort(0) < 6)
+    at = np.flatnonzero(both.any(1))
+    assert 6 < len(at) < len(v)
+    shift = np.array([u[both[i]].mean(0) - v[i] for i in at])
+    near = np.sqrt(((v[:, None] - v[at][None]) ** 2).sum(2))
+    for i, x in enumerate(v):
+        j = near[i].argsort()[:6]
+        w = np.exp(-near[i, j] ** 2 / (2 * (near[i, j].mean() + 1e-9) ** 2))
+        assert np.allclose(got[i], x + w @ shift[j] / w.sum())
+
+
 def test_merge_order():
     sizes = {"a": 10, "b": 30, "c": 25, "d": 1}
     got = C.merge_order([("a", "b", 0.9), ("b", "c", 0.5), ("a", "c", 0.6), ("c", "d", 0.05)], sizes, 0.1)
