@@ -17,6 +17,7 @@ of the output's are kept apart, as the input travels in a struct.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,8 +121,8 @@ def few_probabilities(cells: DataFrame, powers: dict[str, float] = POWERS, budge
         if k + 1 < SCALE_ROUNDS:
             full |= ratio * scale >= 1
     prob = np.where(full, 1.0, np.minimum(1.0, ratio * scale))
-    made = [(*[r[d] for d in powers], r["n"], float(x), float(p)) for r, x, p in zip(rows, w, prob, strict=True)]
-    return cells.sparkSession.createDataFrame(made, ", ".join([*[f"{d} string" for d in powers], "n long", "w double", "prob double"]))
+    made = {d: pa.array([r[d] for r in rows], pa.string()) for d in powers} | {"n": pa.array([r["n"] for r in rows], pa.int64()), "w": pa.array(w, pa.float64()), "prob": pa.array(prob, pa.float64())}
+    return cells.sparkSession.createDataFrame(pa.table(made))  # rows of Python objects would start a second set of Python workers
 
 
 def weighed(base: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:

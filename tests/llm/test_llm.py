@@ -149,6 +149,15 @@ def test_mixing_of_few_and_many_cells(spark, monkeypatch):
         assert a[0] == b[0] and a[3] == b[3] and abs(a[1] - b[1]) < 2e-6 and abs(a[2] - b[2]) < 2e-6
 
 
+def test_mixing_starts_no_python_workers(spark):
+    """Few cells come back as a local table: rows of Python objects would be read by a second set of workers in the executors."""
+    for n in (0, 2):
+        cells = spark.createDataFrame([("a", "x", "short", 10), ("b", "x", "long", 30)][:n], "source string, lang string, topic string, n long")
+        made = mixing.few_probabilities(cells)
+        assert made.columns == ["source", "lang", "topic", "n", "w", "prob"] and made.count() == n
+        assert "LocalTableScan" in made._jdf.queryExecution().toString() and "ExistingRDD" not in made._jdf.queryExecution().toString()
+
+
 def test_mixing_draws_by_exact_chances(spark):
     """A chance far below the six digits shown: one in ten million of two million rows a cell."""
     docs = spark.createDataFrame([("big", "a b " * 5), ("small", "c d")], "source string, text string")
