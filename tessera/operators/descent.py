@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by neighbour descent: a first graph from random Voronoi trees, improved by neighbours of neighbours.
 
-The trees divide every node of more than `leaf` rows among a few of its own rows, drawn by a hash, in rounds that take all
-trees and nodes at once; leaves are compared in full. In a round of the descent the neighbours of a cell, and a few of those
-that have it as their neighbour, are compared with each other where one of the two is new to its list. Cells meet by the node
-of the first tree in which they lie (their home, at most HOME rows), so that a task compares a pair once and is sent a vector
-once, however many of its cells lead to it. The descent ends when a round changes at most a share `change` of the lists.
-
-No task holds more than a part of a node, a leaf or a home with the neighbours of its cells. Lists only come nearer, so the
+The trees divide every node of more than `leaf` rows among a few of its own rows, drawn by a hash: those of more than
+ROWS_A_TASK in rounds that take all trees and nodes at once, the others each in one task, which compares its leaves in full. In a round of the descent the neighbours of a cell, and a few of those
+that have it as their neighbour, are compared with each other where one of the two is new to its list. This is done in pairs of
+blocks of cells (see `knn.blocks`): a task holds the vectors of two blocks and, of every cell's list, the members that lie in
+them, so that a pair is compared in one task only and a vector is sent once a block, however many lists lead to it. Of what it
+finds for a cell a task returns a list at most. The descent ends when a round changes at most a share `change` of the lists.
+
+No task holds more than a part of a node, a whole one of at most ROWS_A_TASK rows, or two blocks with the members in them. Lists only come nearer, so the
 rounds end by themselves.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,9 +23,9 @@ from tessera.operators import knn as K
 from tessera.operators.stage import stored
 
 PIVOTS = 8
-HOME = 512
 ROWS_A_TASK = 50_000
-PAIRS_AT_ONCE = 50_000
+#: Blocks of cells, until they have K.LARGE rows, and rows that are worth one; pairs that are formed and pairs whose distances are taken at a time.
+BLOCKS, BLOCK, FORMED, PAIRS_AT_ONCE = 4, 2048, 500_000, 50_000
 
 
 def usable(cells: DataFrame, metric: str) -> DataFrame:
@@ -46,61 +47,94 @@ def _unit(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None] if metric == "cosine" else x
 
 
+def _vectors(t: pa.Table, name: str = "v") -> np.ndarray:
+    return np.stack(t.column(name).to_numpy()).astype(np.float64, copy=False)
+
+
+def _chosen(ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, r: int) -> np.ndarray:
+    """Of each row the nearest pivot; copies of one vector are dealt out among equally near ones, anew in each round."""
+    far = np.stack([((v - q) ** 2).sum(1) for q in pivots], 1)
+    nearest = far == far.min(1)[:, None]
+    turn = _hashed(ids, r) % nearest.sum(1).astype(np.uint64)
+    return np.argmax(np.cumsum(nearest, 1) > turn[:, None].astype(np.int64), 1)
+
+
 def _divider(metric: str, r: int):
     def divide(x: pa.Table, p: pa.Table) -> pa.Table:
         if not (x.num_rows and p.num_rows):
             return x.slice(0, 0).drop_columns(["salt"]).append_column("slot", pa.array([], pa.int32()))
-        ids, v = x.column("id").to_numpy(), _unit(np.stack(x.column("v").to_numpy()), metric)
         p = p.sort_by("slot")
-        far = np.stack([((v - q) ** 2).sum(1) for q in _unit(np.stack(p.column("pv").to_numpy()), metric)], 1)
-        nearest = far == far.min(1)[:, None]  # copies of one vector are dealt out among equally near pivots, anew in each round
-        turn = _hashed(ids, r) % nearest.sum(1).astype(np.uint64)
-        chosen = np.argmax(np.cumsum(nearest, 1) > turn[:, None].astype(np.int64), 1)
-        slot = p.column("slot").to_numpy()[chosen]
-        return x.drop_columns(["salt"]).append_column("slot", pa.array(slot, pa.int32()))
+        chosen = _chosen(x.column("id").to_numpy(), _unit(_vectors(x), metric), _unit(_vectors(p, "pv"), metric), r)
+        return x.drop_columns(["salt"]).append_column("slot", pa.array(p.column("slot").to_numpy()[chosen], pa.int32()))
 
     return divide
 
 
-def forest(rows: DataFrame, trees: int, leaf: int, metric: str, seed: int = 0) -> DataFrame:
-    """id, v, tree, node, home: every row's leaf in each of the trees; a leaf has at most `leaf` rows, a home at most HOME."""
-    one = rows.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), "node": F.lit(0).cast("long"), "home": F.lit(None).cast("long")})
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, tree int, node long, home long"
-    work, done, r = stored(one.select("id", "v", "tree", "node", "home")), None, 0
+def forest(rows: DataFrame, trees: int, leaf: int, metric: str, seed: int = 0) -> tuple[DataFrame, int]:
+    """(id, v, tree, node: every row's node of at most ROWS_A_TASK rows, or `leaf` if that is more, in each of the trees; the rounds that this took)."""
+    work = rows.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(trees - 1))), "node": F.lit(0).cast("long")}).select("id", "v", "tree", "node")
+    schema, most, r = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.schema), max(leaf, ROWS_A_TASK), 0
     while True:
-        size = work.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
-        sized = work.join(size, ["tree", "node"]).withColumn("home", F.when(F.col("n") <= HOME, F.coalesce("home", "node")))
-        leaves = sized.filter(F.col("n") <= leaf).drop("n")
-        done = leaves if done is None else done.union(leaves)
-        large = sized.filter(F.col("n") > leaf)
-        largest = size.agg(F.max("n")).first()[0] or 0
-        if largest <= leaf:
-            return stored(done.select("id", "v", "tree", "node", "home"))
+        size = stored(work.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most))  # few nodes
+        if size.isEmpty():
+            return work, r
+        sized = work.join(F.broadcast(size), ["tree", "node"], "left")
+        done, large = sized.filter("n is null").drop("n").select("id", "v", "tree", "node"), sized.filter("n is not null")
         draw = F.xxhash64("id", "tree", F.lit(seed), F.lit(r))
         parts = F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.ceil(2 * F.col("n") / leaf)))
         salts = F.ceil(F.col("n") / ROWS_A_TASK).cast("int")
         large = large.withColumns({"slot": F.pmod(draw, parts).cast("int"), "h": F.xxhash64(draw), "salts": salts})
         pivots = large.groupBy("tree", "node", "slot").agg(F.min_by("v", F.struct("h", "id")).alias("pv"), F.max("salts").alias("salts"))
         pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*[F.col(c).alias(c) for c in ("tree", "node", "salt", "slot", "pv")])
-        large = large.select("id", "v", "tree", "node", "home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+        large = large.select("id", "v", "tree", "node", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
         keys = ["tree", "node", "salt"]
         split = large.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_divider(metric, r), schema + ", slot int")
-        work = stored(split.withColumn("node", F.xxhash64("tree", "node", "slot", F.lit(r))).drop("slot"))
+        work = stored(split.withColumn("node", F.xxhash64("tree", "node", "slot", F.lit(r))).drop("slot").union(done))
         r += 1
 
 
-def _leaf_lists(leaves: DataFrame, width: int, metric: str) -> DataFrame:
-    def run(x: pa.Table) -> pa.Table:
-        ids, v = x.column("id").to_numpy(), np.stack(x.column("v").to_numpy())
-        i, j, d = K.best(v, ids, v, ids, width, metric, False) if len(ids) > 1 else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
+def _leaves(ids: np.ndarray, v: np.ndarray, leaf: int, draw: int, r: int):
+    """Rows of every leaf below a node."""
+    todo = [(np.arange(len(ids)), r)]
+    while todo:
+        at, r = todo.pop()
+        if len(at) <= leaf:
+            yield at
+            continue
+        parts = max(2, min(PIVOTS, -(-2 * len(at) // leaf)))
+        chosen = _chosen(ids[at], v[at], v[at[np.argsort(_hashed(ids[at], draw + r), kind="stable")[:parts]]], r)
+        todo += [(part, r + 1) for c in range(parts) if len(part := at[chosen == c])]
+
+
+def _leaf_lists(nodes: DataFrame, leaf: int, width: int, metric: str, seed: int, r: int) -> DataFrame:
+    """i, j, d: the `width` nearest of each row in its leaves; a row without i for each node has the number of its comparisons as d."""
+
+    def run(key: tuple, x: pa.Table) -> pa.Table:
+        ids, v, made = x.column("id").to_numpy(), _vectors(x), 0
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in _leaves(ids, _unit(v, metric), leaf, (seed + 1) * 1_000_003 + (key[0].as_py() + 1) * 1_009, r):
+            made += len(at) * (len(at) - 1) // 2
+            if len(at) > 1:
+                out.append(K.best(v[at], ids[at], v[at], ids[at], width, metric, False))
+        return _with_count(*(np.concatenate(c) for c in zip(*out, strict=True)), made)
+
+    return nodes.select("id", "v", "tree", "node").groupBy("tree", "node").applyInArrow(run, "i long, j long, d double")
+
+
+def _with_count(i: np.ndarray, j: np.ndarray, d: np.ndarray, made: int) -> pa.Table:
+    last = (pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([float(made)]))
+    return pa.table({c: pa.chunked_array([pa.array(z), one]) for c, z, one in zip("ijd", (i, j, d), last, strict=True)})
+
 
-    return leaves.select("id", "v", "tree", "node").groupBy("tree", "node").applyInArrow(run, "i long, j long, d double")
+def _counted(found: DataFrame) -> tuple[DataFrame, Observation]:
+    """The pairs, and the number of comparisons, which is known when they have been written."""
+    seen = Observation()
+    return found.observe(seen, F.sum(F.when(F.col("i").isNull(), F.col("d"))).alias("compared")).filter("i is not null"), seen
 
 
 def _nearest(pairs: DataFrame, width: int) -> DataFrame:
     """The `width` nearest of each i, one row a pair (its oldest), ties to the smaller j."""
-    one = pairs.groupBy("i", "j").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    one = pairs.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= width)
 
 
@@ -109,46 +143,96 @@ def _members(graph: DataFrame, width: int, r: int, seed: int) -> DataFrame:
     back = graph.withColumn("h", F.xxhash64("i", "j", F.lit(seed), F.lit(r)))
     back = back.withColumn("n", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("fresh"), "h", "i"))).filter(F.col("n") <= width)
     both = graph.select(F.col("i").alias("w"), F.col("j").alias("u"), "fresh").union(back.select(F.col("j").alias("w"), F.col("i").alias("u"), "fresh"))
-    return both.groupBy("w", "u").agg(F.max("fresh").alias("fresh"))
+    return both.repartition("w").groupBy("w", "u").agg(F.max("fresh").alias("fresh"))
 
 
-def _joined(members: DataFrame, homes: DataFrame, points: DataFrame, metric: str) -> DataFrame:
-    """i, j, d: pairs of fellow members, one of them fresh, that are nearer than the end of i's list.
+def _listed(members: DataFrame, parts: int) -> DataFrame:
+    """p, q, own, w, new, old: each cell's members of block `own`, for every pair of blocks (p <= q) that has one of them fresh."""
+    block = F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")
+    lists = members.groupBy("w", block.alias("own")).agg(F.collect_list(F.when(F.col("fresh"), F.col("u"))).alias("new"), F.collect_list(F.when(~F.col("fresh"), F.col("u"))).alias("old"))
+    w, any_new = Window.partitionBy("w"), F.size("new") > 0
+    sides = lists.withColumns({"all": F.collect_set("own").over(w), "some": F.collect_set(F.when(any_new, F.col("own"))).over(w)})
+    dealt = sides.withColumn("other", F.explode(F.when(any_new, F.col("all")).otherwise(F.col("some")))).filter("other <> own or size(new) + size(old) > 1")
+    return dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "w", "new", "old")
 
-    A row without i for each home has the number of its comparisons as d.
-    """
 
-    def run(m: pa.Table, x: pa.Table) -> pa.Table:
-        ids = x.column("u").to_numpy()
-        order = np.argsort(ids)
-        ids, end = ids[order], x.column("far").to_numpy()[order]
-        v = np.stack(x.column("v").to_numpy())[order]
-        at = np.argsort(m.column("w").to_numpy(), kind="stable")
-        w, u, fresh = (m.column(c).to_numpy(zero_copy_only=False)[at] for c in ("w", "u", "fresh"))
-        u = np.searchsorted(ids, u)
-        known = np.empty(0, np.int64)
-        for of in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w)) + 1):
-            a, b = np.triu_indices(len(of), 1)
-            a, b = of[a], of[b]
-            new = fresh[a] | fresh[b]
-            a, b = u[a[new]], u[b[new]]
-            known = np.append(known, np.minimum(a, b) * len(ids) + np.maximum(a, b))
-            if len(known) > 20 * PAIRS_AT_ONCE:
-                known = np.unique(known)
-        known = np.unique(known)
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for s in range(0, len(known), PAIRS_AT_ONCE):
-            a, b = np.divmod(known[s : s + PAIRS_AT_ONCE], len(ids))
-            d = K.exact(v[a], v[b], metric)
-            for p, q in ((a, b), (b, a)):
-                near = d < end[p]
-                out.append((ids[p[near]], ids[q[near]], d[near]))
-        i, j, d = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"i": pa.array([*i.tolist(), None], pa.int64()), "j": pa.array([*j.tolist(), None], pa.int64()), "d": pa.array(np.append(d, len(known)), pa.float64())})
+def _entries(m: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """w, own, u, fresh of every member in the lists."""
+    w, own, out = m.column("w").to_numpy(), m.column("own").to_numpy(), []
+    for name in ("new", "old"):
+        c = m.column(name).combine_chunks()
+        n, u = np.diff(c.offsets.to_numpy()), c.flatten().to_numpy()
+        out.append((np.repeat(w, n), np.repeat(own, n), u, np.full(len(u), name == "new")))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _fellows(left: tuple, right: tuple, n: int):
+    """Distinct pairs a * n + b of fellow members, one of them fresh, a part at a time; a left row's pairs come together.
+
+    left and right are (w, u, fresh), left in order of u, right of w; n is more than any u.
+    """
+    first, last = (np.searchsorted(right[0], left[0], side) for side in ("left", "right"))
+    upto, held, s = np.cumsum(last - first), np.empty(0, np.int64), 0
+    while s < len(upto):
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + FORMED, "right")))
+        width = (last - first)[s:e]
+        at = np.repeat(np.arange(s, e), width)
+        to = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width) + first[at]
+        use = (left[2][at] | right[2][to]) & (left[1][at] != right[1][to])
+        held = np.unique(np.append(held, left[1][at[use]] * n + right[1][to[use]]))
+        end = np.searchsorted(held, left[1][e] * n) if e < len(upto) else len(held)
+        yield held[:end]
+        held, s = held[end:], e
+
+
+def _shortest(i: np.ndarray, j: np.ndarray, d: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `width` nearest of each i, ties to the smaller j."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    own = np.arange(len(i)) - np.searchsorted(i, i) < width
+    return i[own], j[own], d[own]
+
+
+def _joined(members: DataFrame, points: DataFrame, parts: int, width: int, metric: str) -> DataFrame:
+    """i, j, d: pairs of fellow members, one of them fresh, that are nearer than the end of i's list; the `width` nearest of a pair of blocks.
+
+    A row without i for each pair of blocks has the number of its comparisons as d.
+    """
 
-    here = members.join(homes.select(F.col("id").alias("w"), "home"), "w").select("home", "w", "u", "fresh")
-    asked = here.select("home", "u").distinct().join(points, "u").select(F.col("home").alias("home"), F.col("u").alias("u"), "v", "far")
-    return here.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(run, "i long, j long, d double")
+    def run(key: tuple, m: pa.Table, x: pa.Table) -> pa.Table:
+        made, out = 0, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if m.num_rows and x.num_rows:
+            ids = x.column("u").to_numpy()
+            order = np.argsort(ids)
+            ids, end = ids[order], x.column("far").to_numpy()[order]
+            v = _vectors(x)[order]
+            w, own, u, fresh = _entries(m)
+            u = np.searchsorted(ids, u)
+            p, q = (k.as_py() for k in key)
+            left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+            left, right = left[np.argsort(u[left], kind="stable")], right[np.argsort(w[right], kind="stable")]
+            sides = (w[left], u[left], fresh[left]), (w[right], u[right], fresh[right])
+            del w, own, u, fresh, left, right
+            for pairs in _fellows(*sides, len(ids)):
+                if p == q:  # within a block each pair comes in both orders
+                    pairs = pairs[pairs // len(ids) < pairs % len(ids)]
+                made += len(pairs)
+                for s in range(0, len(pairs), PAIRS_AT_ONCE):
+                    a, b = np.divmod(pairs[s : s + PAIRS_AT_ONCE], len(ids))
+                    d = K.exact(v[a], v[b], metric)
+                    near = [(i[d < end[i]], j[d < end[i]], d[d < end[i]]) for i, j in ((a, b), (b, a))]
+                    out = tuple(np.concatenate(c) for c in zip(out, *near, strict=True))
+                    if len(out[0]) > FORMED + width * len(ids):
+                        out = _shortest(*out, width)
+            i, j, d = _shortest(*out, width)
+            out = (ids[i], ids[j], d)
+        return _with_count(*out, made)
+
+    keys = ["p", "q"]
+    own = F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")
+    placed = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = placed.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("u").alias("u"), "v", "far")
+    return _listed(members, parts).groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(run, "i long, j long, d double")
 
 
 def neighbour_graph(cells: DataFrame, k: int, metric: str = "euclidean", width: int | None = None, trees: int = 3, leaf: int = 64, change: float = 0.01, seed: int = 0) -> tuple[DataFrame, list[dict]]:
@@ -161,25 +245,27 @@ def neighbour_graph(cells: DataFrame, k: int, metric: str = "euclidean", width:
     """
     width = max(k, width or k + 5)
     rows = stored(usable(cells, metric))
-    n = rows.count()
-    leaves = forest(rows, trees, leaf, metric, seed)
-    made = leaves.groupBy("tree", "node").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
-    homes = leaves.filter("tree = 0").select("id", "home")
-    graph = stored(_nearest(_leaf_lists(leaves, width, metric).withColumn("fresh", F.lit(True)), width))
-    rounds = [{"compared": int(made), "changed": graph.count()}]
+    n, single = rows.agg(F.count(F.lit(1)), F.min(F.forall("v", lambda x: x == x.cast("float").cast("double")))).first()
+    if single:  # the same values in half the bytes; tasks compute with doubles
+        rows = rows.withColumn("v", F.col("v").cast("array<float>"))
+    parts = max(min(BLOCKS, K.blocks(n, BLOCK)), K.blocks(n, K.LARGE))
+    nodes, r = forest(rows, trees, leaf, metric, seed)
+    found, seen = _counted(_leaf_lists(nodes, leaf, width, metric, seed, r))
+    graph = stored(_nearest(found.withColumn("fresh", F.lit(True)), width))
+    rounds = [{"compared": int(seen.get["compared"] or 0), "changed": graph.count()}]
     while rounds[-1]["changed"] > change * n * width:
         far = graph.filter(F.col("rank") == width).select(F.col("i").alias("u"), F.col("d").alias("far"))
         points = rows.withColumnRenamed("id", "u").join(far, "u", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-        found = stored(_joined(_members(graph, width, len(rounds), seed), homes, points, metric))
+        found, seen = _counted(_joined(_members(graph, width, len(rounds), seed), points, parts, width, metric))
         old = graph.select("i", "j", "d", F.lit(False).alias("fresh"))
-        graph = stored(_nearest(old.union(found.filter("i is not null").withColumn("fresh", F.lit(True))), width))
-        rounds.append({"compared": int(found.filter("i is null").agg(F.sum("d")).first()[0] or 0), "changed": graph.filter("fresh").count()})
+        graph = stored(_nearest(old.union(found.withColumn("fresh", F.lit(True))), width))
+        rounds.append({"compared": int(seen.get["compared"] or 0), "changed": graph.filter("fresh").count()})
     out = graph.filter(F.col("rank") <= k).select("i", "j", "d", "rank")
     full = out.groupBy("i").count().filter(F.col("count") >= min(k, n - 1)).select(F.col("i").alias("id"))
     short = stored(rows.join(full, "id", "left_anti"))  # alone in every leaf: these ask all rows
     left = short.count()
     if left and n > 1:
-        named = lambda df: df.select(F.col("id").alias("cell_id"), F.col("v").alias("vec"))
+        named = lambda df: df.select(F.col("id").alias("cell_id"), F.col("v").cast("array<double>").alias("vec"))
         rest = K.knn(named(short), named(rows), k, metric).select("i", "j", "d", "rank")
         out = out.join(short.select(F.col("id").alias("i")), "i", "left_anti").select("i", "j", "d", "rank").union(rest)
         rounds.append({"compared": left * n, "changed": left * min(k, n - 1)})

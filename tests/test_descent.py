@@ -57,3 +57,27 @@ def test_rows_that_take_no_part(spark):
     assert {r.i for r in D.approximate_knn(c, 2, "cosine").collect()} == {1, 2, 3, 2**60 + 1}
     assert D.approximate_knn(c.limit(0), 3).collect() == [] and D.approximate_knn(c.filter("cell_id = 3"), 3).collect() == []
     assert D.approximate_knn(c.filter("cell_id in (2, 3)"), 3).count() == 2
+
+
+def test_pairs_of_blocks_and_nodes_give_the_same(spark, monkeypatch):
+    """A vector goes once to each block of cells, not to every group of lists that leads to it; the graph does not depend on the blocks."""
+    x = np.random.default_rng(4).standard_normal((700, 5))
+    c, sent, joined = D.stored(frame(spark, x)), [], D._joined
+
+    def counted(members, points, parts, width, metric):
+        sent.append(parts)
+        return joined(members, points, parts, width, metric)
+
+    monkeypatch.setattr(D, "_joined", counted)
+    found = []
+    for blocks, rows, formed in ((1, 2048, 500_000), (3, 100, 500), (4, 100, 7)):
+        monkeypatch.setattr(D, "BLOCKS", blocks)
+        monkeypatch.setattr(D, "BLOCK", rows)
+        monkeypatch.setattr(D, "FORMED", formed)
+        got, rounds = D.neighbour_graph(c, 4, leaf=32)
+        found.append((sorted(map(tuple, got.collect())), rounds))
+    assert found[0] == found[1] == found[2]  # comparisons too: no pair is met in two tasks
+    assert set(sent) == {1, 3, 4}
+    assert len(found[0][0]) == 4 * 700 and got.join(K.knn(c, c, 4).select("i", "j"), ["i", "j"]).count() > 0.95 * 4 * 700
+    monkeypatch.setattr(D, "ROWS_A_TASK", 90)  # several rounds of division
+    assert D.approximate_knn(c, 4, leaf=32).join(K.knn(c, c, 4).select("i", "j"), ["i", "j"]).count() > 0.95 * 4 * 700
