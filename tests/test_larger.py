@@ -84,3 +84,19 @@ def test_agreements_from_one_search(spark, monkeypatch):
     got = {r.k: r.score for r in S.label_agreements(c, (3, 9)).collect()}
     assert len(searches) == 1
     assert got == {k: pytest.approx(S.label_agreement(c, k).first()[0], abs=1e-12) for k in (3, 9)}
+
+
+def test_a_table_with_itself_is_sent_once_a_block(spark, monkeypatch):
+    """Both ways of a pair of blocks in one task: the same pairs as from two tables, and one exchange of vectors."""
+    monkeypatch.setattr(K, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3 if i % 3 else None, v.tolist()) for i, v in enumerate(rng.integers(0, 4, (150, 3)).astype(float))]
+    c = spark.createDataFrame(rows, "cell_id long, batch int, vec array<double>")
+    for by in ((), ("batch",)):
+        for self_too in (False, True):
+            one, two = K.knn(c, c, 4, "euclidean", by, self_too), K.knn(c, c.select("*"), 4, "euclidean", by, self_too)
+            assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+            dealt = lambda df: "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
+            assert (dealt(one), dealt(two)) == (False, True)
+    none = c.limit(0)
+    assert K.knn(none, none, 4).count() == 0
