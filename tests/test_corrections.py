@@ -279,3 +279,18 @@ def test_halving_finds_the_best_of_the_grid(spark):
     for r in full.items():
         plain = S.label_agreement(c, int(r[0][1:])).first()["agreement"]
         assert abs(plain - r[1]) < 1e-12
+
+
+def test_paired_mixture_goes_on_until_no_cell_moves(spark):
+    """More than a hundred rounds pass before the last cell has moved."""
+    rng = np.random.default_rng(1)
+    n, clusters = 6000, 5
+    x, y = np.sort(rng.standard_normal((n, 1)), 0) * 3, np.minimum(np.arange(n) * clusters * 3 // n, clusters - 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id long, vec array<double>")
+    start = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "cell_id long, cluster int")
+    got = L.paired_mixture([frame], start).orderBy("cell_id").toPandas()
+    rounds, last = 0, None
+    while last is None or (last != y).any():
+        models = L._view_models(L._view_sums([x], y, clusters), 1e-6)
+        last, y, rounds = y, L._view_likelihoods([x], models)[0].argmax(1), rounds + 1
+    assert rounds > 101 and got.cluster.tolist() == y.tolist()
