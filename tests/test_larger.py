@@ -100,3 +100,41 @@ def test_a_table_with_itself_is_sent_once_a_block(spark, monkeypatch):
             assert (dealt(one), dealt(two)) == (False, True)
     none = c.limit(0)
     assert K.knn(none, none, 4).count() == 0
+
+
+def test_goods_of_equal_vectors_are_bid_for_together(monkeypatch):
+    """Twelve copies of every vector on both sides: few bids, no copy's price climbs by epsilons past the others, and all are matched."""
+    rng = np.random.default_rng(2)
+    x, y = (np.repeat(rng.standard_normal((40, 3)), 12, 0) for _ in range(2))
+    stock, one = A.Goods(y[::12], np.ones(40), "euclidean", "none"), np.ones(len(x))
+    asked = []
+    fetch = lambda who, price, k: asked.append(len(who)) or stock.cheapest(x[who], one[who], k, price)
+    cols, costs, bound = stock.cheapest(x, one, 8)
+    epsilons = A.steps(costs, 0.01, True, 1.0)
+    held = A.sold(cols, costs, bound, np.arange(41) * 12, epsilons, fetch)
+    assert sorted(held) == list(range(480))
+    d = K.distances(x, y, "euclidean")
+    best = sum(p[2] for p in M.least_pairs(480, 480, lambda i: d[i]))
+    assert best - 1e-6 <= d[np.arange(480), held].sum() <= best + 480 * epsilons[-1] + 1e-6
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("hub", ["none", "csls", "local_scaling", "mutual_proximity"])
+def test_cheapest_goods_in_tiles(metric, hub, monkeypatch):
+    monkeypatch.setattr(A, "TILE", (16, 700))
+    rng = np.random.default_rng(3)
+    for m in (3000, 90, 7):
+        x, y = rng.standard_normal((60, 5)), rng.standard_normal((m, 5))
+        scale = lambda n: rng.uniform(0.5, 1, (n, 2) if hub == "mutual_proximity" else n)
+        sx, sy, price = scale(60), scale(m), rng.uniform(0, 0.2, m)
+        shut = [[1, 5] if i % 3 == 0 else None for i in range(60)]
+        cols, costs, bound = A.Goods(y, sy, metric, hub).cheapest(x, sx, 12, price, shut)
+        net = A.reduced(K.distances(x, y, metric), hub, sx, sy)
+        net[::3, [1, 5]] = np.inf
+        net += price
+        order = np.sort(net, 1)
+        for i in range(60):
+            own = np.isfinite(costs[i])
+            assert np.allclose(np.sort(costs[i][own] + price[cols[i][own]]), order[i][np.isfinite(order[i])][:12], atol=1e-6)
+            rest = np.delete(net[i], cols[i][own])
+            assert not len(rest) or bound[i] <= rest.min() + 1e-9
