@@ -138,3 +138,22 @@ def test_cheapest_goods_in_tiles(metric, hub, monkeypatch):
             assert np.allclose(np.sort(costs[i][own] + price[cols[i][own]]), order[i][np.isfinite(order[i])][:12], atol=1e-6)
             rest = np.delete(net[i], cols[i][own])
             assert not len(rest) or bound[i] <= rest.min() + 1e-9
+
+
+def test_scores_share_a_search(spark, monkeypatch):
+    """One search for both agreements, and one for both cross validations; short lists are asked again, with the same result."""
+    from tessera.operators import score as S
+    from tessera.sources import tables as V
+
+    c = V.cells(spark, "/root/testdata/sf0.001")
+    want = [S.label_agreement(c, 5, on).first()[0] for on in ("label", "batch")]
+    plain = S.knn_cross_validation(c, "batch", invert=True).first()
+    searches, knn = [], K.knn
+    monkeypatch.setattr(K, "knn", lambda *a, **b: searches.append(1) or knn(*a, **b))
+    got = S.agreements_on(c, ("label", "batch")).first()
+    assert len(searches) == 1 and list(got) == pytest.approx(want, abs=1e-12)
+    for k, more in ((16, 0), (6, 1)):
+        near = S.stored(knn(c, c, k).select("i", "j", "d"))
+        searches.clear()
+        got = S.knn_cross_validation(c, "batch", invert=True, among=near).first()
+        assert len(searches) == more and list(got) == pytest.approx(list(plain), abs=1e-12)
